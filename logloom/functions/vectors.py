@@ -45,6 +45,18 @@ def squared_distance(a, b) -> Column:
                        F.lit(0.0), lambda acc, x: acc + x)
 
 
+def run_lengths(values) -> Column:
+    """Distinct array values with their counts, as structs (value, n)."""
+    def of_sorted(s):
+        marks = F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i))
+        return let(F.filter(marks, lambda m: m.isNotNull()), lambda at: F.transform(
+            at, lambda p, j: F.struct(
+                F.get(s, p).alias("value"),
+                (F.coalesce(F.get(at, j + 1), F.size(s)) - p).alias("n"))))
+
+    return let(F.array_sort(col(values)), of_sorted)
+
+
 def word_slots(text, dims: int = S.HASH_DIMS) -> Column:
     """Slot number of every word: its hash modulo ``dims``.
 
@@ -65,17 +77,12 @@ def hash_embedding(text, dims: int = S.HASH_DIMS) -> Column:
     An even hash adds one and an odd hash subtracts one, so with an even
     ``dims`` the sign belongs to the slot.
     """
-    def dense(slots):
-        used = F.array_distinct(slots)
-        sizes = F.transform(used, lambda d: F.size(F.filter(slots, lambda s: s == d)).cast("double"))
-        return let(F.map_from_arrays(used, sizes), spread)
+    signs = F.lit([1.0 if d % 2 == 0 else -1.0 for d in range(dims)])
 
-    def spread(counts):
+    def dense(counts):
         length = F.sqrt(F.aggregate(F.map_values(counts), F.lit(0.0), lambda acc, x: acc + x * x))
         return let(length, lambda n: F.transform(
-            F.sequence(F.lit(0), F.lit(dims - 1)),
-            lambda d: F.coalesce(F.try_element_at(counts, d), F.lit(0.0))
-                      * F.when(d % 2 == 0, 1.0).otherwise(-1.0)
-                      / F.when(n > 0, n).otherwise(1.0)))
+            signs, lambda sign, d: F.coalesce(
+                sign * F.try_element_at(counts, d) / n, F.lit(0.0))))
 
-    return let(word_slots(text, dims), dense)
+    return let(F.map_from_entries(run_lengths(word_slots(text, dims))), dense)

@@ -14,7 +14,7 @@ from .. import schema as S
 from ..functions import vectors as V
 from ..functions.templates import message_tokens
 from ..session import broadcast_if_small, stage
-from .order import most_common, top_in_group, with_ordinal
+from .order import explode_once, group_profile, top_in_group, with_ordinal
 
 MAX_CENTROIDS = 10_000
 
@@ -33,7 +33,7 @@ def group_clusters(records: DataFrame) -> DataFrame:
     seen = records.groupBy("level", "source").agg(F.min("seq").alias("first_seq"))
     numbered = with_ordinal(seen, "first_seq", "cluster_id").select(
         F.col("level").alias("__level"), F.col("source").alias("__source"), "cluster_id")
-    numbered = broadcast_if_small(stage(numbered, "groups"))
+    numbered = broadcast_if_small(numbered)
     same = (records["level"].eqNullSafe(numbered["__level"])
             & records["source"].eqNullSafe(numbered["__source"]))
     return records.join(numbered, same).drop("__level", "__source")
@@ -121,11 +121,9 @@ def cluster_confidence(clustered: DataFrame, centroid_table: DataFrame) -> DataF
 
 
 def cluster_modes(clustered: DataFrame) -> DataFrame:
-    """Most common level, source and os_source of each cluster."""
-    out = most_common(clustered, "cluster_id", "level")
-    for field in ("source", "os_source"):
-        out = out.join(most_common(clustered, "cluster_id", field), "cluster_id")
-    return out
+    """Size, first row and most common level, source and os_source of each
+    cluster."""
+    return group_profile(clustered, "cluster_id", ["level", "source", "os_source"])
 
 
 def cluster_keywords(clustered: DataFrame, n: int = 3) -> DataFrame:
@@ -135,7 +133,8 @@ def cluster_keywords(clustered: DataFrame, n: int = 3) -> DataFrame:
     type the hash aggregate can update in place.
     """
     seen = F.col("seq").cast("decimal(20,0)") * F.lit(10**9).cast("decimal(10,0)") + F.col("pos")
-    counted = (clustered.select("cluster_id", "seq", F.posexplode(message_tokens("message")).alias("pos", "token"))
+    tokens = clustered.select("cluster_id", "seq", message_tokens("message").alias("token"))
+    counted = (explode_once(tokens, "token", "pos")
                .groupBy("cluster_id", "token")
                .agg(F.count("*").alias("n"), F.min(seen).alias("first")))
     return top_in_group(counted, ["cluster_id"], [F.col("n").desc(), F.col("first")], n).select(
@@ -143,7 +142,8 @@ def cluster_keywords(clustered: DataFrame, n: int = 3) -> DataFrame:
 
 
 def cluster_labels(clustered: DataFrame) -> DataFrame:
-    """``[level] source (os_source) | k1, k2, k3`` with empty parts left out."""
+    """``label`` as ``[level] source (os_source) | k1, k2, k3`` with empty parts
+    left out, next to size and first row."""
     ranked = cluster_keywords(clustered).groupBy("cluster_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("k"))
     joined = cluster_modes(clustered).join(ranked, "cluster_id", "left")
@@ -153,7 +153,7 @@ def cluster_labels(clustered: DataFrame) -> DataFrame:
         F.coalesce("source", F.lit("")),
         F.when(F.col("os_source") != "", F.concat(F.lit("("), F.col("os_source"), F.lit(")"))),
         F.when(words != "", F.concat(F.lit("| "), words)))
-    return joined.select("cluster_id", label.alias("label"))
+    return joined.select("cluster_id", label.alias("label"), "count", "first_seq")
 
 
 def sample_per_cluster(clustered: DataFrame, centroid_table: DataFrame | None = None,

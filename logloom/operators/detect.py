@@ -12,7 +12,7 @@ from ..session import join_flag
 def burst_ticks(records: DataFrame, window_secs: float = S.BURST_WINDOW_SECS,
                 threshold: int = S.BURST_THRESHOLD, slice_secs: float | None = None) -> DataFrame:
     """Every (source, ts_us) that lies in a window of ``window_secs`` holding
-    at least ``threshold`` rows of the source."""
+    at least ``threshold`` rows of the source, with its row count ``n``."""
     return burst_ticks_of_counts(tick_counts(records), window_secs, threshold, slice_secs)
 
 
@@ -57,7 +57,7 @@ def burst_ticks_of_counts(ticks: DataFrame, window_secs: float = S.BURST_WINDOW_
     return (placed.withColumn("opened", opened)
             .where((F.col("place") - F.col("opened") < threshold)
                    & (F.col("slice") == slice_of(at)))
-            .select("source", "ts_us").distinct())
+            .select("source", "ts_us", "n").distinct())
 
 
 def detect_bursts(records: DataFrame, window_secs: float = S.BURST_WINDOW_SECS,
@@ -105,11 +105,24 @@ def repeat_offenders(records: DataFrame, threshold: int = S.OFFENDER_THRESHOLD)
             .where(F.col("critical_count") >= threshold))
 
 
+def source_totals(records: DataFrame) -> DataFrame:
+    """Per source: rows, first row, critical rows, and the narrower count that
+    offender summaries report."""
+    return records.groupBy("source").agg(
+        F.count("*").alias("count"), F.min("seq").alias("first_seq"),
+        F.count_if(F.col("level").isin(*S.CRITICAL_LEVELS)).alias("critical_count"),
+        F.count_if(F.col("level").isin(*S.OFFENDER_COUNT_LEVELS)).alias("offender_count"))
+
+
+def listed(totals: DataFrame, sources: DataFrame) -> DataFrame:
+    """The totals of the listed sources."""
+    names = sources.select(F.col("source").alias("__source"))
+    return totals.join(names, totals["source"].eqNullSafe(names["__source"]), "left_semi")
+
+
 def rows_per_source(records: DataFrame, sources: DataFrame) -> DataFrame:
     """Row count and first row of each listed source.
 
     Counting first leaves one row per source for the join.
     """
-    counted = records.groupBy("source").agg(F.count("*").alias("count"), F.min("seq").alias("first_seq"))
-    listed = sources.select(F.col("source").alias("__source"))
-    return counted.join(listed, counted["source"].eqNullSafe(listed["__source"]), "left_semi")
+    return listed(source_totals(records), sources).select("source", "count", "first_seq")

@@ -17,15 +17,39 @@ def first_row(order: str = "seq", columns: list[str] = ()) -> Column:
     return F.min_by(F.struct(*columns), F.col(order))
 
 
-def most_common(df: DataFrame, group: str, value: str, order: str = "seq") -> DataFrame:
-    """Most frequent value per group, the first seen on ties.
+def group_profile(df: DataFrame, group: str, fields: list[str], order: str = "seq") -> DataFrame:
+    """Per group: size, first row, and the most frequent value of each field,
+    the first seen on ties.
 
-    Both steps combine on the map side, so a group with most of the rows
-    reaches the reducers as one row per task and value.
+    One pass over the rows. Both steps combine on the map side, so a group
+    with most of the rows reaches the reducers as one row per task and value.
     """
-    counted = df.groupBy(group, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    pairs = F.array(*[F.struct(F.lit(i).alias("field"), F.col(f).alias("value"))
+                      for i, f in enumerate(fields)])
+    counted = (df.select(group, order, F.explode(pairs).alias("p"))
+               .groupBy(group, "p.field", "p.value")
+               .agg(F.count("*").alias("n"), F.min(order).alias("first")))
+    # every row counts once in the first field
+    whole = F.col("field") == 0
     return counted.groupBy(group).agg(
-        F.max_by(value, F.struct("n", -F.col("first"))).alias(value))
+        F.sum(F.when(whole, F.col("n"))).alias("count"),
+        F.min(F.when(whole, F.col("first"))).alias("first_seq"),
+        *[F.max_by("value", F.when(F.col("field") == i, F.struct("n", -F.col("first")))).alias(f)
+          for i, f in enumerate(fields)])
+
+
+def explode_once(df: DataFrame, array: str, place: str | None = None) -> DataFrame:
+    """One row per array element, the array computed once.
+
+    A plain explode is planned with a filter on the array below it, which
+    computes the array a second time; the outer form is not.
+    """
+    others = [c for c in df.columns if c != array]
+    if place is None:
+        out = df.select(*others, F.explode_outer(array).alias(array))
+    else:
+        out = df.select(*others, F.posexplode_outer(array).alias(place, array))
+    return out.where(F.col(array).isNotNull())
 
 
 def top_in_group(df: DataFrame, group: list[str], ordering: list[Column], n: int,

@@ -11,33 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.base import let
 from ..functions.records import embedding_input_text
 from ..functions.templates import ngram_terms
-from ..functions.vectors import hash_embedding
+from ..functions.vectors import hash_embedding, run_lengths
 from ..session import broadcast_if_small, stage
-from .order import top_in_group
+from .order import explode_once, top_in_group
 
 # Nonzero entries a task multiplies in one go.
 ENTRIES_PER_STEP = 200_000
 
 
-def run_lengths(values: Column) -> Column:
-    """Distinct array values with their counts, as structs (term, tf)."""
-    def of_sorted(s):
-        marks = F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i))
-        return let(F.filter(marks, lambda m: m.isNotNull()), lambda at: F.transform(
-            at, lambda p, j: F.struct(
-                F.get(s, p).alias("term"),
-                (F.coalesce(F.get(at, j + 1), F.size(s)) - p).alias("tf"))))
-
-    return let(F.array_sort(values), of_sorted)
-
-
 def term_counts(docs: DataFrame) -> DataFrame:
     """(split, doc, text) to (split, doc, term, tf); counted inside the row."""
-    return docs.select("split", "doc", F.explode(run_lengths(ngram_terms("text"))).alias("t")).select(
-        "split", "doc", "t.term", "t.tf")
+    counted = explode_once(docs.select("split", "doc", run_lengths(ngram_terms("text")).alias("t")), "t")
+    return counted.select("split", "doc", F.col("t.value").alias("term"), F.col("t.n").alias("tf"))
 
 
 def vocabulary(terms: DataFrame, docs: DataFrame, max_features: int) -> DataFrame:

@@ -23,9 +23,7 @@ class Patterns(NamedTuple):
 
 def cluster_meta(clustered: DataFrame, centroids: DataFrame | None) -> DataFrame:
     """Label, size, confidence and first row of every cluster."""
-    sizes = clustered.groupBy("cluster_id").agg(
-        F.count("*").alias("count"), F.min("seq").alias("first_seq"))
-    meta = sizes.join(C.cluster_labels(clustered), "cluster_id")
+    meta = C.cluster_labels(clustered)
     if centroids is None:
         return meta.withColumn("confidence", F.lit(1.0))
     return meta.join(C.cluster_confidence(clustered, centroids), "cluster_id")
@@ -33,14 +31,15 @@ def cluster_meta(clustered: DataFrame, centroids: DataFrame | None) -> DataFrame
 
 def annotate(clustered: DataFrame, meta: DataFrame, bursts: DataFrame, escalating: DataFrame,
              offenders: DataFrame) -> DataFrame:
-    """Records with cluster label, confidence and the three flags."""
+    """Records with cluster label, confidence and the three flags. All but the
+    records are staged tables with unique keys."""
     labels = broadcast_if_small(meta).select(
         "cluster_id", F.col("label").alias("pattern_label"),
         F.round("confidence", 4).alias("pattern_confidence"))
     out = clustered.join(labels, "cluster_id", "left")
-    out = join_flag(out, bursts, ["source", "ts_us"], "is_burst")
-    out = join_flag(out, escalating, ["source"], "is_escalation_source")
-    return join_flag(out, offenders, ["source"], "is_repeat_offender")
+    out = join_flag(out, bursts, ["source", "ts_us"], "is_burst", staged=True)
+    out = join_flag(out, escalating, ["source"], "is_escalation_source", staged=True)
+    return join_flag(out, offenders, ["source"], "is_repeat_offender", staged=True)
 
 
 def _say(*parts) -> Column:
@@ -101,15 +100,13 @@ def detect_patterns(records: DataFrame, clusters: str | None = None, k: int | No
 
     meta = stage(cluster_meta(clustered, centroids), "meta")
     ticks = stage(D.burst_ticks(clustered, burst_window_secs, burst_threshold), "bursts")
-    escalating = stage(D.rows_per_source(clustered, D.escalation_sources(clustered)), "escalating")
-    found = stage(D.repeat_offenders(clustered), "offenders")
-    offenders = stage(D.rows_per_source(clustered, found).drop("count").join(
-        found.select(F.col("source").alias("__s"), "count"),
-        F.col("source").eqNullSafe(F.col("__s"))).drop("__s"), "offenders")
+    totals = stage(D.source_totals(clustered), "sources")
+    escalating = stage(D.listed(totals, D.escalation_sources(clustered)), "escalating")
+    offenders = totals.where(F.col("critical_count") >= S.OFFENDER_THRESHOLD).withColumn(
+        "count", F.col("offender_count"))
 
     pattern = annotate(clustered, meta, ticks, escalating, offenders)
-    burst_count = join_flag(clustered.select("id", "source", "ts_us"), ticks, ["source", "ts_us"],
-                            "is_burst").where("is_burst").agg(F.count_distinct("id").alias("count"))
+    burst_count = ticks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"))   # ids are unique
     sample = C.sample_per_cluster(pattern, centroids, n_per_cluster)
     return Patterns(pattern, sample, pattern_summary(
         meta, burst_count, escalating, offenders, burst_window_secs, burst_threshold))

@@ -55,7 +55,7 @@ HOST = {**I.LOG, "t_host": "SELECT *, CAST(substr(hostname, 5, 1) AS BIGINT) AS
 @query("cluster_modes", over(HOST, """SELECT cluster_id, level, source, os_source FROM m_level
  JOIN m_source USING (cluster_id) JOIN m_os USING (cluster_id)"""))
 def _(spark, sf):
-    return C.cluster_modes(host_clusters(I.t_log(spark, sf)))
+    return C.cluster_modes(host_clusters(I.t_log(spark, sf))).select("cluster_id", "level", "source", "os_source")
 
 
 KEYWORDS = {**TOKENS, "t_key": """SELECT * FROM (SELECT doc_id % 10 AS cluster_id, token, count(*) AS n,
@@ -78,7 +78,7 @@ HOST_LABEL = {**HOST, "t_hw": """SELECT cluster_id, seq, generate_subscripts(w,
 @query("cluster_labels", over(HOST_LABEL, """SELECT cluster_id, concat('[', level, '] ', source, ' (', os_source, ') | ', words) AS label
  FROM m_level JOIN m_source USING (cluster_id) JOIN m_os USING (cluster_id) JOIN t_hk USING (cluster_id)"""))
 def _(spark, sf):
-    return C.cluster_labels(host_clusters(I.t_log(spark, sf)))
+    return C.cluster_labels(host_clusters(I.t_log(spark, sf))).select("cluster_id", "label")
 
 
 @query("centroids", over(I.EMB, "SELECT cluster_id, dim, round(c, 6) AS c FROM t_cen"))

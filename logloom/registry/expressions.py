@@ -8,6 +8,7 @@ from ..functions.display import level_badge, record_line
 from ..functions.records import (build_text, embedding_input_text, fill_text, parse_event_time,
                                  severity_rank, split_key)
 from ..functions.templates import mask_message, message_tokens
+from ..operators.order import explode_once
 from ..plans.reports import log_table_view
 from ..sources.syslog import as_records
 from . import inputs as I
@@ -111,5 +112,5 @@ TOKENS = {**I.MSG, "t_word": """SELECT *, generate_subscripts(w, 1) AS pos, trim
 @query("message_tokens", over(TOKENS, """SELECT seq, pos, token FROM (SELECT seq, token,
  row_number() OVER (PARTITION BY seq ORDER BY pos) - 1 AS pos FROM t_token)"""))
 def _(spark, sf):
-    return I.t_msg(spark, sf).select("seq", F.posexplode(message_tokens("message")).alias("pos", "token")).select(
+    return explode_once(I.t_msg(spark, sf).select("seq", message_tokens("message").alias("token")), "token", "pos").select(
         "seq", F.col("pos").cast("long").alias("pos"), "token")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.base import lookup
 from ..functions.records import build_text
-from ..session import scratch_path
+from ..session import scratch_path, spread
 from ..streaming.run import read_stream
 
 LEVEL_OF = {"error": "ERROR", "signup": "WARNING", "purchase": "NOTICE", "click": "INFO",
@@ -124,7 +124,7 @@ def t_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = (F.when(F.col("event_id") % 3 == 0, F.concat(F.date_format("ts", "MMM d HH:mm:ss"), tail))
              .when(F.col("event_id") % 3 == 1, F.concat(_iso(), F.lit("+00:00"), tail))
              .otherwise(F.concat(F.col("event_id").cast("string"), F.lit(" "), said)))
-    return events(spark, sf_dir).select(
+    return spread(events(spark, sf_dir)).select(
         line.alias("value"), lookup(F.col("user_id") % 3, FILES).alias("path"),
         F.col("event_id").alias("seq"))
 
@@ -184,7 +184,7 @@ def t_jrn(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('","SYSLOG_FACILITY":'), (n % 25).cast("string"),
         F.lit(',"_SYSTEMD_UNIT":"unit'), (n % 4).cast("string"), F.lit('.service"'),
         F.when(n % 50 == 49, "").otherwise("}"))
-    return events(spark, sf_dir).select(line.alias("value"), n.alias("seq"))
+    return spread(events(spark, sf_dir)).select(line.alias("value"), n.alias("seq"))
 
 
 JRN = {"t_jrn": """SELECT event_id AS seq, event_id % 4 AS unit_no,
@@ -256,7 +256,7 @@ WIN = {"t_win": """SELECT event_id AS seq, ts,
 
 def t_msg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document that is plain ASCII."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
     lines = docs.select("doc_id", "lang", F.col("source"),
                         F.posexplode(F.split("text", "\n")).alias("pos", "message"))
     return lines.where(F.col("message").rlike(r"^[\x00-\x7F]*$")).select(

@@ -140,15 +140,15 @@ def _(spark, sf):
     return load_jsonl(spark, path)
 
 
-@query("load_jsonl", over(I.LOG, f"SELECT dataset, level, count(*) AS n, sum(ts_us) AS us FROM t_log GROUP BY ALL"))
+@query("load_jsonl", over(I.LOG, "SELECT dataset, level, count(*) AS n, CAST(sum(ts_us % 1000000) AS BIGINT) AS us FROM t_log GROUP BY ALL"))
 def _(spark, sf):
     path = scratch_path(spark, "text")
     save_records(I.t_log(spark, sf), path, with_text=True)
     return load_jsonl(spark, path).groupBy("dataset", "level").agg(
-        F.count("*").alias("n"), F.sum("ts_us").cast("decimal(38,0)").alias("us"))
+        F.count("*").alias("n"), F.sum(F.col("ts_us") % 1_000_000).alias("us"))
 
 
-@query("save_variants", over(I.LOG, """SELECT variant, dataset, count(*) AS n, sum(seq) AS seqs FROM t_log,
+@query("save_variants", over(I.LOG, """SELECT variant, dataset, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs FROM t_log,
  (VALUES ('original'), ('vectorized')) v(variant) GROUP BY ALL"""))
 def _(spark, sf):
     path = scratch_path(spark, "variants")
@@ -159,7 +159,7 @@ def _(spark, sf):
     for name in names:
         part = load_variant(spark, path, name).select(F.lit(name).alias("variant"), "dataset", "seq")
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("variant", "dataset").agg(F.count("*").alias("n"), F.sum("seq").cast("decimal(38,0)").alias("seqs"))
+    return out.groupBy("variant", "dataset").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
 
 
 @query("load_vectorized", over(I.EMB, """SELECT seq, dim, round(x, 6) AS x FROM t_dim"""))

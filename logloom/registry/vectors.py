@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, hash_embedding, norm
 from ..operators import vectorize as VZ
+from ..operators.order import explode_once
 from . import inputs as I
 from .base import over, query
 
@@ -18,7 +19,7 @@ def hash_sql(source: str, text: str) -> dict[str, str]:
 
 
 def sparse(df):
-    return df.select("seq", F.posexplode("embedding").alias("dim", "x")).where("x <> 0").select(
+    return explode_once(df.select("seq", F.col("embedding").alias("x")), "x", "dim").where("x <> 0").select(
         "seq", "dim", F.round("x", 6).alias("x"))
 
 

@@ -57,14 +57,17 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def join_flag(df: DataFrame, flagged: DataFrame, keys: list[str], flag: str) -> DataFrame:
+def join_flag(df: DataFrame, flagged: DataFrame, keys: list[str], flag: str,
+              staged: bool = False) -> DataFrame:
     """Add boolean ``flag``: whether the row's keys are in ``flagged``.
 
     Null keys equal null keys. The flagged table is staged and counted, so the
-    wide side is not shuffled unless the flagged set is truly large.
+    wide side is not shuffled unless the flagged set is truly large. Pass
+    ``staged`` for a staged table whose keys are unique.
     """
-    marks = flagged.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
-    marks = broadcast_if_small(stage(marks, flag)).withColumn("__hit", F.lit(True))
+    marks = flagged.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    marks = marks if staged else stage(marks.distinct(), flag)
+    marks = broadcast_if_small(marks).withColumn("__hit", F.lit(True))
     match = None
     for k in keys:
         same = df[k].eqNullSafe(marks[f"__{k}"])
@@ -74,6 +77,16 @@ def join_flag(df: DataFrame, flagged: DataFrame, keys: list[str], flag: str) ->
               .drop("__hit", *[f"__{k}" for k in keys]))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table in fewer pieces than cores, spread over all of them.
+
+    For per-row work that outweighs one copy of a small table. Give it a plain
+    scan; anything with more pieces than cores passes unchanged.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def rank_limit(spark: SparkSession, n: int) -> None:
     """Let rank filters up to ``n`` be applied per task ahead of the shuffle.
 

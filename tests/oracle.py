@@ -35,8 +35,22 @@ def rows_of(columns: list[str], rows) -> tuple[list[str], list[tuple]]:
     return [columns[i] for i in order], sorted(out, key=repr)
 
 
+SAME_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+             "boolean": "BOOLEAN"}
+
+
+def type_difference(spark_df, con, sql: str) -> str | None:
+    """Column types must agree too: a wider type may hash differently."""
+    want = dict(zip(*[[r[i] for r in con.execute(f"DESCRIBE {sql}").fetchall()] for i in (0, 1)]))
+    off = [(n, t, want.get(n)) for n, t in spark_df.dtypes if SAME_TYPE.get(t) != want.get(n)]
+    return f"types {off}" if off else None
+
+
 def difference(spark_df, con, sql: str) -> str | None:
     """None when equal, else what differs."""
+    off = type_difference(spark_df, con, sql)
+    if off:
+        return off
     got_cols, got = rows_of(spark_df.columns, [tuple(r) for r in spark_df.collect()])
     cur = con.execute(sql)
     want_cols, want = rows_of([d[0] for d in cur.description], cur.fetchall())
