@@ -1,7 +1,7 @@
 """Small building blocks shared by the column functions."""
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the characters that count as white space in a Unicode string.
@@ -16,13 +16,10 @@ def col(c) -> Column:
 
 
 def lookup(key: Column, mapping: dict, default=None) -> Column:
-    """Constant map as one CASE expression, which code generation inlines."""
-    items = iter(mapping.items())
-    first, value = next(items)
-    out = F.when(key == F.lit(first), F.lit(value))
-    for k, v in items:
-        out = out.when(key == F.lit(k), F.lit(v))
-    return out.otherwise(default if isinstance(default, Column) else F.lit(default))
+    """Value of a key in a constant map; the key is computed once."""
+    table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    found = F.try_element_at(table, key)
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def strip(c) -> Column:
@@ -51,3 +48,12 @@ def pad(c, n: int) -> Column:
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and use it inside a lambda body."""
     return F.transform(F.array(value), body)[0]
+
+
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters may use.
+
+    A filter on an ordinary column moves below it and computes it again; it
+    does not move below a generator, here of exactly one row per row.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))

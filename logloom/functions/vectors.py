@@ -18,13 +18,6 @@ def norm(a) -> Column:
     return F.sqrt(F.aggregate(col(a), F.lit(0.0), lambda acc, x: acc + x * x))
 
 
-def unit(a) -> Column:
-    """Scale to length one; the zero vector stays."""
-    a = col(a)
-    return let(norm(a), lambda n: F.transform(
-        a, lambda x: x / F.when(n > 0, n).otherwise(1.0)))
-
-
 def member_cosine(member, centroid, centroid_norm) -> Column:
     """Cosine with the guard used for cluster confidence: a zero centroid
     counts as full confidence."""
@@ -35,9 +28,8 @@ def member_cosine(member, centroid, centroid_norm) -> Column:
 
 def centroid_distance(member, centroid, centroid_norm) -> Column:
     """One minus cosine; zero when either vector is zero or absent."""
-    size = norm(member) * col(centroid_norm)
-    return (F.when(size > 0, F.lit(1.0) - dot(member, centroid) / size)
-             .otherwise(F.lit(0.0)))
+    size = F.nullif(norm(member) * col(centroid_norm), F.lit(0.0))
+    return F.coalesce(F.lit(1.0) - dot(member, centroid) / size, F.lit(0.0))
 
 
 def squared_distance(a, b) -> Column:

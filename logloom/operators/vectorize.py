@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.base import let
 from ..functions.records import embedding_input_text
 from ..functions.templates import ngram_terms
-from ..functions.vectors import hash_embedding, run_lengths
+from ..functions.vectors import hash_embedding, norm, run_lengths
 from ..session import broadcast_if_small, stage
 from .order import explode_once, top_in_group
 
@@ -56,10 +57,9 @@ def tfidf(records: DataFrame, key: str = "seq", text: Column | None = None,
     rows = (terms.join(vocab, ["split", "term"])
             .groupBy("split", "doc")
             .agg(F.array_sort(F.collect_list(F.struct("slot", "term", weight.alias("w")))).alias("e")))
-    length = F.sqrt(F.aggregate("e.w", F.lit(0.0), lambda acc, x: acc + x * x))
-    return rows.withColumn("length", length).select(
-        "split", F.col("doc").alias(key), F.col("e.term").alias("terms"), F.col("e.slot").alias("slots"),
-        F.transform("e.w", lambda x: x / F.col("length")).alias("weights"))
+    unit = let(norm("e.w"), lambda n: F.transform("e.w", lambda x: x / n))
+    return rows.select("split", F.col("doc").alias(key), F.col("e.term").alias("terms"),
+                       F.col("e.slot").alias("slots"), unit.alias("weights"))
 
 
 def _steps(frame: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:

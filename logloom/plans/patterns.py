@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..operators import cluster as C
 from ..operators import detect as D
-from ..session import broadcast_if_small, join_flag, stage
+from ..session import broadcast_if_small, join_flag, stage, stage_all
 
 # Order of the pattern kinds in a summary.
 CLUSTER, BURST, ESCALATION, OFFENDER = range(4)
@@ -98,14 +98,17 @@ def detect_patterns(records: DataFrame, clusters: str | None = None, k: int | No
         assigned, centroids = C.group_clusters(records), None
     clustered = stage(assigned, "clustered")
 
-    meta = stage(cluster_meta(clustered, centroids), "meta")
-    ticks = stage(D.burst_ticks(clustered, burst_window_secs, burst_threshold), "bursts")
-    totals = stage(D.source_totals(clustered), "sources")
-    escalating = stage(D.listed(totals, D.escalation_sources(clustered)), "escalating")
+    found = stage_all(
+        meta=cluster_meta(clustered, centroids),
+        ticks=D.burst_ticks(clustered, burst_window_secs, burst_threshold),
+        sources=D.source_totals(clustered),
+        escalating=D.escalation_sources(clustered))
+    meta, ticks, totals = found["meta"], found["ticks"], found["sources"]
+    escalating = D.listed(totals, found["escalating"])
     offenders = totals.where(F.col("critical_count") >= S.OFFENDER_THRESHOLD).withColumn(
         "count", F.col("offender_count"))
 
-    pattern = annotate(clustered, meta, ticks, escalating, offenders)
+    pattern = annotate(clustered, meta, ticks, found["escalating"], offenders)
     burst_count = ticks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"))   # ids are unique
     sample = C.sample_per_cluster(pattern, centroids, n_per_cluster)
     return Patterns(pattern, sample, pattern_summary(

@@ -159,7 +159,7 @@ FLAGS = {**META, **burst_sql("t_burst", BURST_SECS, BURST_N), **ESCALATING, **OF
 
 
 def found(spark, sf):
-    return detect_patterns(I.t_log(spark, sf), "group", burst_window_secs=BURST_SECS, burst_threshold=BURST_N)
+    return detect_patterns(I.t_log_wide(spark, sf), "group", burst_window_secs=BURST_SECS, burst_threshold=BURST_N)
 
 
 _SUM = "type, id, label, count, 1.0::DOUBLE AS confidence, description"
@@ -198,7 +198,7 @@ def _(spark, sf):
 @query("pattern_detection_kmeans")
 def _(spark, sf):
     """K-means on hashed texts; cluster numbers depend on the random starts."""
-    p = detect_patterns(vectorize(I.t_log(spark, sf)), "kmeans", k=4, starts=2,
+    p = detect_patterns(vectorize(I.t_log_wide(spark, sf)), "kmeans", k=4, starts=2,
                         burst_window_secs=BURST_SECS, burst_threshold=BURST_N)
     return p.summary.drop("kind", "first_seq")
 
@@ -219,7 +219,7 @@ def _(spark, sf):
  (SELECT dataset, count(*) AS original, count(*) AS pattern FROM t_log GROUP BY dataset)
  JOIN (SELECT dataset, count(*) AS sample FROM t_sam GROUP BY dataset) USING (dataset)"""))
 def _(spark, sf):
-    p = detect_patterns(vectorize(I.t_log(spark, sf)), "group")
+    p = detect_patterns(vectorize(I.t_log_wide(spark, sf)), "group")
     return dataset_inventory(I.t_log(spark, sf), p.pattern, p.sample)
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.base import lookup
+from ..functions.base import compute_once, lookup
 from ..functions.records import build_text
 from ..session import scratch_path, spread
 from ..streaming.run import read_stream
@@ -70,6 +70,11 @@ def t_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_text(log_columns(events(spark, sf_dir)))
 
 
+def t_log_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows over all cores, for work that is heavy per row."""
+    return with_text(log_columns(spread(events(spark, sf_dir))))
+
+
 def t_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_text(log_columns(events_stream(spark, sf_dir)))
 
@@ -124,9 +129,9 @@ def t_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = (F.when(F.col("event_id") % 3 == 0, F.concat(F.date_format("ts", "MMM d HH:mm:ss"), tail))
              .when(F.col("event_id") % 3 == 1, F.concat(_iso(), F.lit("+00:00"), tail))
              .otherwise(F.concat(F.col("event_id").cast("string"), F.lit(" "), said)))
-    return spread(events(spark, sf_dir)).select(
-        line.alias("value"), lookup(F.col("user_id") % 3, FILES).alias("path"),
-        F.col("event_id").alias("seq"))
+    lines = compute_once(spread(events(spark, sf_dir)), "line", line)
+    return lines.select(F.col("line").alias("value"), lookup(F.col("user_id") % 3, FILES).alias("path"),
+                        F.col("event_id").alias("seq"))
 
 
 _WORD_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SEVERITY_WORD.items()) + " END"
@@ -184,7 +189,8 @@ def t_jrn(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('","SYSLOG_FACILITY":'), (n % 25).cast("string"),
         F.lit(',"_SYSTEMD_UNIT":"unit'), (n % 4).cast("string"), F.lit('.service"'),
         F.when(n % 50 == 49, "").otherwise("}"))
-    return spread(events(spark, sf_dir)).select(line.alias("value"), n.alias("seq"))
+    return compute_once(spread(events(spark, sf_dir)), "line", line).select(
+        F.col("line").alias("value"), n.alias("seq"))
 
 
 JRN = {"t_jrn": """SELECT event_id AS seq, event_id % 4 AS unit_no,

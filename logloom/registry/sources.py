@@ -152,7 +152,7 @@ def _(spark, sf):
  (VALUES ('original'), ('vectorized')) v(variant) GROUP BY ALL"""))
 def _(spark, sf):
     path = scratch_path(spark, "variants")
-    records = I.t_log(spark, sf)
+    records = I.t_log_wide(spark, sf)
     names = save_variants({"original": records, "vectorized": vectorize(records),
                            "sample": records.limit(0).drop("embedding")}, path)
     out = None

@@ -30,7 +30,7 @@ def _(spark, sf):
 
 @query("vectorize_dataset", over({**I.LOG, **hash_sql("t_log", "text")}, "SELECT seq, dim, x FROM t_hash"))
 def _(spark, sf):
-    return sparse(VZ.vectorize(I.t_log(spark, sf), "hash"))
+    return sparse(VZ.vectorize(I.t_log_wide(spark, sf), "hash"))
 
 
 def tfidf_sql(split: str, n: int = 5000) -> dict[str, str]:
@@ -73,7 +73,7 @@ def _(spark, sf):
 @query("vectorize_tfidf")
 def _(spark, sf):
     """Every record keeps its row and gets a vector of one width."""
-    records = VZ.vectorize(I.t_log(spark, sf), "tfidf", dims=16)
+    records = VZ.vectorize(I.t_log_wide(spark, sf), "tfidf", dims=16)
     return records.groupBy("level").agg(
         F.count("*").alias("n"), F.min(F.size("embedding")).alias("dims"),
         F.round(F.avg(dot("embedding", "embedding")), 6).alias("squared_length"))

@@ -3,7 +3,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,16 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_all(**tables: DataFrame) -> dict[str, DataFrame]:
+    """Stage independent tables at the same time, so that the last tasks of
+    one do not leave the cluster idle."""
+    def one(item):
+        return stage(item[1], item[0])
+
+    with ThreadPoolExecutor(len(tables)) as pool:
+        return dict(zip(tables, pool.map(inheritable_thread_target(one), tables.items())))
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast after counting; a larger table is left to a shuffled
     join, where adaptive execution splits hot keys. Give it a staged table."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.base import filled, strip
+from ..functions.base import compute_once, filled, strip
 from ..functions.records import (decode_byte_message, facility_name, micros_to_iso,
                                  priority_level)
 from .syslog import as_records
@@ -16,10 +16,8 @@ def _get(path: str, kind: str = "string"):
 
 def journald_entries(lines: DataFrame) -> DataFrame:
     """Lines (``value``, ``seq``) to a parsed variant; malformed lines drop out."""
-    return (lines.select(strip("value").alias("raw"), "seq")
-            .where(F.col("raw").startswith("{"))
-            .withColumn("v", F.try_parse_json("raw"))
-            .where(F.col("v").isNotNull()))
+    objects = lines.select(strip("value").alias("raw"), "seq").where(F.col("raw").startswith("{"))
+    return compute_once(objects, "v", F.try_parse_json("raw")).where(F.col("v").isNotNull())
 
 
 def filter_journald(entries: DataFrame, since_us: int | None = None,
