@@ -12,8 +12,8 @@ from ..session import broadcast_if_small, stage
 LINE_SCHEMA = "value string, path string, line_no long, seq long"
 
 
-def existing_files(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]:
-    """(uri, plain path) of each readable file, in the order given.
+def existing_files(spark: SparkSession, paths: list[str]) -> list[tuple[str, str, str]]:
+    """(uri, plain path, full name) of each readable file, in the order given.
 
     Missing paths are skipped; folders and patterns yield their files by name.
     """
@@ -28,7 +28,7 @@ def existing_files(spark: SparkSession, paths: list[str]) -> list[tuple[str, str
                 s for s in fs.listStatus(status.getPath())
                 if s.isFile() and not s.getPath().getName().startswith((".", "_"))]
             uris = sorted((re.sub("^file:/+", "file:/", s.getPath().toUri().toString()),
-                           s.getPath().toUri().getPath()) for s in inner)
+                           s.getPath().toUri().getPath(), s.getPath().toString()) for s in inner)
             found.extend(u for u in uris if u not in found)
     return found
 
@@ -46,10 +46,10 @@ def read_lines(spark: SparkSession, paths: list[str], max_lines: int | None = No
     if not files:
         return spark.createDataFrame([], LINE_SCHEMA)
     names = spark.createDataFrame(
-        [(uri, i, path) for i, (uri, path) in enumerate(files)],
+        [(uri, i, path) for i, (uri, path, _) in enumerate(files)],
         "uri string, file_no long, path string")
     landed = stage(
-        spark.read.text([uri for uri, _ in files]).select(
+        spark.read.text([name for _, _, name in files]).select(
             F.make_valid_utf8("value").alias("value"),
             F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("uri"),
             F.col("_metadata.file_block_start").alias("block"),
