@@ -18,6 +18,9 @@ from ..functions.vectors import hash_embedding, norm, run_lengths
 from ..session import broadcast_if_small, stage
 from .order import explode_once, top_in_group
 
+# A text is a unit vector before projection; what is left of it below this
+# length is rounding error and stays the zero vector.
+ZERO_LENGTH = 1e-10
 # Nonzero entries a task multiplies in one go.
 ENTRIES_PER_STEP = 200_000
 
@@ -139,7 +142,7 @@ def svd_embedding(records: DataFrame, key: str = "seq", text: Column | None = No
             for part, starts, slots, weights in _steps(frame):
                 scores = np.add.reduceat(shared.value[slots] * weights[:, None], starts, axis=0)
                 size = np.linalg.norm(scores, axis=1, keepdims=True)
-                scores = scores / np.where(size == 0, 1.0, size)
+                scores = np.where(size < ZERO_LENGTH, 0.0, scores / np.maximum(size, ZERO_LENGTH))
                 yield pd.DataFrame({key: part[key].to_numpy(), "embedding": list(scores)})
 
     kind = records.schema[key].dataType.simpleString()

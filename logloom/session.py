@@ -56,11 +56,14 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 def stage_all(**tables: DataFrame) -> dict[str, DataFrame]:
     """Stage independent tables at the same time, so that the last tasks of
     one do not leave the cluster idle."""
+    spark = next(iter(tables.values())).sparkSession
+
+    @inheritable_thread_target(spark)
     def one(item):
         return stage(item[1], item[0])
 
     with ThreadPoolExecutor(len(tables)) as pool:
-        return dict(zip(tables, pool.map(inheritable_thread_target(one), tables.items())))
+        return dict(zip(tables, pool.map(one, tables.items())))
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
