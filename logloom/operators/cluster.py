@@ -4,6 +4,8 @@ from __future__ import annotations
 from functools import reduce
 from math import isqrt
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -16,7 +18,10 @@ from ..functions.templates import message_tokens
 from ..session import broadcast_if_small, stage
 from .order import explode_once, group_profile, top_in_group, with_ordinal
 
-MAX_CENTROIDS = 10_000
+# Centroid numbers that go into an expression; more are kept in a matrix.
+INLINE_NUMBERS = 20_000
+# Differences a task holds at once when it compares with a matrix.
+STEP_NUMBERS = 4_000_000
 
 
 def auto_k(n: int) -> int:
@@ -75,24 +80,45 @@ def centroids(clustered: DataFrame) -> DataFrame:
 
 def _bounded(centroid_table: DataFrame) -> DataFrame:
     table = stage(centroid_table.withColumn("centroid_norm", V.norm("centroid")), "centroids")
-    return broadcast_if_small(table, MAX_CENTROIDS)
+    return broadcast_if_small(table)
+
+
+def _nearest_inline(ids: list[int], vectors: list[list[float]]) -> Column:
+    pairs = F.arrays_zip(F.lit(ids).cast("array<long>").alias("id"), F.lit(vectors).alias("c"))
+    return F.array_min(F.transform(pairs, lambda p: F.struct(
+        V.squared_distance("embedding", p["c"]).alias("d"), p["id"].alias("id"))))
+
+
+def _nearest_matrix(records: DataFrame, ids: list[int], vectors: list[list[float]]) -> Column:
+    shared = records.sparkSession.sparkContext.broadcast((np.array(ids), np.array(vectors)))
+
+    @F.pandas_udf("d double, id long")
+    def nearest(embedding: pd.Series) -> pd.DataFrame:
+        names, matrix = shared.value
+        step = max(1, STEP_NUMBERS // matrix.size)
+        best, distance = np.empty(len(embedding), dtype=np.int64), np.empty(len(embedding))
+        for at in range(0, len(embedding), step):
+            part = np.stack(embedding.iloc[at:at + step].to_numpy())
+            squared = ((part[:, None, :] - matrix[None]) ** 2).sum(axis=2)
+            place = squared.argmin(axis=1)
+            best[at:at + step], distance[at:at + step] = names[place], squared.min(axis=1)
+        return pd.DataFrame({"d": distance, "id": best})
+
+    return nearest("embedding")
 
 
 def nearest_centroid(records: DataFrame, centroid_table: DataFrame) -> DataFrame:
     """The cluster whose centroid is closest, the lower id on ties.
 
-    Centroids are few by construction; their number is checked before they go
-    into the expression, and no row is multiplied by them.
+    Rows are compared in place and never multiplied by the centroids. A few
+    centroids become part of the expression, many a matrix on every executor.
     """
-    rows = centroid_table.select("cluster_id", "centroid").limit(MAX_CENTROIDS + 1).collect()
-    if len(rows) > MAX_CENTROIDS:
-        raise ValueError(f"more than {MAX_CENTROIDS} centroids")
-    rows.sort(key=lambda r: r["cluster_id"])
+    rows = centroid_table.select("cluster_id", "centroid").orderBy("cluster_id").collect()
     ids, vectors = [r["cluster_id"] for r in rows], [list(r["centroid"]) for r in rows]
-    table = F.transform(
-        F.arrays_zip(F.lit(ids).cast("array<long>").alias("id"), F.lit(vectors).alias("c")),
-        lambda p: F.struct(V.squared_distance("embedding", p["c"]).alias("d"), p["id"].alias("id")))
-    best = F.array_min(table)
+    if len(ids) * len(vectors[0]) <= INLINE_NUMBERS:
+        best = _nearest_inline(ids, vectors)
+    else:
+        best = _nearest_matrix(records, ids, vectors)
     return (records.withColumn("__best", best)
             .withColumn("cluster_id", F.col("__best.id"))
             .withColumn("squared_distance", F.col("__best.d")).drop("__best"))

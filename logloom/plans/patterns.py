@@ -11,6 +11,8 @@ from ..operators import cluster as C
 from ..operators import detect as D
 from ..session import broadcast_if_small, join_flag, stage, stage_all
 
+# Columns that clusters and detectors look at.
+ANALYSED = ["seq", "source", "level", "os_source", "ts_us", "message", "cluster_id", "embedding"]
 # Order of the pattern kinds in a summary.
 CLUSTER, BURST, ESCALATION, OFFENDER = range(4)
 
@@ -87,8 +89,9 @@ def detect_patterns(records: DataFrame, clusters: str | None = None, k: int | No
     """Cluster, flag, sample and summarise one dataset.
 
     ``clusters`` is ``kmeans`` on the embedding or ``group`` by level and
-    source; by default whichever the columns allow. The clustered records are
-    staged once and every branch reads only its columns from there.
+    source; by default whichever the columns allow. The few columns that the
+    detectors need are staged once; the annotated records come straight from
+    the input, so give it a table or landed records, not a costly parse.
     """
     if clusters is None:
         clusters = "kmeans" if "embedding" in records.columns else "group"
@@ -96,7 +99,8 @@ def detect_patterns(records: DataFrame, clusters: str | None = None, k: int | No
         assigned, centroids = C.kmeans_clusters(records, k, starts)
     else:
         assigned, centroids = C.group_clusters(records), None
-    clustered = stage(assigned, "clustered")
+    clustered = stage(assigned.select(
+        *[c for c in ANALYSED if c in assigned.columns and (centroids is not None or c != "embedding")]), "analysed")
 
     found = stage_all(
         meta=cluster_meta(clustered, centroids),
@@ -108,7 +112,7 @@ def detect_patterns(records: DataFrame, clusters: str | None = None, k: int | No
     offenders = totals.where(F.col("critical_count") >= S.OFFENDER_THRESHOLD).withColumn(
         "count", F.col("offender_count"))
 
-    pattern = annotate(clustered, meta, ticks, found["escalating"], offenders)
+    pattern = annotate(assigned, meta, ticks, found["escalating"], offenders)
     burst_count = ticks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"))   # ids are unique
     sample = C.sample_per_cluster(pattern, centroids, n_per_cluster)
     return Patterns(pattern, sample, pattern_summary(

@@ -9,8 +9,9 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A table is broadcast only after it was counted and found no larger.
+# A table is broadcast only after it was measured and found no larger.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -66,10 +67,15 @@ def stage_all(**tables: DataFrame) -> dict[str, DataFrame]:
         return dict(zip(tables, pool.map(one, tables.items())))
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after counting; a larger table is left to a shuffled
-    join, where adaptive execution splits hot keys. Give it a staged table."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Hint a broadcast after measuring rows and bytes.
+
+    A larger table is left to a shuffled join, where adaptive execution splits
+    hot keys. Give it a staged table: it is read once more for the check.
+    """
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    rows, width = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and width <= BROADCAST_BYTES else df
 
 
 def join_flag(df: DataFrame, flagged: DataFrame, keys: list[str], flag: str,

@@ -1,13 +1,15 @@
 """Exported journald JSON lines to log records."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.base import compute_once, filled, strip
 from ..functions.records import (decode_byte_message, facility_name, micros_to_iso,
                                  priority_level)
-from .syslog import as_records
+from ..schema import MAX_LINES_PER_FILE
+from .files import read_lines
+from .syslog import as_records, ingest_syslog_files, union_sources
 
 
 def _get(path: str, kind: str = "string"):
@@ -68,3 +70,21 @@ def ingest_journald(lines: DataFrame, since_us: int | None = None,
     """Filter first, then parse: only kept entries pay for the full record."""
     return parse_journald(filter_journald(journald_entries(lines), since_us, units),
                           default_host, dataset)
+
+
+def ingest_journald_files(spark: SparkSession, paths: list[str], since_us: int | None = None,
+                          units: list[str] | None = None, default_host: str = "localhost",
+                          dataset: str = "linux") -> DataFrame:
+    """Exported journal files, in the order given."""
+    return ingest_journald(read_lines(spark, paths), since_us, units, default_host, dataset)
+
+
+def collect_linux(spark: SparkSession, log_files: list[str] | None, journal_files: list[str], *,
+                  year: int, max_lines: int | None = MAX_LINES_PER_FILE, since_us: int | None = None,
+                  units: list[str] | None = None, default_host: str = "localhost",
+                  dataset: str = "linux") -> DataFrame:
+    """Log files, then the journal, and the first of every identical line."""
+    files = ingest_syslog_files(spark, log_files, year=year, max_lines=max_lines,
+                                default_host=default_host, dataset=dataset)
+    journal = ingest_journald_files(spark, journal_files, since_us, units, default_host, dataset)
+    return union_sources(files, journal)

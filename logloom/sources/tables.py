@@ -60,13 +60,15 @@ def load_variant(spark: SparkSession, path: str, variant: str = "vectorized",
 
 
 def write_split(records: DataFrame, path: str, field: str = "level", form: str = "parquet",
-                mode: str = "errorifexists") -> None:
+                mode: str = "errorifexists", rebalance: bool = True) -> None:
     """All sub-datasets of a field in one partitioned write.
 
-    Rows of one value stay spread over the tasks that read them, so a value
-    with most of the rows is written by many tasks.
+    Rebalancing gathers small values into few files and cuts a value with most
+    of the rows into many evenly sized ones. Without it every task writes a
+    file for every value it meets.
     """
     df = records
     if field == "level":
         df = df.where(F.upper("level").isin(*S.SPLIT_LEVELS))
-    _write(df.withColumn("split", split_key(field)), path, form, ("split",), mode)
+    df = df.withColumn("split", split_key(field))
+    _write(df.hint("rebalance", "split") if rebalance else df, path, form, ("split",), mode)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from logloom import schema as S
 from logloom.sources.files import read_lines
+from logloom.sources.journald import collect_linux
 from logloom.sources.syslog import dedup_raw, ingest_syslog_files, parse_syslog, union_sources
 from logloom.sources.tables import load_jsonl, load_variant, save_records, save_variants, write_split
 
@@ -103,3 +104,11 @@ def test_split_write_leaves_unknown_out(spark, tmp_path):
     records = lines(spark, ["Jan 10 12:00:00 h p: error", "odd line"])
     write_split(records, str(tmp_path / "s"), "level")
     assert [r.split for r in spark.read.parquet(str(tmp_path / "s")).collect()] == ["error"]
+
+
+def test_collect_linux(spark, tmp_path):
+    (tmp_path / "auth.log").write_text("Jan 10 12:00:00 h p: m\nJan 10 12:00:00 h p: m\n")
+    (tmp_path / "j.json").write_text('{"MESSAGE":"a","PRIORITY":"2"}\n{"MESSAGE":"a","PRIORITY":"2"}\nbroken\n')
+    got = collect_linux(spark, [str(tmp_path / "auth.log")], [str(tmp_path / "j.json")], year=2024)
+    assert [(r.os_source, r.level, r.message) for r in got.orderBy("seq").collect()] == [
+        ("auth", "INFO", "m"), ("journald", "CRITICAL", "a")]
