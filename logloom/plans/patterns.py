@@ -106,14 +106,18 @@ def detect_patterns(records: DataFrame, clusters: str | None = None, k: int | No
         meta=cluster_meta(clustered, centroids),
         ticks=D.burst_ticks(clustered, burst_window_secs, burst_threshold),
         sources=D.source_totals(clustered),
-        escalating=D.escalation_sources(clustered))
+        escalating=D.escalation_sources(clustered),
+        chosen=C.sample_per_cluster(clustered, centroids, n_per_cluster).select("seq", "rank"))
     meta, ticks, totals = found["meta"], found["ticks"], found["sources"]
     escalating = D.listed(totals, found["escalating"])
     offenders = totals.where(F.col("critical_count") >= S.OFFENDER_THRESHOLD).withColumn(
         "count", F.col("offender_count"))
 
-    pattern = annotate(assigned, meta, ticks, found["escalating"], offenders)
+    def annotated(rows):
+        return annotate(rows, meta, ticks, found["escalating"], offenders)
+
+    # only the chosen rows are annotated for the sample
+    sample = annotated(assigned.drop("embedding").join(broadcast_if_small(found["chosen"]), "seq"))
     burst_count = ticks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"))   # ids are unique
-    sample = C.sample_per_cluster(pattern, centroids, n_per_cluster)
-    return Patterns(pattern, sample, pattern_summary(
+    return Patterns(annotated(assigned), sample, pattern_summary(
         meta, burst_count, escalating, offenders, burst_window_secs, burst_threshold))

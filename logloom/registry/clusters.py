@@ -9,7 +9,9 @@ from ..operators.filters import head
 from ..operators.summary import dataset_inventory
 from ..operators.vectorize import vectorize
 from ..plans.patterns import detect_patterns
+from ..plans.rebuild import rebuild
 from ..plans.reports import pattern_lines
+from ..session import scratch_path
 from . import inputs as I
 from .base import over, query
 from .counts import CRIT
@@ -223,6 +225,28 @@ def _(spark, sf):
     return dataset_inventory(I.t_log(spark, sf), p.pattern, p.sample)
 
 
+@query("rebuild_tables", over(FLAGS, """SELECT 'original' AS part, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs FROM t_log
+ UNION ALL SELECT 'vectorized', count(*), CAST(sum(seq) AS BIGINT) FROM t_log
+ UNION ALL SELECT 'pattern', count(*), CAST(sum(seq) AS BIGINT) FROM t_pat
+ UNION ALL SELECT 'sample', count(*), CAST(sum(seq) AS BIGINT) FROM t_sam
+ UNION ALL SELECT 'summary', count(*), CAST(sum(count) AS BIGINT) FROM t_sum
+ UNION ALL SELECT 'by_level', count(*), CAST(sum(seq) AS BIGINT) FROM t_log
+ UNION ALL SELECT 'by_os_source', count(*), CAST(sum(seq) AS BIGINT) FROM t_log"""))
+def _(spark, sf):
+    """Everything a rebuild saves, read back."""
+    path = scratch_path(spark, "rebuild")
+    rebuild(I.t_log_wide(spark, sf), path, clusters="group", burst_window_secs=BURST_SECS, burst_threshold=BURST_N)
+
+    def part(name, value="seq"):
+        return spark.read.parquet(f"{path}/{name}").agg(
+            F.count("*").alias("n"), F.sum(value).alias("seqs")).select(F.lit(name).alias("part"), "n", "seqs")
+
+    out = part("summary", "count")
+    for name in ("original", "vectorized", "pattern", "sample", "by_level", "by_os_source"):
+        out = out.unionByName(part(name))
+    return out
+
+
 @query("pattern_lines", over(FLAGS, """SELECT kind, first_seq AS ord, part, CASE part
  WHEN 0 THEN concat('  [', rpad(upper(type), 16, ' '), '] ', CASE WHEN length(label) < 40 THEN rpad(label, 40, ' ') ELSE label END,
   ' count=', count, ' conf=1.00') ELSE concat('    ', description) END AS line FROM t_sum, (VALUES (0), (1)) p(part)"""))
