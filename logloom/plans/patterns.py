@@ -1,7 +1,7 @@
 """The whole pattern analysis: clusters, flags, samples and summary."""
 from __future__ import annotations
 
-from typing import NamedTuple
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +17,50 @@ ANALYSED = ["seq", "source", "level", "os_source", "ts_us", "message", "cluster_
 CLUSTER, BURST, ESCALATION, OFFENDER = range(4)
 
 
-class Patterns(NamedTuple):
-    pattern: DataFrame   # annotated records
-    sample: DataFrame    # nearest records of each cluster
-    summary: DataFrame   # one row per pattern, with kind and first_seq for order
+class Patterns:
+    """What an analysis found; each table is planned when it is asked for.
+
+    ``pattern`` annotated records, ``sample`` the nearest records of each
+    cluster, ``summary`` one row per pattern with ``kind`` and ``first_seq`` for
+    their order.
+    """
+
+    def __init__(self, assigned: DataFrame, clustered: DataFrame, centroids: DataFrame | None,
+                 n_per_cluster: int, burst_window_secs: int, burst_threshold: int):
+        self.assigned, self.clustered, self.centroids = assigned, clustered, centroids
+        self.n_per_cluster = n_per_cluster
+        self.burst_window_secs, self.burst_threshold = burst_window_secs, burst_threshold
+        self.found = stage_all(
+            meta=cluster_meta(clustered, centroids),
+            ticks=D.burst_ticks(clustered, burst_window_secs, burst_threshold),
+            sources=D.source_totals(clustered),
+            escalating=D.escalation_sources(clustered))
+        self.offenders = broadcast_if_small(
+            self.found["sources"].where(F.col("critical_count") >= S.OFFENDER_THRESHOLD)
+            .withColumn("count", F.col("offender_count")))
+
+    def _annotated(self, rows: DataFrame) -> DataFrame:
+        return annotate(rows, self.found["meta"], self.found["ticks"], self.found["escalating"],
+                        self.offenders)
+
+    @cached_property
+    def pattern(self) -> DataFrame:
+        return self._annotated(self.assigned)
+
+    @cached_property
+    def sample(self) -> DataFrame:
+        """Only the chosen rows are annotated."""
+        chosen = stage_all(chosen=C.sample_per_cluster(
+            self.clustered, self.centroids, self.n_per_cluster).select("seq", "rank"))["chosen"]
+        return self._annotated(self.assigned.drop("embedding").join(chosen, "seq"))
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        escalating = D.listed(self.found["sources"], self.found["escalating"])
+        # ids are unique, so rows in bursts are distinct ids
+        burst_count = self.found["ticks"].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"))
+        return pattern_summary(self.found["meta"], burst_count, escalating, self.offenders,
+                               self.burst_window_secs, self.burst_threshold)
 
 
 def cluster_meta(clustered: DataFrame, centroids: DataFrame | None) -> DataFrame:
@@ -34,8 +74,8 @@ def cluster_meta(clustered: DataFrame, centroids: DataFrame | None) -> DataFrame
 def annotate(clustered: DataFrame, meta: DataFrame, bursts: DataFrame, escalating: DataFrame,
              offenders: DataFrame) -> DataFrame:
     """Records with cluster label, confidence and the three flags. All but the
-    records are staged tables with unique keys."""
-    labels = broadcast_if_small(meta).select(
+    records are staged and measured tables with unique keys."""
+    labels = meta.select(
         "cluster_id", F.col("label").alias("pattern_label"),
         F.round("confidence", 4).alias("pattern_confidence"))
     out = clustered.join(labels, "cluster_id", "left")
@@ -102,22 +142,4 @@ def detect_patterns(records: DataFrame, clusters: str | None = None, k: int | No
     clustered = stage(assigned.select(
         *[c for c in ANALYSED if c in assigned.columns and (centroids is not None or c != "embedding")]), "analysed")
 
-    found = stage_all(
-        meta=cluster_meta(clustered, centroids),
-        ticks=D.burst_ticks(clustered, burst_window_secs, burst_threshold),
-        sources=D.source_totals(clustered),
-        escalating=D.escalation_sources(clustered),
-        chosen=C.sample_per_cluster(clustered, centroids, n_per_cluster).select("seq", "rank"))
-    meta, ticks, totals = found["meta"], found["ticks"], found["sources"]
-    escalating = D.listed(totals, found["escalating"])
-    offenders = totals.where(F.col("critical_count") >= S.OFFENDER_THRESHOLD).withColumn(
-        "count", F.col("offender_count"))
-
-    def annotated(rows):
-        return annotate(rows, meta, ticks, found["escalating"], offenders)
-
-    # only the chosen rows are annotated for the sample
-    sample = annotated(assigned.drop("embedding").join(broadcast_if_small(found["chosen"]), "seq"))
-    burst_count = ticks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"))   # ids are unique
-    return Patterns(annotated(assigned), sample, pattern_summary(
-        meta, burst_count, escalating, offenders, burst_window_secs, burst_threshold))
+    return Patterns(assigned, clustered, centroids, n_per_cluster, burst_window_secs, burst_threshold)

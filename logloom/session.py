@@ -55,13 +55,13 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def stage_all(**tables: DataFrame) -> dict[str, DataFrame]:
-    """Stage independent tables at the same time, so that the last tasks of
-    one do not leave the cluster idle."""
+    """Stage and measure independent tables at the same time, so that the last
+    tasks of one do not leave the cluster idle."""
     spark = next(iter(tables.values())).sparkSession
 
     @inheritable_thread_target(spark)
     def one(item):
-        return stage(item[1], item[0])
+        return broadcast_if_small(stage(item[1], item[0]))
 
     with ThreadPoolExecutor(len(tables)) as pool:
         return dict(zip(tables, pool.map(one, tables.items())))
@@ -84,11 +84,11 @@ def join_flag(df: DataFrame, flagged: DataFrame, keys: list[str], flag: str,
 
     Null keys equal null keys. The flagged table is staged and counted, so the
     wide side is not shuffled unless the flagged set is truly large. Pass
-    ``staged`` for a staged table whose keys are unique.
+    ``staged`` for a staged and measured table whose keys are unique.
     """
     marks = flagged.select(*[F.col(k).alias(f"__{k}") for k in keys])
-    marks = marks if staged else stage(marks.distinct(), flag)
-    marks = broadcast_if_small(marks).withColumn("__hit", F.lit(True))
+    marks = marks if staged else broadcast_if_small(stage(marks.distinct(), flag))
+    marks = marks.withColumn("__hit", F.lit(True))
     match = None
     for k in keys:
         same = df[k].eqNullSafe(marks[f"__{k}"])
