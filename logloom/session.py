@@ -71,11 +71,13 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Hint a broadcast after measuring rows and bytes.
 
     A larger table is left to a shuffled join, where adaptive execution splits
-    hot keys. Give it a staged table: it is read once more for the check.
+    hot keys. Give it a staged table: its count comes from the file footers,
+    and only a table of few rows is read for its bytes.
     """
-    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
-    rows, width = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS and width <= BROADCAST_BYTES else df
+    if df.count() > BROADCAST_ROWS:
+        return df
+    size = df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def join_flag(df: DataFrame, flagged: DataFrame, keys: list[str], flag: str,

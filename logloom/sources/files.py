@@ -19,7 +19,7 @@ def existing_files(spark: SparkSession, paths: list[str]) -> list[tuple[str, str
     """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    found = []
+    found = {}
     for given in paths:
         target = jvm.org.apache.hadoop.fs.Path(given)
         fs = target.getFileSystem(conf)
@@ -29,8 +29,8 @@ def existing_files(spark: SparkSession, paths: list[str]) -> list[tuple[str, str
                 if s.isFile() and not s.getPath().getName().startswith((".", "_"))]
             uris = sorted((re.sub("^file:/+", "file:/", s.getPath().toUri().toString()),
                            s.getPath().toUri().getPath(), s.getPath().toString()) for s in inner)
-            found.extend(u for u in uris if u not in found)
-    return found
+            found.update(dict.fromkeys(uris))
+    return list(found)
 
 
 def read_lines(spark: SparkSession, paths: list[str], max_lines: int | None = None) -> DataFrame:

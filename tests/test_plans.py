@@ -52,3 +52,19 @@ def test_hot_keys_combine_before_the_shuffle(spark):
     for name in ("condense_exact", "cluster_modes", "summary_by_level", "repeat_offenders"):
         assert "partial_count" in plan(QUERIES[name](spark, SF)), name
     assert "rangepartitioning" in plan(D.escalation_sources(I.t_log(spark, SF)))
+
+
+def test_only_measured_tables_are_broadcast(spark, monkeypatch):
+    """With the automatic choice off, hints alone decide."""
+    from logloom import session
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in plan(QUERIES["detect_bursts"](spark, SF))
+        for name, limit in (("BROADCAST_ROWS", 3), ("BROADCAST_BYTES", 10)):
+            with monkeypatch.context() as m:
+                m.setattr(session, name, limit)
+                df = QUERIES["detect_bursts"](spark, SF)
+                assert "BroadcastHashJoin" not in plan(df)
+                assert df.count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
