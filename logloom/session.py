@@ -1,9 +1,11 @@
 """Session settings, shared scratch tables and size-checked broadcasts."""
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +41,23 @@ def scratch_root(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def scratch_home(spark: SparkSession) -> str:
+    """The application's own scratch folder, removed when its Python ends."""
+    home = f"{scratch_root(spark)}/logloom/{spark.sparkContext.applicationId}"
+    if home not in _HOMES:
+        _HOMES.add(home)
+        atexit.register(_remove_at_exit, spark, home)
+    return home
+
+
+_HOMES: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/logloom/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_home(spark)}/{name}-{uuid.uuid4().hex}"
+    for opened in _OPEN:
+        opened.append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -51,7 +68,51 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that owns it."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "scratch_path", None)
+        if path:
+            remove_path(df.sparkSession, path)
+
+
+def _remove_at_exit(spark: SparkSession, home: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            remove_path(spark, home)
+    except Exception:  # the session has gone, and with it the way to the folder
+        pass
+
+
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete everything staged inside the block when it ends.
+
+    Results that are still to be read must be written out within the block.
+    """
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        for path in made:
+            remove_path(spark, path)
 
 
 def stage_all(**tables: DataFrame) -> dict[str, DataFrame]:
