@@ -1,6 +1,7 @@
 """Helpers that several training-data operators share."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +61,28 @@ def components(edges: DataFrame) -> DataFrame:
     return (links.select(F.col("a").alias("node"), F.col("b").alias("component"))
             .unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")))
             .distinct())
+
+
+def run_starts(keys: np.ndarray) -> np.ndarray:
+    """Places where a run of equal values begins."""
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+
+
+def _settle(label: np.ndarray) -> np.ndarray:
+    while True:
+        up = label[label]
+        if np.array_equal(up, label):
+            return label
+        label = up
+
+
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after linking a[i] with b[i]; a label is the smallest place of its set."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        label = _settle(label)

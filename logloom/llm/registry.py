@@ -9,12 +9,22 @@ from .common import table
 from .html import extract_text
 from .mixing import mix_digest
 from .sharding import shard_digest
+from .simhash import simhash_digest
 from .tokens import token_counts
 from .urls import HOST_RULES, judge_urls
+from .vectors import vector_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_digest(table(spark, sf_dir, "documents"))
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_digest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(table(spark, sf_dir, "documents"))
 
@@ -37,6 +47,6 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op6_mixing, op7_token_counts, op8_sharding, op9_url_filter, op10_html_text)}
+    op3_simhash, op4_embedding_dedup, op6_mixing, op7_token_counts, op8_sharding, op9_url_filter, op10_html_text)}
 
 ORACLES: dict[str, str] = {}
