@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontam import contaminated
 from .html import extract_text
 from .mixing import mix_digest
 from .sharding import shard_digest
@@ -17,6 +18,10 @@ from .vectors import vector_digest
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_digest(table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,6 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op3_simhash, op4_embedding_dedup, op6_mixing, op7_token_counts, op8_sharding, op9_url_filter, op10_html_text)}
+    op1_decontamination, op3_simhash, op4_embedding_dedup, op6_mixing, op7_token_counts, op8_sharding, op9_url_filter, op10_html_text)}
 
 ORACLES: dict[str, str] = {}
