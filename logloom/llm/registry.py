@@ -12,6 +12,7 @@ from .mixing import mix_digest
 from .sharding import shard_digest
 from .simhash import simhash_digest
 from .tokens import token_counts
+from .toxicity import toxicity_digest
 from .urls import HOST_RULES, judge_urls
 from .vectors import vector_digest
 
@@ -30,6 +31,10 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_digest(table(spark, sf_dir, "embeddings"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,6 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_decontamination, op3_simhash, op4_embedding_dedup, op6_mixing, op7_token_counts, op8_sharding, op9_url_filter, op10_html_text)}
+    op1_decontamination, op3_simhash, op4_embedding_dedup, op5_toxicity, op6_mixing, op7_token_counts, op8_sharding, op9_url_filter, op10_html_text)}
 
 ORACLES: dict[str, str] = {}
