@@ -3,30 +3,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logloom.llm.decontam import decontaminate
 from logloom.llm.mixing import mix
 from logloom.llm.sharding import shard
+from logloom.llm.simhash import keep_one
+from logloom.llm.toxicity import keep_clean
 from logloom.session import scratch_path
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return keep_one(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per copy that the mix takes of a document."""
     return mix(docs)
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its shard and its slot in it."""
     return shard(docs)
 
 
 STAGES = [
-    ("mix", mix_sources),
-    ("shard", deal_shards),
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark),
+    ("mixing", mix_sources),
+    ("sharding", deal_shards),
 ]
 
-# Fingerprints, a trained classifier and hashed places cannot be said in SQL;
+# Fingerprints, a trained classifier, alignments and hashed places cannot be said in SQL;
 # tests/llm/test_pipeline.py compares every stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, f"corpus-{name}")

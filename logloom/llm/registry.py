@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontam import contaminated
 from .html import extract_text
+from .lm import lm_digest
 from .mixing import mix_digest
 from .sharding import shard_digest
 from .simhash import simhash_digest
@@ -23,6 +24,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_digest(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,6 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_decontamination, op3_simhash, op4_embedding_dedup, op5_toxicity, op6_mixing, op7_token_counts, op8_sharding, op9_url_filter, op10_html_text)}
+    op1_decontamination, op2_language_model, op3_simhash, op4_embedding_dedup, op5_toxicity, op6_mixing, op7_token_counts, op8_sharding, op9_url_filter, op10_html_text)}
 
 ORACLES: dict[str, str] = {}
