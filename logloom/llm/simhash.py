@@ -195,9 +195,10 @@ def link_prints(prints: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_R
     parts = max(parts, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(batches)
-        if not rows.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        rows = pa.Table.from_batches(held)
         cols = {c: rows.column(c).to_numpy() for c in ("mask", "bits", "tree", "block", "fp", "in_tree")}
         order = np.lexsort((cols["fp"], cols["block"], cols["tree"], cols["bits"], cols["mask"]))
         cols = {c: v[order] for c, v in cols.items()}

@@ -73,12 +73,14 @@ def context_table(histogram: DataFrame, by: list[str] = ()) -> DataFrame:
     runs = rows.groupBy(*by, "run").agg(F.sum("documents").alias("d"), F.sum("tokens").alias("t"))
     before = Window.partitionBy(*by).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    runs = runs.select(*by, "run", F.coalesce(F.sum("d").over(before), F.lit(0)).alias("d0"),
+    runs = runs.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("run").alias("__run"), F.coalesce(F.sum("d").over(before), F.lit(0)).alias("d0"),
                        F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"),
                        F.sum("d").over(whole).alias("all_d"))
     inside = Window.partitionBy(*by, "run").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    summed = (rows.withColumns({"d1": F.sum("documents").over(inside), "t1": F.sum("tokens").over(inside)})
-              .join(runs, [*by, "run"]))
+    same = F.col("run") == F.col("__run")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    summed = rows.withColumns({"d1": F.sum("documents").over(inside), "t1": F.sum("tokens").over(inside)}).join(runs, same)
     within, tokens = F.col("d0") + F.col("d1"), F.col("t0") + F.col("t1")
     longer = F.col("all_d") - within
     return summed.select(
