@@ -35,8 +35,10 @@ def filled(c) -> Column:
     return F.nullif(col(c), F.lit(""))
 
 
-def left(c, n: int) -> Column:
-    return F.substring(F.coalesce(col(c), F.lit("")), 1, n)
+def left(c, n: int | None) -> Column:
+    """The first ``n`` characters, or all; empty for null."""
+    whole = F.coalesce(col(c), F.lit(""))
+    return whole if n is None else F.substring(whole, 1, n)
 
 
 def pad(c, n: int) -> Column:

@@ -16,39 +16,44 @@ def _truthy_number(c) -> Column:
     return F.when(col(c) != 0, col(c).cast("string")).otherwise("")
 
 
-def table_columns() -> list[Column]:
-    """The seven clipped columns of the log table."""
+def table_columns(widths: dict[str, int] | None = None) -> list[Column]:
+    """The seven columns of the log table, whole; ``widths`` clips some to so
+    many characters, but never a pid."""
+    def shown(name, value):
+        width = (widths or {}).get(name)
+        return (value if width is None else left(value, width)).alias(name)
+
     return [
         level_badge(F.coalesce(F.col("level"), F.lit("INFO"))).alias("badge"),
-        left("timestamp", 19).alias("timestamp"),
-        left("os_source", 11).alias("os_source"),
-        left("source", 17).alias("source"),
-        F.substring(F.coalesce(F.nullif(F.col("level"), F.lit("")), F.lit("INFO")), 1, 13).alias("level"),
-        F.substring(_truthy_number("pid"), 1, 6).alias("pid"),
-        left("message", 60).alias("message"),
+        *[shown(c, F.coalesce(F.col(c), F.lit(""))) for c in ("timestamp", "os_source", "source")],
+        shown("level", F.coalesce(F.nullif(F.col("level"), F.lit("")), F.lit("INFO"))),
+        _truthy_number("pid").alias("pid"),
+        shown("message", F.coalesce(F.col("message"), F.lit(""))),
     ]
 
 
 def record_line(indent: str = "  ", count="count", with_os_source: bool = True,
-                with_count: bool = True) -> Column:
-    """``xN [time] [level] [os_source] source: message`` of one record."""
+                with_count: bool = True, message_chars: int | None = None,
+                time_chars: int | None = None) -> Column:
+    """``xN [time] [level] [os_source] source: message`` of one record, whole
+    unless numbers of characters are given."""
     n = col(count) if with_count else F.lit(1)
     prefix = F.when(n > 1, F.concat(F.lit("x"), pad(n.cast("string"), 4))).otherwise("     ")
     parts = [F.lit(indent)]
     if with_count:
         parts += [prefix, F.lit(" ")]
-    parts += [F.lit("["), left("timestamp", 19), F.lit("] ["),
+    parts += [F.lit("["), left("timestamp", time_chars), F.lit("] ["),
               F.coalesce(F.col("level"), F.lit("")), F.lit("] ")]
     if with_os_source:
         parts += [F.lit("["), F.coalesce(F.col("os_source"), F.lit("")), F.lit("] ")]
-    parts += [F.coalesce(F.col("source"), F.lit("")), F.lit(": "), left("message", 120)]
+    parts += [F.coalesce(F.col("source"), F.lit("")), F.lit(": "), left("message", message_chars)]
     return F.concat(*parts)
 
 
-def alert_line() -> Column:
-    """``[level] source | message`` with an 80 character message."""
+def alert_line(message_chars: int | None = None) -> Column:
+    """``[level] source | message``, whole unless a number of characters is given."""
     return F.concat(F.lit("["), F.coalesce(F.col("level"), F.lit("")), F.lit("] "),
-                    F.coalesce(F.col("source"), F.lit("")), F.lit(" | "), left("message", 80))
+                    F.coalesce(F.col("source"), F.lit("")), F.lit(" | "), left("message", message_chars))
 
 
 def pattern_line(wide_label: bool) -> Column:

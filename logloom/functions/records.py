@@ -50,11 +50,10 @@ def infer_level(source, message) -> Column:
             out = out | said.contains(w)
         return out
 
-    return (F.when(has("error", "fail", "fatal", "crit", "panic"), "ERROR")
-             .when(has("warn"), "WARNING")
-             .when(has("debug"), "DEBUG")
-             .when(has("notice"), "NOTICE")
-             .otherwise("INFO"))
+    out = F.lit(S.LEVEL_WITHOUT_WORD)
+    for level, words in reversed(S.LEVEL_WORDS.items()):
+        out = F.when(has(*words), level).otherwise(out)
+    return out
 
 
 def infer_facility(source) -> Column:

@@ -6,10 +6,12 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import rank_limit, stage
+from ..session import stage
 
 # Rows one task may number on its own.
 ROWS_PER_TASK = 200_000
+# Parts that a group is cut in before its first rows are taken, if these are many.
+PARTS = 64
 
 
 def first_row(order: str = "seq", columns: list[str] = ()) -> Column:
@@ -54,12 +56,37 @@ def explode_once(df: DataFrame, array: str, place: str | None = None) -> DataFra
 
 def top_in_group(df: DataFrame, group: list[str], ordering: list[Column], n: int,
                  rank: str = "rank") -> DataFrame:
-    """The first ``n`` rows of every group; surplus rows drop before the shuffle."""
-    rank_limit(df.sparkSession, n)
+    """The first ``n`` rows of every group; surplus rows drop before the shuffle.
+
+    Up to its threshold the planner cuts ranks inside the tasks. For a larger
+    ``n`` every group is first cut in PARTS parts, each by its own task, so
+    that no task meets more of a group than that part or PARTS times ``n``.
+    """
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        part = F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))
+        inside = F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*ordering))
+        df = (df.withColumn("__part", part).withColumn("__inside", inside)
+              .where(F.col("__inside") <= n).drop("__part", "__inside"))
     place = F.row_number().over(Window.partitionBy(*group).orderBy(*ordering))
     return df.withColumn(rank, place).where(F.col(rank) <= n)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """All rows with a dense number from 0 in this order.
+
+    Rows are dealt to sorted ranges once and numbered inside them; the sizes
+    of the ranges before are added.
+    """
+    cut = stage(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = cut.groupBy("__range").count()
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range
+    shift = F.broadcast(sizes.select("__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__shift")))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return (cut.withColumn("__place", inside).join(shift, "__range")
+            .withColumn(name, F.col("__shift") + F.col("__place") - 1).drop("__range", "__place", "__shift"))
+
+
 def with_ordinal(df: DataFrame, order: str, name: str) -> DataFrame:
     """Dense number from 0 in the order of a unique numeric column.
 

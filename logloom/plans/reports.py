@@ -8,12 +8,14 @@ from ..functions.base import pad
 from ..functions.display import pattern_line, record_line, table_columns
 from ..operators.condense import condense_template
 from ..operators.filters import filter_critical, last_critical
-from ..operators.order import top_in_group
+from ..operators.order import numbered, top_in_group
 from ..operators.summary import consultation_overview, error_template_ratio
 
 
-def _ranked(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    """The first ``n`` rows with ``ord`` from 0; only they are numbered."""
+def _ranked(df: DataFrame, n: int | None, *order: Column) -> DataFrame:
+    """All rows, or the first ``n``, with ``ord`` from 0."""
+    if n is None:
+        return numbered(df, list(order), "ord")
     return df.orderBy(*order).limit(n).withColumn(
         "ord", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
 
@@ -35,11 +37,14 @@ def _described() -> Column:
     return F.concat(F.lit("    "), F.col("description"))
 
 
-def log_table_view(records: DataFrame, limit: int = 50) -> DataFrame:
-    """First records as the clipped display columns, with ``more``: how many
-    records are not shown."""
+def log_table_view(records: DataFrame, limit: int | None = None,
+                   widths: dict[str, int] | None = None) -> DataFrame:
+    """All or the first ``limit`` records as display columns, with ``more``:
+    how many records are not shown."""
+    shown = _ranked(records, limit, F.col("seq")).select("ord", *table_columns(widths))
+    if limit is None:
+        return shown.withColumn("more", F.lit(0).cast("long"))
     total = records.agg(F.greatest(F.count("*") - limit, F.lit(0).cast("long")).alias("more"))
-    shown = _ranked(records, limit, F.col("seq")).select("ord", *table_columns())
     return shown.withColumn("more", total.scalar())
 
 
@@ -51,13 +56,16 @@ def pattern_lines(summary: DataFrame) -> DataFrame:
 
 
 def triage_report(records: DataFrame, summary: DataFrame, sample: DataFrame,
-                  max_patterns: int = 15, max_samples: int = 10, max_critical: int = 20) -> DataFrame:
-    """Leading patterns, samples, the last critical rows and the total."""
+                  max_patterns: int | None = None, max_samples: int | None = None,
+                  max_critical: int | None = None) -> DataFrame:
+    """Patterns, samples, critical rows and the total; all of them, or as many
+    of the first patterns and samples and the last critical rows as asked for."""
     patterns = _lines(_ranked(summary, max_patterns, F.col("kind"), F.col("first_seq")),
                       "patterns", pattern_line(False), _described())
     samples = _lines(_ranked(sample, max_samples, F.col("cluster_id"), F.col("rank")), "samples",
                      record_line(with_count=False))
-    critical = _lines(_ranked(last_critical(records, max_critical), max_critical, F.col("seq")),
+    urgent = filter_critical(records) if max_critical is None else last_critical(records, max_critical)
+    critical = _lines(_ranked(urgent, max_critical, F.col("seq")),
                       "critical", record_line(with_os_source=False, with_count=False))
     total = _lines(records.agg(F.count("*").alias("n")).withColumn("ord", F.lit(0)), "total",
                    F.concat(F.lit("Total logs collected: "), F.col("n").cast("string")))
@@ -67,13 +75,19 @@ def triage_report(records: DataFrame, summary: DataFrame, sample: DataFrame,
             .unionByName(total))
 
 
-def _blocks(condensed: DataFrame, section: str, heading: DataFrame, max_records: int) -> DataFrame:
-    """Per dataset: a heading (part 0), its leading condensed rows (part 1 and
-    up) and a closing line where more were left out."""
+def _blocks(condensed: DataFrame, section: str, heading: DataFrame, max_records: int | None) -> DataFrame:
+    """Per dataset: a heading (part 0), its condensed rows (part 1 and up), all
+    or the leading ones, and a closing line where more were left out."""
     dataset = F.col("dataset").alias("ord")
-    top = top_in_group(condensed, ["dataset"], [F.col("count").desc(), F.col("seq")], max_records)
+    order = [F.col("count").desc(), F.col("seq")]
+    if max_records is None:
+        top = condensed.withColumn("rank", F.row_number().over(Window.partitionBy("dataset").orderBy(*order)))
+    else:
+        top = top_in_group(condensed, ["dataset"], order, max_records)
     rows = top.select(F.lit(section).alias("section"), dataset, F.col("rank").alias("part"),
                       record_line("    ").alias("line"))
+    if max_records is None:
+        return heading.unionByName(rows)
     sizes = condensed.groupBy("dataset").agg((F.count("*") - max_records).alias("more")).where("more > 0")
     closing = sizes.select(
         F.lit(section).alias("section"), dataset, F.lit(max_records + 1).alias("part"),
@@ -82,7 +96,7 @@ def _blocks(condensed: DataFrame, section: str, heading: DataFrame, max_records:
 
 
 def consultation_report(records: DataFrame, summary: DataFrame, sample: DataFrame,
-                        max_errors: int = 20, max_samples: int = 10) -> DataFrame:
+                        max_errors: int | None = None, max_samples: int | None = None) -> DataFrame:
     """Overview, all patterns, condensed errors and samples per dataset, and
     the level distribution. ``ord`` is text: number, pattern place or dataset."""
     over = consultation_overview(records, summary)

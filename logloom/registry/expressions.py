@@ -73,17 +73,15 @@ def _(spark, sf):
 
 
 @query("log_table_view", over(I.LOG, f"""SELECT row_number() OVER (ORDER BY seq) - 1 AS ord,
- CASE level {_BADGES} ELSE '[  ]' END AS badge, substr(timestamp, 1, 19) AS timestamp,
- substr(os_source, 1, 11) AS os_source, substr(source, 1, 17) AS source, substr(level, 1, 13) AS level,
- CASE WHEN pid <> 0 THEN substr(CAST(pid AS VARCHAR), 1, 6) ELSE '' END AS pid, substr(message, 1, 60) AS message,
- (SELECT greatest(count(*) - 50, 0) FROM t_log) AS more FROM t_log ORDER BY seq LIMIT 50"""))
+ CASE level {_BADGES} ELSE '[  ]' END AS badge, timestamp, os_source, source, level,
+ CASE WHEN pid <> 0 THEN CAST(pid AS VARCHAR) ELSE '' END AS pid, message, CAST(0 AS BIGINT) AS more FROM t_log"""))
 def _(spark, sf):
     return log_table_view(I.t_log(spark, sf))
 
 
 @query("format_record_line", over(I.LOG, """SELECT seq, concat('  ', CASE WHEN n > 1 THEN concat('x', rpad(CAST(n AS VARCHAR), 4, ' ')) ELSE '     ' END,
- ' [', substr(timestamp, 1, 19), '] [', level, '] [', os_source, '] ', source, ': ', substr(message, 1, 120)) AS line,
- concat('  [', substr(timestamp, 1, 19), '] [', level, '] [', os_source, '] ', source, ': ', substr(message, 1, 120)) AS live
+ ' [', timestamp, '] [', level, '] [', os_source, '] ', source, ': ', message) AS line,
+ concat('  [', timestamp, '] [', level, '] [', os_source, '] ', source, ': ', message) AS live
  FROM (SELECT *, seq % 3 AS n FROM t_log)"""))
 def _(spark, sf):
     counted = I.t_log(spark, sf).withColumn("count", F.col("seq") % 3)
@@ -104,8 +102,8 @@ def _(spark, sf):
 
 
 TOKEN_FILTER = "length(token) > 2 AND token NOT IN (" + ", ".join(f"'{w}'" for w in S.STOPWORDS) + ")"
-TOKENS = {**I.MSG, "t_word": """SELECT *, generate_subscripts(w, 1) AS pos, trim(unnest(w), '[]():,;.') AS token
- FROM (SELECT *, list_filter(regexp_split_to_array(lower(message), '\\s+'), lambda x: x <> '') AS w FROM t_msg)""",
+TOKENS = {**I.MSG, "t_word": f"""SELECT *, generate_subscripts(w, 1) AS pos, trim(unnest(w), '[]():,;.') AS token
+ FROM (SELECT *, list_filter(regexp_split_to_array(lower(message), '{I.SPACE_SQL}+'), lambda x: x <> '') AS w FROM t_msg)""",
           "t_token": f"SELECT * FROM t_word WHERE {TOKEN_FILTER}"}
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.base import compute_once, lookup
+from ..functions.base import WHITESPACE, compute_once, lookup
 from ..functions.records import build_text
 from ..session import scratch_path, spread
 from ..streaming.run import read_stream
@@ -261,11 +261,11 @@ WIN = {"t_win": """SELECT event_id AS seq, ts,
 
 
 def t_msg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of every document that is plain ASCII."""
+    """Every line of every document."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
     lines = docs.select("doc_id", "lang", F.col("source"),
                         F.posexplode(F.split("text", "\n")).alias("pos", "message"))
-    return lines.where(F.col("message").rlike(r"^[\x00-\x7F]*$")).select(
+    return lines.select(
         (F.col("doc_id") * 100000 + F.col("pos")).alias("seq"), "doc_id", "source",
         lookup(F.col("lang"), {"en": "ERROR", "de": "WARNING", "fr": "INFO"}, "DEBUG").alias("level"),
         F.col("lang").alias("os_source"), "message",
@@ -276,8 +276,11 @@ MSG = {"t_msg": """SELECT doc_id * 100000 + pos - 1 AS seq, doc_id, source,
  CASE lang WHEN 'en' THEN 'ERROR' WHEN 'de' THEN 'WARNING' WHEN 'fr' THEN 'INFO' ELSE 'DEBUG' END AS level,
  lang AS os_source, message, concat('d', doc_id % 2) AS dataset
  FROM (SELECT doc_id, lang, source, generate_subscripts(string_split(text, chr(10)), 1) AS pos,
-              unnest(string_split(text, chr(10))) AS message FROM documents)
- WHERE regexp_full_match(message, '[\\x00-\\x7F]*', 's')"""}
+              unnest(string_split(text, chr(10))) AS message FROM documents)"""}
+
+# Character classes of the expected texts, spelled out: those the SQL engine names are ASCII only.
+WORD_SQL = "\\p{L}\\p{M}\\p{Nd}\\p{Pc}"
+SPACE_SQL = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]"
 
 
 def with_variable_tail(msg: DataFrame) -> DataFrame:
@@ -308,8 +311,16 @@ def mask_sql(column: str) -> str:
     from .. import schema as S
     out = column
     for pattern, mark in S.MASK_RULES:
-        out = f"regexp_replace({out}, '{pattern}', '{mark}', 'g')"
-    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+        times = 1
+        spelled = pattern.replace("\\w", WORD_SQL).replace("\\d", "\\p{Nd}").replace("\\s", SPACE_SQL)
+        if pattern.startswith("\\b"):
+            spelled, mark = f"(^|[^{WORD_SQL}])" + spelled[2:], "\\1" + mark
+        if pattern.endswith("\\b"):
+            # neighbouring matches share the character between them: the second pass finds the others
+            spelled, mark, times = spelled[:-2] + f"($|[^{WORD_SQL}])", mark + "\\2", 2
+        for _ in range(times):
+            out = f"regexp_replace({out}, '{spelled}', '{mark}', 'g')"
+    return f"trim(regexp_replace({out}, '{SPACE_SQL}+', ' ', 'g'))"
 
 
 TAILED = {**MSG, "t_tail": TAILED_SQL}
@@ -337,3 +348,22 @@ def text_folder(df: DataFrame, name: str) -> str:
     path = scratch_path(df.sparkSession, name)
     df.select("value").write.text(path)
     return path
+
+
+def text_files(lines: DataFrame, names: list[str]) -> list[str]:
+    """One text file per path of ``lines``, whose last part starts the name, in order of ``seq``."""
+    spark = lines.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = scratch_path(spark, "files")
+    out = []
+    for name in names:
+        stem = name.rsplit(".", 1)[0]
+        part = f"{folder}/parts-{stem}"
+        own = lines.where(F.regexp_extract("path", r"([^/.]+)[^/]*$", 1) == stem)
+        own.repartition(1).sortWithinPartitions("seq").select("value").write.text(part)
+        root = jvm.org.apache.hadoop.fs.Path(part)
+        fs = root.getFileSystem(conf)
+        found = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("part-")]
+        fs.rename(found[0], jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"))
+        out.append(f"{folder}/{name}")
+    return out

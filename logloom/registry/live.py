@@ -28,7 +28,7 @@ def _(spark, sf):
         "seq", "os_source", "timestamp", "source", "level", "event_id", "hostname", "message", "raw")
 
 
-@query("stream_critical_alerts", over(I.LOG, f"""SELECT id, level, concat('[', level, '] ', source, ' | ', substr(message, 1, 80)) AS line
+@query("stream_critical_alerts", over(I.LOG, f"""SELECT id, level, concat('[', level, '] ', source, ' | ', message) AS line
  FROM t_log WHERE level IN {CRIT}"""))
 def _(spark, sf):
     return land(L.critical_alerts(I.t_log_stream(spark, sf)))

@@ -8,8 +8,8 @@ from .clusters import FLAGS, found
 from .counts import CRIT
 
 _HEAD = "concat('  [', rpad(upper(type), 16, ' '), '] ', label, ' (count=', count, ', conf=1.00)')"
-_LIVE = "concat('  [', substr(timestamp, 1, 19), '] [', level, '] [', os_source, '] ', source, ': ', substr(message, 1, 120))"
-_BARE = "concat('  [', substr(timestamp, 1, 19), '] [', level, '] ', source, ': ', substr(message, 1, 120))"
+_LIVE = "concat('  [', timestamp, '] [', level, '] [', os_source, '] ', source, ': ', message)"
+_BARE = "concat('  [', timestamp, '] [', level, '] ', source, ': ', message)"
 
 
 @query("triage_report", over(FLAGS, f"""SELECT 'patterns' AS section, ord, part,
@@ -21,12 +21,12 @@ _BARE = "concat('  [', substr(timestamp, 1, 19), '] [', level, '] ', source, ':
  UNION ALL SELECT 'total', 0, 0, concat('Total logs collected: ', count(*)) FROM t_log"""))
 def _(spark, sf):
     p = found(spark, sf)
-    return R.triage_report(I.t_log(spark, sf), p.summary, p.sample)
+    return R.triage_report(I.t_log(spark, sf), p.summary, p.sample, 15, 10, 20)
 
 
 def _blocks(section: str, table: str, limit: int) -> str:
     return f"""SELECT '{section}', dataset, CAST(rn AS INTEGER), concat('    ', CASE WHEN n > 1 THEN concat('x', rpad(CAST(n AS VARCHAR), 4, ' ')) ELSE '     ' END,
-  ' [', substr(timestamp, 1, 19), '] [', level, '] [', os_source, '] ', source, ': ', substr(message, 1, 120))
+  ' [', timestamp, '] [', level, '] [', os_source, '] ', source, ': ', message)
   FROM {table} WHERE rn <= {limit}
  UNION ALL SELECT '{section}', dataset, {limit + 1}, concat('    ... ', count(*) - {limit}, ' more (omitted)')
   FROM {table} GROUP BY dataset HAVING count(*) > {limit}"""
@@ -55,4 +55,4 @@ CONSULT = {**FLAGS, "c_err": _condensed("t_log", f"level IN {CRIT}"), "c_sam": _
   FROM (SELECT dataset, level, count(*) AS n, min(seq) AS first FROM t_log GROUP BY dataset, level) GROUP BY dataset"""))
 def _(spark, sf):
     p = found(spark, sf)
-    return R.consultation_report(I.t_log(spark, sf), p.summary, p.sample)
+    return R.consultation_report(I.t_log(spark, sf), p.summary, p.sample, 20, 10)

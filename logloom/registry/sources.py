@@ -10,7 +10,7 @@ from ..functions.records import (decode_byte_message, facility_name, infer_facil
 from ..operators.summary import with_field_split, with_level_split
 from ..operators.vectorize import vectorize
 from ..session import scratch_path
-from ..sources.files import first_lines_per_file
+from ..sources.files import first_lines_per_file, read_lines
 from ..sources.journald import _get, filter_journald, ingest_journald, journald_entries, parse_journald
 from ..sources.syslog import dedup_raw, ingest_syslog_files, parse_syslog, union_sources
 from ..sources.tables import (load_jsonl, load_variant, save_records, save_variants, write_split)
@@ -29,28 +29,32 @@ def parsed_raw(spark, sf):
     return parse_syslog(I.t_raw(spark, sf), I.PARSE_YEAR)
 
 
-@query("ingest_syslog_files", over(I.RAW, """SELECT timestamp, source, level, pid, hostname, facility,
- message, raw, ts_us, count(*) AS copies FROM t_raw GROUP BY ALL"""))
+@query("ingest_syslog_files", over(I.RAW, f"""SELECT row_number() OVER (ORDER BY place, event_id) - 1 AS seq, file, {RECS}
+ FROM (SELECT *, seq AS event_id, os_source || '.log' AS file,
+ CASE os_source WHEN 'auth' THEN 0 WHEN 'syslog' THEN 1 ELSE 2 END AS place FROM t_raw)"""))
 def _(spark, sf):
-    folder = I.text_folder(I.t_raw(spark, sf), "syslog")
-    read = ingest_syslog_files(spark, [folder, "/no/such/file.log"], year=I.PARSE_YEAR, max_lines=None)
-    return read.groupBy(*[c for c in REC if c != "os_source"]).agg(F.count("*").alias("copies"))
+    """One file per path, read with the default arguments; every column compared."""
+    paths = I.text_files(I.t_raw(spark, sf), ["auth.log", "syslog.log", "messages.log"])
+    read = ingest_syslog_files(spark, [paths[0], "/no/such/file.log", *paths[1:]], year=I.PARSE_YEAR)
+    return read.select("seq", F.concat("os_source", F.lit(".log")).alias("file"), *REC)
 
 
-@query("ingest_line_numbers", "SELECT count(*) AS n, 0 AS first, count(*) - 1 AS last, count(*) AS places FROM events")
+@query("ingest_line_numbers", over(I.RAW, """SELECT raw AS value, row_number() OVER (ORDER BY place, event_id) - 1 AS seq,
+ row_number() OVER (PARTITION BY place ORDER BY event_id) - 1 AS line_no FROM (SELECT *, seq AS event_id,
+ CASE os_source WHEN 'auth' THEN 0 WHEN 'syslog' THEN 1 ELSE 2 END AS place FROM t_raw)"""))
 def _(spark, sf):
-    """Arrival numbers are dense and unique over all lines."""
-    from ..sources.files import read_lines
-    lines = read_lines(spark, [I.text_folder(I.t_raw(spark, sf), "syslog")])
-    return lines.agg(F.count("*").alias("n"), F.min("seq").cast("int").alias("first"),
-                     F.max("seq").alias("last"), F.count_distinct("seq").alias("places"))
+    """Arrival and line number of every line."""
+    paths = I.text_files(I.t_raw(spark, sf), ["auth.log", "syslog.log", "messages.log"])
+    return read_lines(spark, paths).select("value", "seq", "line_no")
 
 
 for _name, _kind in (("parse_syslog_iso", 1), ("parse_syslog_rfc3164", 0), ("parse_syslog_unmatched", 2)):
     def _make(kind):
         def run(spark, sf):
-            own = parse_syslog(I.t_raw(spark, sf).where(F.col("seq") % 3 == kind), I.PARSE_YEAR)
-            return own.select("id", "seq", *REC, "text")
+            """All lines are parsed; the layout that was recognised decides."""
+            stamp = F.col("timestamp")
+            layout = F.when(stamp == "", 2).when(stamp.rlike("[+-][0-9]{2}:[0-9]{2}$"), 1).otherwise(0)
+            return parsed_raw(spark, sf).where(layout == kind).select("id", "seq", *REC, "text")
         return run
     query(_name, over(I.RAW, f"""SELECT sha256(concat(path, chr(31), seq, chr(31), raw)) AS id, seq, {RECS}, {_TEXT}
      FROM t_raw WHERE kind = {_kind}"""))(_make(_kind))
@@ -73,18 +77,19 @@ def _(spark, sf):
 _WIN_COLS = "seq, 'Windows' AS os_type, os_source, timestamp, ts_us, source, level, event_id, hostname, message, raw"
 
 
-@query("ingest_windows_events", over(I.WIN, f"""SELECT {_WIN_COLS} FROM (SELECT *, row_number() OVER (
- PARTITION BY os_source ORDER BY ts DESC, seq DESC) AS rn FROM t_win WHERE os_source IN ('System', 'Security'))
- WHERE rn <= 2000"""))
+@query("ingest_windows_events", over(I.WIN, f"SELECT {_WIN_COLS} FROM t_win"))
 def _(spark, sf):
-    return ingest_windows_events(I.t_win(spark, sf), ["System", "Security"]).select(
+    return ingest_windows_events(I.t_win(spark, sf)).select(
         "seq", "os_type", "os_source", "timestamp", "ts_us", "source", "level", "event_id",
         "hostname", "message", "raw")
 
 
-@query("parse_windows_events", over(I.WIN, f"SELECT {_WIN_COLS} FROM t_win"))
+@query("parse_windows_events", over(I.WIN, f"""SELECT {_WIN_COLS} FROM (SELECT *, row_number() OVER (
+ PARTITION BY os_source ORDER BY ts DESC, seq DESC) AS rn FROM t_win WHERE os_source IN ('System', 'Security'))
+ WHERE rn <= 2000"""))
 def _(spark, sf):
-    return ingest_windows_events(I.t_win(spark, sf), max_events=None).select(
+    """Two channels and a cap above the planner's rank limit."""
+    return ingest_windows_events(I.t_win(spark, sf), ["System", "Security"], max_events=2000).select(
         "seq", "os_type", "os_source", "timestamp", "ts_us", "source", "level", "event_id",
         "hostname", "message", "raw")
 

@@ -13,7 +13,7 @@ from .base import over, query
 def hash_sql(source: str, text: str) -> dict[str, str]:
     return {"t_slot": f"""SELECT seq, b & 127 AS dim, CASE WHEN b % 2 = 0 THEN 1 ELSE -1 END AS sign FROM (SELECT seq,
  CAST(concat('0x', right(md5(w), 2)) AS INTEGER) AS b FROM (SELECT seq,
- unnest(regexp_split_to_array(lower({text}), '\\s+')) AS w FROM {source}) WHERE w <> '')""",
+ unnest(regexp_split_to_array(lower({text}), '{I.SPACE_SQL}+')) AS w FROM {source}) WHERE w <> '')""",
             "t_vec": "SELECT seq, dim, sum(sign) AS v FROM t_slot GROUP BY seq, dim",
             "t_hash": "SELECT seq, dim, round(v / sqrt(sum(v * v) OVER (PARTITION BY seq)), 6) AS x FROM t_vec"}
 
@@ -34,7 +34,7 @@ def _(spark, sf):
 
 
 def tfidf_sql(split: str, n: int = 5000) -> dict[str, str]:
-    return {"t_toks": f"SELECT seq, {split} AS split, regexp_extract_all(lower(message), '\\b\\w\\w+\\b') AS toks FROM t_msg",
+    return {"t_toks": f"SELECT seq, {split} AS split, regexp_extract_all(lower(message), '[{I.WORD_SQL}]{{2,}}') AS toks FROM t_msg",
             "t_term": """SELECT split, seq, unnest(toks) AS term FROM t_toks UNION ALL SELECT split, seq,
  unnest(list_transform(range(1, len(toks)), lambda i: concat(toks[i], ' ', toks[i + 1]))) FROM t_toks""",
             "t_tf": "SELECT split, seq, term, count(*) AS tf FROM t_term GROUP BY ALL",

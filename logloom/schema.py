@@ -81,11 +81,13 @@ LEVEL_BADGES = {"ERROR": "[!!]", "CRITICAL": "[!!]", "EMERGENCY": "[!!]",
                 "DEBUG": "[D ]", "UNKNOWN": "[? ]"}
 DEFAULT_BADGE = "[  ]"
 
-STOPWORDS = """
-a an and are as at be been but by debug error event facility for from had has
-have host id in info is it its log no not notice of on or pid source that the
-this to unknown warning was with
-""".split()
+STOPWORDS = [
+    "the", "a", "an", "is", "it", "to", "of", "in", "for", "on", "at",
+    "by", "or", "and", "not", "no", "has", "was", "are", "be", "been",
+    "with", "from", "that", "this", "have", "had", "as", "but", "its",
+    "log", "source", "host", "pid", "event", "id", "facility", "info",
+    "error", "warning", "debug", "notice", "unknown",
+]
 TOKEN_EDGE_CHARS = "[]():,;."
 
 MASK_RULES = [
@@ -103,11 +105,13 @@ MASK_RULES = [
 
 DEFAULT_SYSLOG_FILES = ["/var/log/syslog", "/var/log/messages", "/var/log/auth.log",
                         "/var/log/kern.log", "/var/log/daemon.log"]
-DEFAULT_CHANNELS = ["System", "Application", "Security"]
 
-# Operating defaults: sizes and schedule of the live mode.
-MAX_LINES_PER_FILE = 10_000
-MAX_EVENTS_PER_CHANNEL = 2_000
+# Words that give a message without a level its level, the first kind found.
+LEVEL_WORDS = {"ERROR": ["error", "fail", "fatal", "crit", "panic"], "WARNING": ["warn"],
+               "DEBUG": ["debug"], "NOTICE": ["notice"]}
+LEVEL_WITHOUT_WORD = "INFO"
+
+# Operating defaults: schedule of the live mode.
 BURST_WINDOW_SECS = 60
 BURST_THRESHOLD = 3
 OFFENDER_THRESHOLD = 3

@@ -169,14 +169,3 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
-def rank_limit(spark: SparkSession, n: int) -> None:
-    """Let rank filters up to ``n`` be applied per task ahead of the shuffle.
-
-    Spark does so only up to a threshold; above it, one group would travel
-    whole to one task.
-    """
-    key = "spark.sql.optimizer.windowGroupLimitThreshold"
-    if int(spark.conf.get(key, "1000")) < n:
-        spark.conf.set(key, str(n))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions.base import compute_once, filled, strip
 from ..functions.records import (decode_byte_message, facility_name, micros_to_iso,
                                  priority_level)
-from ..schema import MAX_LINES_PER_FILE
 from .files import read_lines
 from .syslog import as_records, ingest_syslog_files, union_sources
 
@@ -80,7 +79,7 @@ def ingest_journald_files(spark: SparkSession, paths: list[str], since_us: int |
 
 
 def collect_linux(spark: SparkSession, log_files: list[str] | None, journal_files: list[str], *,
-                  year: int, max_lines: int | None = MAX_LINES_PER_FILE, since_us: int | None = None,
+                  year: int, max_lines: int | None = None, since_us: int | None = None,
                   units: list[str] | None = None, default_host: str = "localhost",
                   dataset: str = "linux") -> DataFrame:
     """Log files, then the journal, and the first of every identical line."""

@@ -78,9 +78,9 @@ def as_records(df: DataFrame, dataset: str, compat_time: bool = False) -> DataFr
 
 
 def ingest_syslog_files(spark: SparkSession, log_files: list[str] | None = None, *,
-                        year: int, max_lines: int | None = S.MAX_LINES_PER_FILE,
+                        year: int, max_lines: int | None = None,
                         default_host: str = "localhost", dataset: str = "linux") -> DataFrame:
-    """Read and parse many log files; ``max_lines=None`` reads them whole."""
+    """Read and parse many log files whole, or the first ``max_lines`` lines of each."""
     paths = S.DEFAULT_SYSLOG_FILES if log_files is None else log_files
     return parse_syslog(read_lines(spark, paths, max_lines), year, default_host, dataset)
 
@@ -99,8 +99,11 @@ def dedup_raw(records: DataFrame) -> DataFrame:
 def union_sources(*collections: DataFrame) -> DataFrame:
     """Collections in order, first copy of every raw line kept.
 
-    The place of a collection goes into the upper bits of ``seq``.
+    The place of a collection goes into the upper bits of ``seq``, which holds
+    127 collections and numbers below 2**56.
     """
+    if len(collections) > 127:
+        raise ValueError("no more than 127 collections")
     out = None
     for rank, records in enumerate(collections):
         moved = records.withColumn("seq", F.col("seq") + F.lit(rank << 56))

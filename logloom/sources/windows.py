@@ -4,23 +4,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import schema as S
 from ..functions.records import (insert_list_text, windows_event_id, windows_level,
                                  windows_message)
-from ..session import rank_limit
+from ..operators.order import top_in_group
 from .syslog import as_records
 
 
-def newest_per_channel(events: DataFrame, max_events: int = S.MAX_EVENTS_PER_CHANNEL) -> DataFrame:
-    """The newest events of every channel, newest first by ``newest``.
+def newest_per_channel(events: DataFrame, max_events: int | None = None) -> DataFrame:
+    """Events of every channel numbered by ``newest``, newest first; all, or
+    the newest ``max_events`` of each.
 
-    There are few channels, so the cap must act before the shuffle:
-    ``rank_limit`` lets the planner do that for this size.
+    There are few channels: a cap acts before they are gathered.
     """
-    rank_limit(events.sparkSession, max_events)
-    newest = F.row_number().over(Window.partitionBy("channel").orderBy(
-        F.col("time_generated").desc(), F.col("seq").desc()))
-    return events.withColumn("newest", newest).where(F.col("newest") <= max_events)
+    order = [F.col("time_generated").desc(), F.col("seq").desc()]
+    if max_events is not None:
+        return top_in_group(events, ["channel"], order, max_events, "newest")
+    return events.withColumn("newest", F.row_number().over(Window.partitionBy("channel").orderBy(*order)))
 
 
 def parse_windows(events: DataFrame, dataset: str = "windows") -> DataFrame:
@@ -42,10 +41,11 @@ def parse_windows(events: DataFrame, dataset: str = "windows") -> DataFrame:
 
 
 def ingest_windows_events(events: DataFrame, channels: list[str] | None = None,
-                          max_events: int | None = S.MAX_EVENTS_PER_CHANNEL,
+                          max_events: int | None = None,
                           dataset: str = "windows") -> DataFrame:
-    """Selected channels, capped at the newest events of each, as records."""
-    kept = events.where(F.col("channel").isin(*(channels or S.DEFAULT_CHANNELS)))
+    """Events as records: of all channels or those listed, all of them or the
+    newest ``max_events`` of each."""
+    kept = events if channels is None else events.where(F.col("channel").isin(*channels))
     if max_events is not None:
         kept = newest_per_channel(kept, max_events)
     return parse_windows(kept, dataset)

@@ -31,17 +31,18 @@ def journald_stream(lines: DataFrame, default_host: str = "localhost", dataset:
 
 def windows_stream(events: DataFrame, channels: list[str] | None = None, since=None,
                    dataset: str = "live") -> DataFrame:
-    """Exported event rows to records, only those after ``since``."""
-    kept = events.where(F.col("channel").isin(*(channels or S.DEFAULT_CHANNELS)))
+    """Exported event rows to records, of all channels or those listed, and
+    only those after ``since`` if it is given."""
+    kept = events if channels is None else events.where(F.col("channel").isin(*channels))
     if since is not None:
         kept = kept.where(F.col("time_generated") > F.lit(since))
     return parse_windows(kept, dataset)
 
 
-def critical_alerts(records: DataFrame) -> DataFrame:
+def critical_alerts(records: DataFrame, message_chars: int | None = None) -> DataFrame:
     """Stateless: a line for every critical record at once."""
     return (records.where(F.col("level").isin(*S.CRITICAL_LEVELS))
-            .select("id", "level", alert_line().alias("line")))
+            .select("id", "level", alert_line(message_chars).alias("line")))
 
 
 def running_totals(records: DataFrame, every: int = 50) -> DataFrame:
