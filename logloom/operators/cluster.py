@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import vectors as V
 from ..functions.templates import message_tokens
-from ..session import broadcast_if_small, stage
+from ..session import broadcast_if_small, discard, stage
 from .order import explode_once, group_profile, top_in_group, with_ordinal
 
-# Centroid numbers that go into an expression; more are kept in a matrix.
-INLINE_NUMBERS = 20_000
+# Numbers of the centroids that one block holds; more centroids are met block by block.
+BLOCK_NUMBERS = 4_000_000
 # Differences a task holds at once when it compares with a matrix.
 STEP_NUMBERS = 4_000_000
 
@@ -49,22 +49,21 @@ def kmeans_clusters(records: DataFrame, k: int | None = None, starts: int = 10,
     """K-means on ``embedding``: the cheapest of several starts.
 
     Returns the records with ``cluster_id`` and the centroid table. Training
-    reads one staged vector column.
+    reads one staged vector column; each start keeps its own copy of it while
+    it runs.
     """
-    data = stage(records.select("embedding"), "vectors").select(
-        array_to_vector("embedding").alias("features")).persist()
-    try:
-        k = auto_k(data.count()) if k is None else min(k, data.count())
-        if k < 2:
-            mean = data.select(vector_to_array(Summarizer.mean(F.col("features"))).alias("centroid"))
-            return (records.withColumn("cluster_id", F.lit(0).cast("long")),
-                    mean.select(F.lit(0).cast("long").alias("cluster_id"), "centroid"))
-        trainer = KMeans(k=k, maxIter=max_iter, tol=tol, featuresCol="features",
-                         predictionCol="cluster_id")
-        fitted = (trainer.copy({trainer.seed: seed + i}).fit(data) for i in range(starts))
-        best = reduce(lambda a, b: b if b.summary.trainingCost < a.summary.trainingCost else a, fitted)
-    finally:
-        data.unpersist()
+    staged = stage(records.select("embedding"), "vectors")
+    data = staged.select(array_to_vector("embedding").alias("features"))
+    n = staged.count()
+    k = auto_k(n) if k is None else min(k, n)
+    if k < 2:
+        mean = data.select(vector_to_array(Summarizer.mean(F.col("features"))).alias("centroid"))
+        return (records.withColumn("cluster_id", F.lit(0).cast("long")),
+                mean.select(F.lit(0).cast("long").alias("cluster_id"), "centroid"))
+    trainer = KMeans(k=k, maxIter=max_iter, tol=tol, featuresCol="features", predictionCol="cluster_id")
+    fitted = (trainer.copy({trainer.seed: seed + i}).fit(data) for i in range(starts))
+    best = reduce(lambda a, b: b if b.summary.trainingCost < a.summary.trainingCost else a, fitted)
+    discard(staged)
     centers = [(i, [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())]
     centroids = records.sparkSession.createDataFrame(centers, "cluster_id long, centroid array<double>")
     assigned = (best.transform(records.withColumn("features", array_to_vector("embedding")))
@@ -83,13 +82,8 @@ def _bounded(centroid_table: DataFrame) -> DataFrame:
     return broadcast_if_small(table)
 
 
-def _nearest_inline(ids: list[int], vectors: list[list[float]]) -> Column:
-    pairs = F.arrays_zip(F.lit(ids).cast("array<long>").alias("id"), F.lit(vectors).alias("c"))
-    return F.array_min(F.transform(pairs, lambda p: F.struct(
-        V.squared_distance("embedding", p["c"]).alias("d"), p["id"].alias("id"))))
-
-
-def _nearest_matrix(records: DataFrame, ids: list[int], vectors: list[list[float]]) -> Column:
+def _nearest(records: DataFrame, ids: list[int], vectors: list[list[float]]) -> Column:
+    """(squared distance, id) of the nearest of a block of centroids, the lower id on ties."""
     shared = records.sparkSession.sparkContext.broadcast((np.array(ids), np.array(vectors)))
 
     @F.pandas_udf("d double, id long")
@@ -110,16 +104,20 @@ def _nearest_matrix(records: DataFrame, ids: list[int], vectors: list[list[float
 def nearest_centroid(records: DataFrame, centroid_table: DataFrame) -> DataFrame:
     """The cluster whose centroid is closest, the lower id on ties.
 
-    Rows are compared in place and never multiplied by the centroids. A few
-    centroids become part of the expression, many a matrix on every executor.
+    Rows are compared in place and never multiplied by the centroids. Those
+    are sorted by id and sent in blocks of BLOCK_NUMBERS numbers; a row keeps
+    the nearest of each block and then of all, so one block or many give the
+    same result by the same arithmetic.
     """
-    rows = centroid_table.select("cluster_id", "centroid").orderBy("cluster_id").collect()
-    ids, vectors = [r["cluster_id"] for r in rows], [list(r["centroid"]) for r in rows]
-    if len(ids) * len(vectors[0]) <= INLINE_NUMBERS:
-        best = _nearest_inline(ids, vectors)
-    else:
-        best = _nearest_matrix(records, ids, vectors)
-    return (records.withColumn("__best", best)
+    best, ids, vectors = [], [], []
+    for r in centroid_table.select("cluster_id", "centroid").orderBy("cluster_id").toLocalIterator():
+        if ids and (len(ids) + 1) * len(vectors[0]) > BLOCK_NUMBERS:
+            best.append(_nearest(records, ids, vectors))
+            ids, vectors = [], []
+        ids.append(r["cluster_id"])
+        vectors.append(list(r["centroid"]))
+    best.append(_nearest(records, ids, vectors))
+    return (records.withColumn("__best", best[0] if len(best) == 1 else F.least(*best))
             .withColumn("cluster_id", F.col("__best.id"))
             .withColumn("squared_distance", F.col("__best.d")).drop("__best"))
 

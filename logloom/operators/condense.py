@@ -5,19 +5,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.templates import mask_message
-from .order import first_row, top_in_group
+from .order import top_in_group
 
 
-def _collapse(records: DataFrame, keys: list[str]) -> DataFrame:
-    rest = [c for c in records.columns if c not in keys]
-    grouped = records.groupBy(*keys).agg(
-        F.count("*").alias("count"), first_row("seq", rest).alias("__first"))
-    return grouped.select(*keys, *[F.col(f"__first.{c}").alias(c) for c in rest], "count")
+def first_of_each(records: DataFrame, groups: DataFrame) -> DataFrame:
+    """``groups`` (``first_seq``, other columns) with the record of that unique
+    ``seq``. Columns that both have come from the groups."""
+    rest = [c for c in records.columns if c not in groups.columns]
+    firsts = records.select(*rest)
+    return groups.join(firsts, groups["first_seq"] == firsts["seq"]).drop("first_seq")
+
+
+def group_numbers(records: DataFrame, keys: list[str]) -> DataFrame:
+    """Count and first ``seq`` of every group: numbers only, which a hash
+    aggregate updates in place, inside the tasks first."""
+    return records.groupBy(*keys).agg(F.count("*").alias("count"), F.min("seq").alias("first_seq"))
 
 
 def condense_exact(records: DataFrame) -> DataFrame:
-    """One row per (source, level, message): the first, with its ``count``."""
-    return _collapse(records, ["source", "level", "message"]).select(*records.columns, "count")
+    """One row per (source, level, message): the first, with its ``count``.
+    ``seq`` numbers the records uniquely."""
+    groups = group_numbers(records, ["source", "level", "message"])
+    return first_of_each(records, groups).select(*records.columns, "count")
 
 
 def condense_template(records: DataFrame, extra_keys: tuple[str, ...] = (),
@@ -29,7 +38,7 @@ def condense_template(records: DataFrame, extra_keys: tuple[str, ...] = (),
     """
     masked = records.withColumn("message", mask_message("message"))
     keys = [*extra_keys, "source", "level", "message"]
-    out = (_collapse(masked, keys).select(*records.columns, "count")
+    out = (first_of_each(records, group_numbers(masked, keys)).select(*records.columns, "count")
            .withColumn("condensed", F.lit(True)))
     if max_per_pair is not None:
         out = top_in_group(out, [*extra_keys, "source", "level"],

@@ -1,12 +1,13 @@
 """Saving and re-reading records and dataset variants."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions.records import split_key
+from ..session import remove_path
 
 
 def _write(df: DataFrame, path: str, form: str, partitions: tuple[str, ...], mode: str) -> None:
@@ -32,17 +33,22 @@ def save_variants(variants: dict[str, DataFrame], path: str, form: str = "parque
                   mode: str = "errorifexists") -> list[str]:
     """Each variant under ``<path>/<variant>``, partitioned by dataset.
 
-    The embedding goes only with the variants that keep one; empty variants
-    are skipped. Returns the names written.
+    The embedding goes only with the variants that keep one. Each is computed
+    once: rows are counted as they are written, and the folder of an empty
+    variant is removed again. Returns the names written.
     """
     written = []
     for name, df in variants.items():
-        if df is None or df.isEmpty():
+        if df is None:
             continue
         if name not in S.VARIANTS_WITH_EMBEDDING:
             df = df.drop("embedding")
-        _write(df, f"{path}/{name}", form, ("dataset",), mode)
-        written.append(name)
+        rows = Observation()
+        _write(df.observe(rows, F.count(F.lit(1)).alias("n")), f"{path}/{name}", form, ("dataset",), mode)
+        if rows.get["n"]:
+            written.append(name)
+        elif mode != "append":
+            remove_path(df.sparkSession, f"{path}/{name}")
     return written
 
 

@@ -1,8 +1,8 @@
 """Live forms: landing, alerts and running summaries of a record stream.
 
 All functions take a streaming DataFrame of log records unless noted. State
-grows with the number of groups; ``delay`` adds a watermark where old groups
-may be let go.
+grows with the number of groups; ``delay`` adds a watermark that lets go of old
+ones, which stay in the results.
 """
 from __future__ import annotations
 
@@ -14,11 +14,16 @@ from ..functions.display import alert_line
 from ..functions.records import severity_rank
 from ..functions.templates import mask_message
 from ..operators import detect as D
-from ..operators.order import first_row
+from ..operators.condense import first_of_each, group_numbers
+from ..operators.filters import filter_critical, last_critical
+from ..plans.patterns import detect_patterns
 from ..session import join_flag
 from ..sources.journald import journald_entries, parse_journald
 from ..sources.windows import parse_windows
-from .run import keep_state, land, state_table
+from .run import land, run_groups
+
+# How long a review period, and a period of counts that a watermark closes, lasts.
+PERIOD = f"{S.REVIEW_SECS} seconds"
 
 
 def journald_stream(lines: DataFrame, default_host: str = "localhost", dataset: str = "live") -> DataFrame:
@@ -45,6 +50,12 @@ def critical_alerts(records: DataFrame, message_chars: int | None = None) -> Dat
             .select("id", "level", alert_line(message_chars).alias("line")))
 
 
+def _timed(records: DataFrame, delay: str | None) -> DataFrame:
+    """Records with ``at`` and, if a delay is given, a watermark on it."""
+    timed = records.withColumn("at", F.timestamp_micros("ts_us"))
+    return timed if delay is None else timed.withWatermark("at", delay)
+
+
 def running_totals(records: DataFrame, every: int = 50) -> DataFrame:
     """Rows so far, critical rows so far and status lines due."""
     kept = running_counts(records, "level")
@@ -54,43 +65,71 @@ def running_totals(records: DataFrame, every: int = 50) -> DataFrame:
                     F.floor(rows / every).cast("long").alias("status_lines"))
 
 
-def running_counts(records: DataFrame, field: str) -> DataFrame:
-    """Rows per value of a field."""
-    counted = records.groupBy(field).agg(F.count("*").alias("count"))
-    return state_table(records.sparkSession, keep_state(counted), [field, "count"])
+def running_counts(records: DataFrame, field: str, delay: str | None = None,
+                   every: str = PERIOD) -> DataFrame:
+    """Rows per value of a field.
 
+    With a ``delay`` the rows are counted per period of ``every`` and field,
+    the state lets go of periods past the watermark, and the periods are added
+    up from the table of results.
+    """
+    if delay is None:
+        return run_groups(records.groupBy(field).agg(F.count("*").alias("count")), [field])
+    counted = _timed(records, delay).groupBy(F.window("at", every), field).agg(F.count("*").alias("count"))
+    return run_groups(counted, ["window", field]).groupBy(field).agg(F.sum("count").alias("count"))
 
-def running_condense(records: DataFrame) -> DataFrame:
-    """Condensed templates: count and first record of each."""
-    keys = ["source", "level", "message"]
-    rest = [c for c in records.columns if c not in keys]
-    grouped = records.withColumn("message", mask_message("message")).groupBy(*keys).agg(
-        F.count("*").alias("count"), first_row("seq", rest).alias("first"))
-    state = state_table(records.sparkSession, keep_state(grouped), [*keys, "count", "first", "order"])
-    return state.select(*keys, *[F.col(f"first.{c}").alias(c) for c in rest], "count")
 
+def running_condense(records: DataFrame, delay: str | None = None, every: str = PERIOD) -> DataFrame:
+    """Condensed templates: count and first record of each.
 
-def running_offenders(records: DataFrame, threshold: int = S.OFFENDER_THRESHOLD) -> DataFrame:
+    The state holds two numbers per template (and period, if a ``delay`` lets
+    it go of old ones); the first records come from the landed table.
+    """
+    landed = land(records)
+    keys = ["source", "level", "message"]
+    masked = records.withColumn("message", mask_message("message"))
+    if delay is None:
+        groups = run_groups(group_numbers(masked, keys), keys)
+    else:
+        numbers = group_numbers(_timed(masked, delay).withColumn("period", F.window("at", every)),
+                                ["period", *keys])
+        groups = run_groups(numbers, ["period", *keys]).groupBy(*keys).agg(
+            F.sum("count").alias("count"), F.min("first_seq").alias("first_seq"))
+    return first_of_each(landed, groups)
+
+
+def running_offenders(records: DataFrame, threshold: int = S.OFFENDER_THRESHOLD,
+                      delay: str | None = None, every: str = PERIOD) -> DataFrame:
     """Sources that have reached the offender threshold."""
-    grouped = (records.where(F.col("level").isin(*S.CRITICAL_LEVELS))
-               .groupBy("source", "level").agg(F.count("*").alias("n")))
-    state = state_table(records.sparkSession, keep_state(grouped), ["source", "level", "n"])
+    critical = records.where(F.col("level").isin(*S.CRITICAL_LEVELS))
+    if delay is None:
+        groups = run_groups(critical.groupBy("source", "level").agg(F.count("*").alias("n")), ["source", "level"])
+    else:
+        counted = _timed(critical, delay).groupBy(F.window("at", every), "source", "level").agg(
+            F.count("*").alias("n"))
+        groups = run_groups(counted, ["window", "source", "level"])
     narrow = F.sum(F.when(F.col("level").isin(*S.OFFENDER_COUNT_LEVELS), F.col("n")))
-    return (state.groupBy("source")
+    return (groups.groupBy("source")
             .agg(F.sum("n").alias("critical_count"), F.coalesce(narrow, F.lit(0)).alias("count"))
             .where(F.col("critical_count") >= threshold))
 
 
 def running_bursts(records: DataFrame, window_secs: float = S.BURST_WINDOW_SECS,
-                   threshold: int = S.BURST_THRESHOLD) -> DataFrame:
+                   threshold: int = S.BURST_THRESHOLD, delay: str | None = None) -> DataFrame:
     """Landed records that lie in a burst.
 
     The stream keeps the row count per (source, time), which shrinks the
-    history; bursts are found on those counts whenever they are asked for.
+    history; with a ``delay`` the state lets go of times past the watermark,
+    while their counts stay in the table of results. Bursts are found on those
+    counts whenever they are asked for.
     """
     landed = land(records)
-    state = keep_state(D.tick_counts(records))
-    ticks = state_table(records.sparkSession, state, ["source", "ts_us", "n"])
+    if delay is None:
+        ticks = run_groups(D.tick_counts(records), ["source", "ts_us"])
+    else:
+        counted = (_timed(records.where(F.col("ts_us").isNotNull()), delay)
+                   .groupBy("source", "at").agg(F.count("*").alias("n")))
+        ticks = run_groups(counted, ["source", "at"]).select("source", F.unix_micros("at").alias("ts_us"), "n")
     bursts = D.burst_ticks_of_counts(ticks, window_secs, threshold)
     return join_flag(landed, bursts, ["source", "ts_us"], "is_burst").where("is_burst")
 
@@ -104,18 +143,30 @@ def running_escalations(records: DataFrame, min_step: int = S.ESCALATION_STEP) -
     return D.escalation_sources(land(records.select("source", "ts_us", "seq", "level")), min_step)
 
 
-def review_digest(records: DataFrame, every: str = f"{S.REVIEW_SECS} seconds",
-                  delay: str | None = None) -> DataFrame:
-    """Per review period: rows, critical rows, the worst rank, first and last time."""
-    timed = records.withColumn("at", F.timestamp_micros("ts_us"))
-    if delay is not None:
-        timed = timed.withWatermark("at", delay)
-    by_level = timed.groupBy(F.window("at", every), "level").agg(
+def review_digest(records: DataFrame, every: str = PERIOD, delay: str | None = None) -> DataFrame:
+    """Per review period: rows, critical rows, the worst rank, first and last time.
+
+    A ``delay`` bounds the state; periods that it closes stay in the result,
+    and only rows later than it are left out.
+    """
+    by_level = _timed(records, delay).groupBy(F.window("at", every), "level").agg(
         F.count("*").alias("n"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
-    state = state_table(records.sparkSession, keep_state(by_level), [
-        "window", "level", "n", "first_us", "last_us"])
+    return digest_of_levels(run_groups(by_level, ["window", "level"]))
+
+
+def digest_of_levels(groups: DataFrame) -> DataFrame:
     critical = F.sum(F.when(F.col("level").isin(*S.CRITICAL_LEVELS), F.col("n")))
-    return state.groupBy(F.unix_micros("window.start").alias("start_us")).agg(
+    return groups.groupBy(F.unix_micros("window.start").alias("start_us")).agg(
         F.sum("n").alias("total"), F.coalesce(critical, F.lit(0)).alias("critical"),
         F.max(severity_rank("level")).alias("worst_rank"),
         F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+
+
+def review_content(landed: DataFrame, start_us: int, end_us: int, last: int | None = None) -> dict[str, DataFrame]:
+    """What a periodic review shows of the landed records of one period:
+    ``patterns`` and ``sample`` of their analysis, and the ``critical`` rows,
+    all or the ``last`` ones."""
+    period = landed.where((F.col("ts_us") >= start_us) & (F.col("ts_us") < end_us))
+    found = detect_patterns(period, "group")
+    critical = filter_critical(period) if last is None else last_critical(period, last)
+    return {"patterns": found.summary, "sample": found.sample, "critical": critical}

@@ -1,10 +1,12 @@
-"""Running streams: an append table, or running aggregates read from state."""
+"""Running streams: an append table, or a table of the changed groups of an aggregate."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
-from ..session import scratch_path
+from ..session import path_exists, scratch_path
 
 
 def read_stream(spark: SparkSession, path: str, schema, form: str = "parquet",
@@ -40,31 +42,45 @@ def land(stream: DataFrame, path: str | None = None, checkpoint: str | None = No
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def keep_state(aggregated: DataFrame, checkpoint: str | None = None,
-               trigger: dict | None = None) -> str:
-    """Run a streaming aggregate for its state alone; returns the checkpoint.
+def keep_updates(aggregated: DataFrame, path: str | None = None, checkpoint: str | None = None,
+                 trigger: dict | None = None) -> str:
+    """Run a streaming aggregate and keep every changed group; returns the folder.
 
-    Only changed groups move in each batch and no result table is rewritten or
-    carried through the driver: readers take the groups from the state store.
+    Each batch writes its changed groups, whole counts so far, into a folder
+    of its own, which a repeated batch replaces. Groups that a watermark has
+    let go of stay in the table: it is complete whatever the state still holds.
     """
-    checkpoint = checkpoint or scratch_path(aggregated.sparkSession, "state")
-    query = (aggregated.writeStream.format("noop").outputMode("update")
+    spark = aggregated.sparkSession
+    path = path or scratch_path(spark, "updates")
+    checkpoint = checkpoint or scratch_path(spark, "checkpoint")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = (aggregated.writeStream.outputMode("update").foreachBatch(write)
              .option("checkpointLocation", checkpoint)
              .trigger(**(trigger or {"availableNow": True})).start())
     if trigger is None:
         _finish(query)
-    return checkpoint
+    return path
 
 
-def state_table(spark: SparkSession, checkpoint: str, names: list[str]) -> DataFrame:
-    """Groups and aggregates of a kept state as a batch table.
+def current_groups(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFrame:
+    """The last state of every group in a folder of updates.
 
-    ``names`` are the group columns and then one name per aggregate buffer,
-    in the order the aggregates were given. Buffers are named after their
-    function, so an aggregate function may be used once per stream.
+    Numbers of a group never shrink from batch to batch, so the last batch
+    that wrote a group has its state.
     """
-    state = spark.read.format("statestore").load(checkpoint)
-    buffers = [f.name for f in state.schema["value"].dataType.fields]
-    if len(set(buffers)) < len(buffers):
-        raise ValueError(f"state has two buffers of one name: {buffers}")
-    return state.select("key.*", "value.*").toDF(*names)
+    updates = spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema).parquet(path)
+    values = [f for f in schema.names if f not in keys and f != "batch"]
+    latest = updates.groupBy(*keys).agg(*[F.max_by(v, "batch").alias(v) for v in values])
+    return latest.select(*keys, *values)
+
+
+def run_groups(aggregated: DataFrame, keys: list[str]) -> DataFrame:
+    """All groups of a streaming aggregate once it has read what is there."""
+    spark = aggregated.sparkSession
+    path = keep_updates(aggregated)
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], aggregated.schema)
+    return current_groups(spark, path, StructType(list(aggregated.schema.fields)), keys)
