@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,8 @@ from .order import explode_once, top_in_group
 ZERO_LENGTH = 1e-10
 # Nonzero entries a task multiplies in one go.
 ENTRIES_PER_STEP = 200_000
+# Numbers of all bases that one group of splits may have.
+BASIS_NUMBERS = 8_000_000
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -76,77 +80,122 @@ def _steps(frame: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.n
         yield part, starts, np.concatenate(part["slots"].to_list()), np.concatenate(part["weights"].to_list())
 
 
-def _gram_times(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
-    """X'X times a narrow basis in one pass over the rows.
+def _gram_times(rows: DataFrame, bases: dict[str | None, np.ndarray]) -> dict[str | None, np.ndarray]:
+    """X'X times a narrow basis for each split, in one pass over the rows.
 
-    Every task adds up its own part; the parts are summed per feature, and
-    only features x width numbers come back.
+    Every task adds up its own part; the parts are summed per split and
+    feature, and only features x width numbers of each split come back.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(basis)
+    shared = rows.sparkSession.sparkContext.broadcast(bases)
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = shared.value
-        total = np.zeros_like(q)
+        totals: dict = {}
         for frame in frames:
-            for part, starts, slots, weights in _steps(frame):
-                scores = np.add.reduceat(q[slots] * weights[:, None], starts, axis=0)
-                lengths = np.diff(np.append(starts, len(slots)))
-                back = np.repeat(scores, lengths, axis=0) * weights[:, None]
-                order = np.argsort(slots, kind="stable")
-                used, first = np.unique(slots[order], return_index=True)
-                total[used] += np.add.reduceat(back[order], first, axis=0)
-        used = np.flatnonzero(np.any(total != 0, axis=1))
-        if len(used):
-            yield pd.DataFrame({"slot": used, "v": list(total[used])})
-
-    summed = (rows.select("slots", "weights").mapInPandas(partial, "slot long, v array<double>")
-              .groupBy("slot").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")))
-    out = np.zeros_like(basis)
-    for r in summed.collect():
-        out[r["slot"]] = r["v"]
+            for split, own in frame.groupby("split", sort=False, dropna=False):
+                split = None if pd.isna(split) else split
+                q = shared.value[split]
+                total = totals.setdefault(split, np.zeros_like(q))
+                for part, starts, slots, weights in _steps(own):
+                    scores = np.add.reduceat(q[slots] * weights[:, None], starts, axis=0)
+                    lengths = np.diff(np.append(starts, len(slots)))
+                    back = np.repeat(scores, lengths, axis=0) * weights[:, None]
+                    order = np.argsort(slots, kind="stable")
+                    used, first = np.unique(slots[order], return_index=True)
+                    total[used] += np.add.reduceat(back[order], first, axis=0)
+        for split, total in totals.items():
+            used = np.flatnonzero(np.any(total != 0, axis=1))
+            if len(used):
+                yield pd.DataFrame({"split": [split] * len(used), "slot": used, "v": list(total[used])})
+
+    summed = (rows.select("split", "slots", "weights")
+              .mapInPandas(partial, "split string, slot long, v array<double>")
+              .groupBy("split", "slot").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")))
+    out = {split: np.zeros_like(q) for split, q in bases.items()}
+    for r in summed.toLocalIterator():
+        out[r["split"]][r["slot"]] = r["v"]
     shared.unpersist()
     return out
 
 
-def svd_basis(rows: DataFrame, features: int, dims: int, seed: int = 42, passes: int = 5,
-              spare: int = 10) -> np.ndarray:
-    """Leading right singular vectors by randomised subspace iteration.
+def svd_bases(rows: DataFrame, shapes: dict[str | None, tuple[int, int]], seed: int = 42, passes: int = 5,
+              spare: int = 10) -> dict[str | None, np.ndarray]:
+    """Leading right singular vectors of each split, by randomised subspace iteration.
 
-    A handful of passes over the data, each ending in a features x width
-    matrix, which the vocabulary bounds.
+    ``shapes`` gives (features, dims) per split. A handful of passes over the
+    data serve all of these splits; each ends in a features x width matrix per
+    split, which the vocabulary bounds.
     """
-    width = min(dims + spare, features)
-    basis, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((features, width)))
+    bases = {}
+    for split, (features, dims) in shapes.items():
+        start = np.random.default_rng(seed).standard_normal((features, min(dims + spare, features)))
+        bases[split], _ = np.linalg.qr(start)
     for _ in range(passes):
-        basis, _ = np.linalg.qr(_gram_times(rows, basis))
-    values, inner = np.linalg.eigh(basis.T @ _gram_times(rows, basis))
-    return basis @ inner[:, np.argsort(values)[::-1][:dims]]
+        bases = {split: np.linalg.qr(y)[0] for split, y in _gram_times(rows, bases).items()}
+    out = {}
+    for split, y in _gram_times(rows, bases).items():
+        values, inner = np.linalg.eigh(bases[split].T @ y)
+        out[split] = bases[split] @ inner[:, np.argsort(values)[::-1][:shapes[split][1]]]
+    return out
+
+
+def svd_parts(rows: DataFrame, sizes: DataFrame, dims: int) -> list[dict[str | None, tuple[int, int]]]:
+    """(features, dims) of every split, in groups whose bases together stay
+    below BASIS_NUMBERS; one row per split comes to the driver."""
+    shapes = (rows.groupBy("split").agg(F.max(F.array_max("slots")).alias("last"))
+              .join(sizes.select(F.col("split").alias("s"), "n"), F.col("split").eqNullSafe(F.col("s"))))
+    groups, held = [{}], 0
+    for r in shapes.orderBy("split").toLocalIterator():
+        features = r["last"] + 1
+        own = min(dims, r["n"] - 1 if r["n"] > 1 else 1, features)
+        size = features * (own + 10)
+        if groups[-1] and held + size > BASIS_NUMBERS:
+            groups.append({})
+            held = 0
+        groups[-1][r["split"]] = (features, own)
+        held += size
+    return groups
 
 
 def svd_embedding(records: DataFrame, key: str = "seq", text: Column | None = None,
                   dims: int = S.SVD_DIMS, max_features: int = S.TFIDF_FEATURES,
-                  seed: int = 42) -> DataFrame:
-    """(``key``, ``embedding``): unit rows of TF-IDF projected on its leading
-    singular vectors. Texts without a kept term have no row."""
-    rows = stage(tfidf(records, key, text, None, max_features), "tfidf")
-    n = records.count()
-    found = rows.agg(F.max(F.array_max("slots"))).first()[0]
-    if found is None:
-        return rows.select(key, F.lit(None).cast("array<double>").alias("embedding"))
-    features = found + 1
-    dims = min(dims, n - 1 if n > 1 else 1, features)
-    shared = records.sparkSession.sparkContext.broadcast(svd_basis(rows, features, dims, seed))
+                  seed: int = 42, split: Column | None = None) -> DataFrame:
+    """(``split``, ``key``, ``embedding``): unit rows of TF-IDF projected on
+    the leading singular vectors of their split, by default of all records.
+
+    Vocabularies and vectors of all splits come from the same passes over the
+    data. Texts without a kept term have no row.
+    """
+    rows = stage(tfidf(records, key, text, split, max_features), "tfidf")
+    sizes = records.groupBy((F.lit("") if split is None else split).cast("string").alias("split")).agg(
+        F.count("*").alias("n"))
+    kind = records.schema[key].dataType.simpleString()
+    out = None
+    for shapes in svd_parts(rows, sizes, dims):
+        if not shapes:
+            continue
+        own = rows if out is None and len(shapes) == 1 and split is None else rows.where(
+            reduce(or_, [F.col("split").eqNullSafe(F.lit(s)) for s in shapes]))
+        shared = records.sparkSession.sparkContext.broadcast(svd_bases(own, shapes, seed))
+        part = own.select("split", key, "slots", "weights").mapInPandas(
+            _projector(shared, key), f"split string, {key} {kind}, embedding array<double>")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return rows.select("split", key, F.lit(None).cast("array<double>").alias("embedding"))
+    return out
 
+
+def _projector(shared, key: str):
     def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for part, starts, slots, weights in _steps(frame):
-                scores = np.add.reduceat(shared.value[slots] * weights[:, None], starts, axis=0)
-                size = np.linalg.norm(scores, axis=1, keepdims=True)
-                scores = np.where(size < ZERO_LENGTH, 0.0, scores / np.maximum(size, ZERO_LENGTH))
-                yield pd.DataFrame({key: part[key].to_numpy(), "embedding": list(scores)})
-
-    kind = records.schema[key].dataType.simpleString()
-    return rows.select(key, "slots", "weights").mapInPandas(project, f"{key} {kind}, embedding array<double>")
+            for split, own in frame.groupby("split", sort=False, dropna=False):
+                basis = shared.value[None if pd.isna(split) else split]
+                for part, starts, slots, weights in _steps(own):
+                    scores = np.add.reduceat(basis[slots] * weights[:, None], starts, axis=0)
+                    size = np.linalg.norm(scores, axis=1, keepdims=True)
+                    scores = np.where(size < ZERO_LENGTH, 0.0, scores / np.maximum(size, ZERO_LENGTH))
+                    yield pd.DataFrame({"split": part["split"].to_numpy(), key: part[key].to_numpy(),
+                                        "embedding": list(scores)})
+    return project
 
 
 def vectorize(records: DataFrame, backend: str = "hash", key: str = "seq",
@@ -164,28 +213,32 @@ def vectorize(records: DataFrame, backend: str = "hash", key: str = "seq",
         return plain.withColumn("embedding", hash_embedding(embedding_input_text(), dims or S.HASH_DIMS))
     if backend != "tfidf":
         raise ValueError(f"unknown backend {backend!r}")
-    fitted = stage(svd_embedding(plain, key, dims=dims or S.SVD_DIMS), "embedding")
-    width = fitted.select(F.size("embedding")).first()
-    zero = F.array_repeat(F.lit(0.0), width[0] if width else 0)
-    return (plain.join(fitted, key, "left")
+    return _fitted(plain, key, dims or S.SVD_DIMS, None)
+
+
+def _fitted(plain: DataFrame, key: str, dims: int, split: str | None) -> DataFrame:
+    """Records with their TF-IDF vectors, a zero vector where no term was kept."""
+    field = None if split is None else F.col(split).cast("string")
+    fitted = stage(svd_embedding(plain, key, dims=dims, split=field), "embedding")
+    widths = broadcast_if_small(stage(
+        fitted.groupBy(F.col("split").alias("__split")).agg(F.max(F.size("embedding")).alias("__width")), "widths"))
+    vectors = fitted.select(F.col(key).alias("__key"), "embedding")
+    own = F.lit("") if split is None else field
+    zero = F.array_repeat(F.lit(0.0), F.coalesce("__width", F.lit(0)))
+    return (plain.join(vectors, plain[key] == F.col("__key"), "left")
+            .join(widths, own.eqNullSafe(F.col("__split")), "left")
             .withColumn("embedding", F.coalesce("embedding", zero))
             .select(*plain.columns, "embedding"))
 
 
-def vectorize_per_split(records: DataFrame, split: str, backend: str = "hash",
-                        max_splits: int = 100) -> DataFrame:
+def vectorize_per_split(records: DataFrame, split: str, backend: str = "hash", key: str = "seq",
+                        dims: int | None = None) -> DataFrame:
     """Embeddings fitted inside every value of the ``split`` column.
 
-    Hash vectors do not depend on the split. The SVD is fitted value by value,
-    for splits with few values such as level or log channel.
+    Hash vectors do not depend on the split. TF-IDF keeps a vocabulary and a
+    basis per value; all values are fitted by the same passes over the data,
+    in groups whose bases fit in memory together.
     """
     if backend != "tfidf":
-        return vectorize(records, backend)
-    values = [r[0] for r in records.select(split).distinct().limit(max_splits + 1).collect()]
-    if len(values) > max_splits:
-        raise ValueError(f"more than {max_splits} values of {split}")
-    out = None
-    for value in values:
-        part = vectorize(records.where(F.col(split).eqNullSafe(F.lit(value))), backend)
-        out = part if out is None else out.unionByName(part)
-    return vectorize(records, "hash").limit(0) if out is None else out
+        return vectorize(records, backend, key, dims)
+    return _fitted(records.drop("embedding"), key, dims or S.SVD_DIMS, split)

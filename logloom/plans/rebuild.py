@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 
 from .. import schema as S
 from ..functions.records import fill_text
-from ..operators.vectorize import vectorize
+from ..operators.vectorize import vectorize, vectorize_per_split
 from ..sources.tables import load_variant, save_records, save_variants, write_split
 from .patterns import Patterns, detect_patterns
 
@@ -14,8 +14,8 @@ def rebuild(records: DataFrame, path: str, backend: str = "hash", clusters: str
             k: int | None = None, starts: int = 10, burst_window_secs: int = S.BURST_WINDOW_SECS,
             burst_threshold: int = S.BURST_THRESHOLD, mode: str = "errorifexists") -> Patterns:
     """Fill texts, embed, detect patterns, and save everything under ``path``:
-    the four variants, the level and os_source splits, the summary, and the
-    records as JSON lines with and without ``text``.
+    the four variants, the level and os_source splits with vectors of their
+    own, the summary, and the records as JSON lines with and without ``text``.
 
     The vectors are saved first and every later step reads them from there.
     """
@@ -28,8 +28,10 @@ def rebuild(records: DataFrame, path: str, backend: str = "hash", clusters: str
     plain = vectors.drop("embedding")
     save_variants({"original": plain, "pattern": found.pattern, "sample": found.sample}, path, mode=mode)
     found.summary.write.mode(mode).parquet(f"{path}/summary")
-    write_split(plain, f"{path}/by_level", "level", mode=mode)
-    write_split(plain, f"{path}/by_os_source", "os_source", mode=mode)
+    for field in ("level", "os_source"):
+        # hash vectors are the same in every split; others are fitted inside it
+        own = vectors if backend != "tfidf" else vectorize_per_split(plain, field, backend)
+        write_split(own, f"{path}/by_{field}", field, mode=mode)
     save_records(plain, f"{path}/jsonl", with_text=False, mode=mode)
     save_records(plain, f"{path}/jsonl_text", with_text=True, mode=mode)
     return found

@@ -11,7 +11,7 @@ from ..operators.vectorize import vectorize
 from ..plans.patterns import detect_patterns
 from ..plans.rebuild import rebuild
 from ..plans.reports import pattern_lines
-from ..session import scratch_path
+from ..session import scratch_path, stage
 from . import inputs as I
 from .base import over, query
 from .counts import CRIT
@@ -120,13 +120,26 @@ def _(spark, sf):
     return C.nearest_centroid(emb, C.centroids(emb)).select("seq", "cluster_id", F.round("squared_distance", 6).alias("squared_distance"))
 
 
-@query("kmeans_clusters")
+_AUTO_K = "CAST(least(count(*), greatest(2, least(10, floor(sqrt(count(*) / 2))))) AS BIGINT)"
+
+
+@query("kmeans_clusters", over(I.EMB, f"""SELECT 'row' AS part, seq AS key, true AS holds FROM t_emb
+ UNION ALL SELECT 'cluster', unnest(range((SELECT {_AUTO_K} FROM t_emb))), true"""))
 def _(spark, sf):
-    """Starts from other random rows than any other engine: checked by invariants."""
-    assigned, centroids = C.kmeans_clusters(I.t_emb(spark, sf).drop("cluster_id"), 10, starts=3, max_iter=50)
-    cost = squared_distance("embedding", "centroid")
-    return C.with_centroid(assigned, centroids).groupBy("cluster_id").agg(
-        F.count("*").alias("count"), F.round(F.sum(cost), 6).alias("cost"))
+    """Starts are random, so what must hold is stated row by row, at the default
+    parameters. Of a row: no centroid is nearer than its own. Of a cluster:
+    its centroid is the mean of its members."""
+    assigned, centroids = C.kmeans_clusters(I.t_emb(spark, sf).drop("cluster_id"))
+    assigned = stage(assigned, "assigned")
+    own = squared_distance("embedding", "centroid")
+    nearest = C.nearest_centroid(C.with_centroid(assigned, centroids).withColumn("own", own).drop("cluster_id"), centroids)
+    rows = nearest.select(F.lit("row").alias("part"), F.col("seq").alias("key"),
+                          (F.col("own") <= F.col("squared_distance") + 1e-9).alias("holds"))
+    means = C.centroids(assigned).withColumnRenamed("centroid", "mean")
+    clusters = centroids.join(means, "cluster_id", "left").select(
+        F.lit("cluster").alias("part"), F.col("cluster_id").alias("key"),
+        F.coalesce(squared_distance("mean", "centroid") < 1e-6, F.lit(False)).alias("holds"))
+    return rows.unionByName(clusters)
 
 
 # --- whole analysis ---------------------------------------------------------
@@ -197,12 +210,29 @@ def _(spark, sf):
             .unionByName(rows(p.summary, "summary", F.concat("type", "id"), "label", "count", "description")))
 
 
-@query("pattern_detection_kmeans")
+@query("pattern_detection_kmeans", over(FLAGS, f"""SELECT type, id, label, count, description FROM t_sum WHERE kind > 0
+ UNION ALL SELECT 'cluster', concat('cluster_', k), 'a member is the first', 1, 'counts its members'
+  FROM (SELECT unnest(range((SELECT {_AUTO_K} FROM t_log))) AS k)
+ UNION ALL SELECT 'clusters', 'all', '', count(*), '' FROM t_log"""))
 def _(spark, sf):
-    """K-means on hashed texts; cluster numbers depend on the random starts."""
-    p = detect_patterns(vectorize(I.t_log_wide(spark, sf)), "kmeans", k=4, starts=2,
-                        burst_window_secs=BURST_SECS, burst_threshold=BURST_N)
-    return p.summary.drop("kind", "first_seq")
+    """K-means on hashed texts at the default parameters. Which rows a cluster
+    has depends on the starts: of each, its count, label and first row are
+    compared with those of the annotated rows."""
+    p = detect_patterns(vectorize(I.t_log_wide(spark, sf)), burst_window_secs=BURST_SECS, burst_threshold=BURST_N)
+    members = p.pattern.groupBy("cluster_id").agg(
+        F.count("*").alias("n"), F.min("seq").alias("first"), F.first("pattern_label").alias("named"))
+    clusters = p.summary.where("type = 'cluster'").withColumn(
+        "cluster_id", F.substring_index("id", "_", -1).cast("long")).join(members, "cluster_id", "left")
+    said = F.concat(F.lit("Semantic cluster #"), F.col("cluster_id").cast("string"), F.lit(": "), F.col("n").cast("string"),
+                    F.lit(" similar records. Label: "), F.col("named"))
+    checked = clusters.select(
+        "type", "id", F.when(F.col("first") == F.col("first_seq"), "a member is the first").alias("label"),
+        F.lit(1).cast("long").alias("count"),
+        F.when((F.col("n") == F.col("count")) & (said == F.col("description")), "counts its members").alias("description"))
+    total = clusters.agg(F.sum("count").alias("count")).select(
+        F.lit("clusters").alias("type"), F.lit("all").alias("id"), F.lit("").alias("label"), "count", F.lit("").alias("description"))
+    rest = p.summary.where("type <> 'cluster'").select("type", "id", "label", "count", "description")
+    return rest.unionByName(checked).unionByName(total)
 
 
 @query("head_patterns", over(FLAGS, f"SELECT {_SUM} FROM t_sum ORDER BY kind, first_seq LIMIT 15"))

@@ -1,11 +1,15 @@
 """Text vectors."""
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, hash_embedding, norm
 from ..operators import vectorize as VZ
 from ..operators.order import explode_once
+from ..session import stage
 from . import inputs as I
 from .base import over, query
 
@@ -56,24 +60,62 @@ def _(spark, sf):
     return long_form(VZ.tfidf(I.t_msg(spark, sf), text=F.col("message"))).drop("split")
 
 
-@query("vectorize_per_split", over({**I.MSG, **tfidf_sql("level", 1000)}, "SELECT split, seq, term, weight FROM t_idf"))
+@query("tfidf_per_split", over({**I.MSG, **tfidf_sql("level")}, "SELECT split, seq, term, weight FROM t_idf"))
 def _(spark, sf):
-    return long_form(VZ.tfidf(I.t_msg(spark, sf), text=F.col("message"), split=F.col("level"), max_features=1000))
+    return long_form(VZ.tfidf(I.t_msg(spark, sf), text=F.col("message"), split=F.col("level")))
 
 
-@query("svd_embedding")
+@query("vectorize_per_split", over({**I.LOG, **hash_sql("t_log", "text")}, """SELECT 'hash' AS part, seq, CAST(dim AS BIGINT) AS dim, x FROM t_hash
+ UNION ALL SELECT 'tfidf', seq, 64, 1.0::DOUBLE FROM t_log"""))
 def _(spark, sf):
-    """Sign and rotation are free: checked by invariants. One row: number of
-    vectors, their width and their mean length."""
-    vectors = VZ.svd_embedding(I.t_msg(spark, sf), text=F.col("message"), dims=16, max_features=1000)
-    return vectors.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dims"),
-                       F.round(F.avg(norm("embedding")), 6).alias("length"))
+    """Hash vectors number by number; of TF-IDF vectors, fitted per level, the width and the length."""
+    records = I.t_log_wide(spark, sf)
+    hashes = sparse(VZ.vectorize_per_split(records, "level"))
+    fitted = VZ.vectorize_per_split(records, "level", "tfidf")
+    return hashes.select(F.lit("hash").alias("part"), "seq", F.col("dim").cast("long").alias("dim"), "x").unionByName(
+        fitted.select(F.lit("tfidf").alias("part"), "seq", F.size("embedding").cast("long").alias("dim"),
+                      F.round(norm("embedding"), 6).alias("x")))
 
 
-@query("vectorize_tfidf")
+@query("svd_embedding", over({**I.MSG, **tfidf_sql("''")}, """SELECT 'text' AS part, seq AS key, true AS holds
+ FROM (SELECT DISTINCT seq FROM t_idf) UNION ALL SELECT 'basis', unnest(range(64)), true"""))
 def _(spark, sf):
-    """Every record keeps its row and gets a vector of one width."""
-    records = VZ.vectorize(I.t_log_wide(spark, sf), "tfidf", dims=16)
-    return records.groupBy("level").agg(
-        F.count("*").alias("n"), F.min(F.size("embedding")).alias("dims"),
-        F.round(F.avg(dot("embedding", "embedding")), 6).alias("squared_length"))
+    """Sign and rotation are free, so what must hold is stated row by row.
+
+    Of a text: its vector has unit length or is zero and, but for its length,
+    is the text's TF-IDF row times the basis. Of a basis vector: it has unit
+    length, is orthogonal to the others and an eigenvector of X'X but for a
+    hundredth of the largest eigenvalue.
+    """
+    records = I.t_msg(spark, sf)
+    rows = stage(VZ.tfidf(records, text=F.col("message")), "tfidf")
+    sizes = records.groupBy(F.lit("").alias("split")).agg(F.count("*").alias("n"))
+    (shapes,) = VZ.svd_parts(rows, sizes, 64)
+    basis = VZ.svd_bases(rows, shapes)
+    image = VZ._gram_times(rows, basis)[""]
+    v = basis[""]
+    values = (v * image).sum(axis=0)
+    residual = np.linalg.norm(image - v * values, axis=0)
+    good = (np.abs(v.T @ v - np.eye(v.shape[1])).max(axis=0) < 1e-9) & (residual < 0.01 * values.max())
+    dims = spark.createDataFrame([(i, bool(g)) for i, g in enumerate(good)], "key long, holds boolean")
+    axes = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "slot int, axis array<double>")
+    entries = rows.select("seq", F.explode(F.arrays_zip("slots", "weights")).alias("e")).select(
+        "seq", F.col("e.slots").alias("slot"), F.col("e.weights").alias("w"))
+    scores = (entries.join(F.broadcast(axes), "slot")  # one row per term of the vocabulary
+              .groupBy("seq").agg(vector_to_array(Summarizer.sum(array_to_vector(
+                  F.transform("axis", lambda x: x * F.col("w"))))).alias("scores")))
+    vectors = VZ.svd_embedding(records, text=F.col("message"))
+    size = norm("scores")
+    same = F.when(size > 1e-9, F.abs(dot("embedding", "scores") - size) < 1e-6 * size).otherwise(True)
+    unit = F.abs(norm("embedding") - 1) < 1e-9
+    texts = vectors.join(scores, "seq", "left").select(
+        F.lit("text").alias("part"), F.col("seq").alias("key"),
+        F.coalesce((unit | (norm("embedding") == 0)) & same, F.lit(False)).alias("holds"))
+    return texts.unionByName(dims.select(F.lit("basis").alias("part"), "key", "holds"))
+
+
+@query("vectorize_tfidf", over(I.LOG, "SELECT seq, id, level, message, CAST(64 AS INTEGER) AS dims, 1.0::DOUBLE AS length FROM t_log"))
+def _(spark, sf):
+    """Every record keeps its row and gets a unit vector of one width."""
+    return VZ.vectorize(I.t_log_wide(spark, sf), "tfidf").select(
+        "seq", "id", "level", "message", F.size("embedding").alias("dims"), F.round(norm("embedding"), 6).alias("length"))
