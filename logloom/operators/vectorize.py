@@ -111,7 +111,7 @@ def _gram_times(rows: DataFrame, bases: dict[str | None, np.ndarray]) -> dict[st
               .mapInPandas(partial, "split string, slot long, v array<double>")
               .groupBy("split", "slot").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")))
     out = {split: np.zeros_like(q) for split, q in bases.items()}
-    for r in summed.toLocalIterator():
+    for r in summed.collect():  # bounded by BASIS_NUMBERS
         out[r["split"]][r["slot"]] = r["v"]
     shared.unpersist()
     return out
