@@ -14,7 +14,7 @@ from .sharding import shard_digest
 from .simhash import simhash_digest
 from .tokens import token_counts
 from .toxicity import toxicity_digest
-from .urls import HOST_RULES, judge_urls
+from .urls import HOST_RULES, PATTERNS, compile_pattern, judge_urls
 from .vectors import vector_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,4 +64,40 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_decontamination, op2_language_model, op3_simhash, op4_embedding_dedup, op5_toxicity, op6_mixing, op7_token_counts, op8_sharding, op9_url_filter, op10_html_text)}
 
-ORACLES: dict[str, str] = {}
+
+def _op4_sql() -> str:
+    """All pairs of one label, and what links reach."""
+    return """WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+   AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+   AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.93),
+ reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links,
+ least(vec_id, coalesce((SELECT min(b) FROM reach WHERE a = vec_id), vec_id)) AS component_id,
+ least(vec_id, coalesce((SELECT min(b) FROM reach WHERE a = vec_id), vec_id)) = vec_id AS kept FROM embeddings"""
+
+
+def _op9_sql() -> str:
+    """Rules from the longest to the shortest, patterns in the order of their text."""
+    fits = []
+    for verdict, rule in sorted(HOST_RULES, key=lambda r: -len(r[1])):
+        host, _, path = rule.partition("/")
+        fits.append((f"(host = '{host}' OR suffix(host, '.{host}')) AND prefix(path, '/{path}')", rule, verdict))
+    rules = " ".join(f"WHEN {f} THEN '{r}'" for f, r, _ in fits)
+    verdicts = " ".join(f"WHEN '{r}' THEN '{v}'" for _, r, v in fits)
+    patterns = " ".join("WHEN regexp_matches(lower(url), '{}', 's') THEN '{}'".format(
+        *[t.replace("'", "''") for t in (p.regex, p.text)]) for p in sorted(map(compile_pattern, PATTERNS), key=lambda p: p.text))
+    return f"""WITH cut AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+ parts AS (SELECT page_id, url, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
+ judged AS (SELECT *, CASE {rules} END AS rule, CASE {patterns} END AS pattern FROM parts)
+SELECT page_id, host, path, rule, coalesce(CASE rule {verdicts} END, CASE WHEN pattern IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+ pattern FROM judged"""
+
+
+# The others hash with XXH64, train a model, align, parse or draw: no SQL says that.
+# tests/llm compares them with brute-force versions.
+ORACLES: dict[str, str] = {"op4_embedding_dedup": _op4_sql(), "op9_url_filter": _op9_sql()}
