@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.base import compute_once
 from ..functions.records import (decode_byte_message, facility_name, infer_facility, infer_level,
                                  micros_to_iso, os_source_label, priority_level, windows_event_id,
                                  windows_level, windows_message)
@@ -54,7 +55,8 @@ for _name, _kind in (("parse_syslog_iso", 1), ("parse_syslog_rfc3164", 0), ("par
             """All lines are parsed; the layout that was recognised decides."""
             stamp = F.col("timestamp")
             layout = F.when(stamp == "", 2).when(stamp.rlike("[+-][0-9]{2}:[0-9]{2}$"), 1).otherwise(0)
-            return parsed_raw(spark, sf).where(layout == kind).select("id", "seq", *REC, "text")
+            return compute_once(parsed_raw(spark, sf), "layout", layout).where(F.col("layout") == kind).select(
+                "id", "seq", *REC, "text")
         return run
     query(_name, over(I.RAW, f"""SELECT sha256(concat(path, chr(31), seq, chr(31), raw)) AS id, seq, {RECS}, {_TEXT}
      FROM t_raw WHERE kind = {_kind}"""))(_make(_kind))

@@ -21,7 +21,7 @@ def test_no_products_and_no_row_udfs(spark, name):
 
 
 @pytest.mark.parametrize("name", ["dedup_raw", "newest_per_channel", "first_lines_per_file", "sample_per_cluster",
-                                  "cluster_keywords", "ingest_windows_events"])
+                                  "cluster_keywords"])
 def test_ranks_are_cut_before_the_shuffle(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert "WindowGroupLimit" in text and "Partial" in text
@@ -48,6 +48,15 @@ def test_the_costly_parse_is_done_once(spark):
     assert text.count("md5(") == 1
 
 
+@pytest.mark.parametrize("name", ["condense_exact", "condense_template", "consultation_report", "stream_condense"])
+def test_condensation_aggregates_numbers_only(spark, name):
+    """Whole records are never sorted for an aggregate, in staged parts neither."""
+    from logloom.operators import condense
+    text = plan(QUERIES[name](spark, SF)) + plan(condense.group_numbers(
+        I.t_log(spark, SF), ["source", "level", "message"]))
+    assert "HashAggregate" in text and "SortAggregate" not in text.split("max_by")[0]
+
+
 def test_hot_keys_combine_before_the_shuffle(spark):
     for name in ("condense_exact", "cluster_modes", "summary_by_level", "repeat_offenders"):
         assert "partial_count" in plan(QUERIES[name](spark, SF)), name

@@ -6,6 +6,7 @@ from logloom import schema as S
 from logloom.sources.files import read_lines
 from logloom.sources.journald import collect_linux
 from logloom.sources.syslog import dedup_raw, ingest_syslog_files, parse_syslog, union_sources
+from logloom.sources.windows import ingest_windows_events
 from logloom.sources.tables import load_jsonl, load_variant, save_records, save_variants, write_split
 
 
@@ -112,3 +113,20 @@ def test_collect_linux(spark, tmp_path):
     got = collect_linux(spark, [str(tmp_path / "auth.log")], [str(tmp_path / "j.json")], year=2024)
     assert [(r.os_source, r.level, r.message) for r in got.orderBy("seq").collect()] == [
         ("auth", "INFO", "m"), ("journald", "CRITICAL", "a")]
+
+
+def test_nothing_is_cut_by_default(spark, tmp_path):
+    lines = [f"Jan  2 03:04:{i % 60:02} host app[{i}]: message {i}" for i in range(12_000)]
+    (tmp_path / "app.log").write_text("\n".join(lines) + "\n")
+    assert ingest_syslog_files(spark, [str(tmp_path / "app.log")], year=2024).count() == 12_000
+    assert collect_linux(spark, [str(tmp_path / "app.log")], [], year=2024).count() == 12_000
+    events = spark.range(9_000).select(
+        F.when(F.col("id") % 3 == 0, "Setup").otherwise("System").alias("channel"),
+        F.timestamp_seconds("id").alias("time_generated"), F.lit(1).alias("event_type"), F.col("id").alias("event_id"),
+        F.lit("s").alias("source_name"), F.lit("c").alias("computer_name"), F.array(F.lit("x")).alias("string_inserts"),
+        F.lit("m").alias("message"), F.col("id").alias("seq"))
+    got = ingest_windows_events(events).groupBy("os_source").count().collect()
+    assert {r["os_source"]: r["count"] for r in got} == {"Setup": 3_000, "System": 6_000}
+    capped = ingest_windows_events(events, max_events=2_500).groupBy("os_source").agg(
+        F.count("*").alias("n"), F.min("seq").alias("first")).collect()
+    assert {(r["os_source"], r["n"], r["first"]) for r in capped} == {("Setup", 2_500, 1_500), ("System", 2_500, 5_251)}
