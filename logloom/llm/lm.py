@@ -28,13 +28,13 @@ HIDDEN = 32
 # Words whose counts travel to the tasks; counts of rarer ones are joined.
 DICTIONARY = 200_000
 # Share of the training documents that each round of fitting reads.
-SHARE = 1 / 20
+SHARE = 1 / 32
 ROUNDS = 2
 # Streams read side by side and steps of a window, in fitting and in scoring.
 FIT_STREAMS, FIT_STEPS = 64, 16
 STREAMS, STEPS = 256, 32
 # Tokens held before they are scored together.
-HELD_TOKENS = 3 << 20
+HELD_TOKENS = 2 << 20
 RATE = 0.01
 # Distinct words a task counts before it sends them on.
 COUNTED = 300_000
