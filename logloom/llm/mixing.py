@@ -10,8 +10,10 @@ from .common import WORD
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
-# Bins of a source's permuted order that are summed to find where its last copy ends.
-BINS = 1 << 16
+# Parts that a stretch of a source's permuted order is cut in, level by level, to find where
+# its last copy ends: no source has more sums than that.
+BINS = 1 << 12
+LEVELS = 2
 # Quotas are kept for so many strata of sources; up to that number each source is its own.
 STRATA = 4096
 
@@ -82,8 +84,8 @@ def mix_plan(docs: DataFrame, shards: int = 64, block_words: int | None = None,
 
     A source's mix is its permuted order, run through ``base`` times and then
     up to ``cut``, where the running size comes nearest to the target. Running
-    sizes come from sums over BINS bins and the rows of the one bin that the
-    end falls in. The order is cut into blocks of about ``block_words`` words
+    sizes come from sums over BINS bins, then over BINS parts of the one bin
+    that the end falls in, then over the rows of that part. The order is cut into blocks of about ``block_words`` words
     (by default 64 per shard) whose numbers per shard the splitting tree draws.
     """
     rows = stage(docs.select("doc_id", "source", word_count().alias("size"), place(seed=seed).alias("u")),
@@ -114,17 +116,22 @@ def mix_plan(docs: DataFrame, shards: int = 64, block_words: int | None = None,
 
 def _ends(rows: DataFrame, per_source: DataFrame, same: Column) -> DataFrame:
     """(s, cut) for each source: the part copy takes the documents with u below ``cut``."""
-    bin_of = F.floor(F.col("u") * BINS)
-    wanted = broadcast_if_small(stage(
-        per_source.where("rest > 0").select(F.col("source").alias("s"), "rest"), "rests"))
-    binned = rows.groupBy("source", bin_of.alias("bin")).agg(F.sum("size").alias("in_bin"))
-    up_to = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    running = binned.join(wanted, same).withColumn("upto", F.sum("in_bin").over(up_to))
-    edge = (running.where("upto >= rest AND upto - in_bin < rest")
-            .select("s", "rest", F.col("bin").alias("edge"), (F.col("upto") - F.col("in_bin")).alias("had")))
+    edge = per_source.where("rest > 0").select(
+        F.col("source").alias("s"), "rest", F.lit(0.0).alias("lo"), F.lit(0).cast("long").alias("had"))
+    width = 1.0
+    for _ in range(LEVELS):
+        edge = broadcast_if_small(stage(edge, "edges"))
+        bin_of = F.floor((F.col("u") - F.col("lo")) * (BINS / width))
+        inside = rows.join(edge, same & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("lo") + width))
+        binned = inside.groupBy("s", "rest", "lo", "had", bin_of.alias("bin")).agg(F.sum("size").alias("in_bin"))
+        up_to = Window.partitionBy("s").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        running = binned.withColumn("upto", F.col("had") + F.sum("in_bin").over(up_to))
+        width /= BINS
+        edge = running.where("upto >= rest AND upto - in_bin < rest").select(
+            "s", "rest", (F.col("lo") + F.col("bin") * width).alias("lo"), (F.col("upto") - F.col("in_bin")).alias("had"))
     edge = broadcast_if_small(stage(edge, "edges"))
-    near = rows.withColumn("bin", bin_of).join(edge, same & (F.col("bin") == F.col("edge")))
-    by_u = (near.groupBy("s", "u", "rest", "had").agg(F.sum("size").alias("size")))
+    near = rows.join(edge, same & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("lo") + width))
+    by_u = near.groupBy("s", "u", "rest", "had").agg(F.sum("size").alias("size"))
     grown = by_u.withColumn("upto", F.col("had") + F.sum("size").over(
         Window.partitionBy("s").orderBy("u").rowsBetween(Window.unboundedPreceding, 0)))
     crossing = grown.where("upto >= rest AND upto - size < rest")
