@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.records import severity_rank
 from ..session import join_flag
+from .order import in_order
+
+# Rows that one task looks at together when bursts are found.
+CHUNK_ROWS = 200_000
 
 
 def burst_ticks(records: DataFrame, window_secs: float = S.BURST_WINDOW_SECS,
-                threshold: int = S.BURST_THRESHOLD, slice_secs: float | None = None) -> DataFrame:
+                threshold: int = S.BURST_THRESHOLD, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Every (source, ts_us) that lies in a window of ``window_secs`` holding
     at least ``threshold`` rows of the source, with its row count ``n``."""
-    return burst_ticks_of_counts(tick_counts(records), window_secs, threshold, slice_secs)
+    return burst_ticks_of_counts(tick_counts(records), window_secs, threshold, chunk_rows)
 
 
 def tick_counts(records: DataFrame) -> DataFrame:
@@ -22,48 +26,47 @@ def tick_counts(records: DataFrame) -> DataFrame:
 
 
 def burst_ticks_of_counts(ticks: DataFrame, window_secs: float = S.BURST_WINDOW_SECS,
-                          threshold: int = S.BURST_THRESHOLD,
-                          slice_secs: float | None = None) -> DataFrame:
+                          threshold: int = S.BURST_THRESHOLD, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Burst times from rows already counted per (source, ts_us).
 
     Whether a row is in a burst depends on its source and time alone, and more
     than ``threshold`` rows at one time add nothing. So rows are first counted
     per (source, time), which combines on the map side, and only up to
-    ``threshold`` of each go on. Time is cut into slices that carry a margin of
-    one window on both sides; every slice is then complete in itself and a
-    busy source is spread over as many tasks as it has slices. In a slice, a
-    row opens a burst when the row ``threshold - 1`` places later is still
-    inside the window, and belongs to one if an opener is at most that many
-    places back: constant work per row.
+    ``threshold`` of each go on. These are numbered in the order of source and
+    time and cut into chunks of equally many rows, each with a margin of
+    ``threshold - 1`` rows on both sides, so a task holds a chunk whatever the
+    source or the second its rows are from. A row opens a burst when the row
+    ``threshold - 1`` places later has its source and is still inside the
+    window, and belongs to one if an opener is at most that many places back:
+    constant work per row.
     """
-    width = int(window_secs * 1_000_000)
-    length = int((slice_secs or max(4 * window_secs, 600)) * 1_000_000)
-    if length < width:
-        raise ValueError("slice_secs must not be below window_secs")
-    at = F.col("ts_us")
-
-    def slice_of(t):
-        return F.floor(t / F.lit(float(length))).cast("long")
-
-    spread = (ticks
-              .withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(threshold)).cast("int"))))
-              .withColumn("slice", F.explode(F.sequence(slice_of(at - width), slice_of(at + width)))))
-    by_time = Window.partitionBy("source", "slice").orderBy("ts_us", "copy")
-    reach = F.lead("ts_us", threshold - 1).over(by_time) - at
-    placed = (spread.withColumn("place", F.row_number().over(by_time))
-              .withColumn("reach", reach))
-    opened = F.max(F.when(F.col("reach") <= width, F.col("place"))).over(
-        by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (placed.withColumn("opened", opened)
-            .where((F.col("place") - F.col("opened") < threshold)
-                   & (F.col("slice") == slice_of(at)))
+    width, margin = int(window_secs * 1_000_000), threshold - 1
+    chunk_rows = max(chunk_rows, threshold)
+    copies = ticks.withColumn("copy", F.explode(F.sequence(
+        F.lit(1), F.least(F.col("n"), F.lit(threshold)).cast("int"))))
+    placed = in_order(copies, [F.col("source"), F.col("ts_us"), F.col("copy")], "place", chunk_rows)
+
+    def chunk_of(place):
+        return F.floor(place / F.lit(float(chunk_rows))).cast("long")
+
+    place = F.col("place")
+    spread = placed.withColumn("chunk", F.explode(F.sequence(
+        chunk_of(F.greatest(place - margin, F.lit(0))), chunk_of(place + margin))))
+    by_place = Window.partitionBy("chunk").orderBy("place")
+    ahead = F.lead(F.struct("source", "ts_us"), margin).over(by_place)
+    opens = (F.col("ahead.source").eqNullSafe(F.col("source")) & F.col("ahead").isNotNull()
+             & (F.col("ahead.ts_us") - F.col("ts_us") <= width))
+    opened = F.max(F.when(opens, place)).over(
+        by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (spread.withColumn("ahead", ahead).withColumn("opened", opened)
+            .where((place - F.col("opened") < threshold) & (F.col("chunk") == chunk_of(place)))
             .select("source", "ts_us", "n").distinct())
 
 
 def detect_bursts(records: DataFrame, window_secs: float = S.BURST_WINDOW_SECS,
-                  threshold: int = S.BURST_THRESHOLD, slice_secs: float | None = None) -> DataFrame:
+                  threshold: int = S.BURST_THRESHOLD, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Records with ``is_burst``."""
-    ticks = burst_ticks(records, window_secs, threshold, slice_secs)
+    ticks = burst_ticks(records, window_secs, threshold, chunk_rows)
     return join_flag(records, ticks, ["source", "ts_us"], "is_burst")
 
 

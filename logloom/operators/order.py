@@ -77,7 +77,22 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     Rows are dealt to sorted ranges once and numbered inside them; the sizes
     of the ranges before are added.
     """
-    cut = stage(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    return _numbered(stage(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges"),
+                     order, name)
+
+
+def in_order(df: DataFrame, order: list[Column], name: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The same; a table of no more than ``rows_per_task`` rows is numbered by one task."""
+    rows = stage(df, "inorder")
+    n = rows.count()
+    if n <= rows_per_task:
+        return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+    ranges = ceil(n / rows_per_task)
+    cut = rows.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id())
+    return _numbered(stage(cut, "ranges"), order, name)
+
+
+def _numbered(cut: DataFrame, order: list[Column], name: str) -> DataFrame:
     sizes = cut.groupBy("__range").count()
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     # one row per range

@@ -38,12 +38,16 @@ def _(spark, sf):
 
 
 @query("detect_bursts_hot", over(
-    {"t_log": "SELECT event_id AS seq, epoch_us(ts) AS ts_us, CASE WHEN user_id % 3 = 0 THEN 'hot' ELSE concat('u', user_id) END AS source FROM events",
+    {"t_log": """SELECT event_id AS seq, CASE WHEN user_id % 3 = 0 THEN epoch_us(TIMESTAMP '2024-01-10') + event_id * 7919 % 1000000
+  ELSE epoch_us(ts) END AS ts_us, CASE WHEN user_id % 3 = 0 THEN 'hot' ELSE concat('u', user_id) END AS source FROM events""",
      **burst_sql("t_burst", 600, 4)}, "SELECT seq, source, ts_us, is_burst FROM t_burst"))
 def _(spark, sf):
-    """One source with a third of the rows."""
-    hot = F.when(F.col("pid") % 3 == 0, "hot").otherwise(F.substring_index("source", "@", 1))
-    return D.detect_bursts(I.t_log(spark, sf).select("seq", "ts_us", hot.alias("source")), 600, 4).select(
+    """One source with a third of the rows, all within one second."""
+    is_hot = F.col("pid") % 3 == 0
+    hot = F.when(is_hot, "hot").otherwise(F.substring_index("source", "@", 1))
+    second = F.unix_micros(F.lit("2024-01-10").cast("timestamp")) + F.col("seq") * 7919 % 1_000_000
+    at = F.when(is_hot, second).otherwise(F.col("ts_us"))
+    return D.detect_bursts(I.t_log(spark, sf).select("seq", at.alias("ts_us"), hot.alias("source")), 600, 4).select(
         "seq", "source", "ts_us", "is_burst")
 
 

@@ -46,15 +46,26 @@ def bursts(rows, window, threshold):
     return found
 
 
-@pytest.mark.parametrize("seed, n, span, window, threshold, slice_secs", [
-    (1, 400, 2000, 10, 3, None), (2, 400, 2000, 10, 3, 10), (3, 300, 300, 0, 3, 1), (4, 300, 5000, 60, 4, 61),
-    (5, 200, 50, 5, 30, 5), (6, 200, 1000, 7, 1, 9), (7, 500, 100000, 600, 5, 600), (8, 300, 40, 60, 2, 60)])
-def test_bursts(spark, seed, n, span, window, threshold, slice_secs):
+@pytest.mark.parametrize("seed, n, span, window, threshold, chunk", [
+    (1, 400, 2000, 10, 3, 10**6), (2, 400, 2000, 10, 3, 20), (3, 300, 300, 0, 3, 1), (4, 300, 5000, 60, 4, 61),
+    (5, 200, 50, 5, 30, 5), (6, 200, 1000, 7, 1, 9), (7, 500, 100000, 600, 5, 50), (8, 300, 40, 60, 2, 33)])
+def test_bursts(spark, seed, n, span, window, threshold, chunk):
     rows = make(seed, n, span)
-    got = D.detect_bursts(frame(spark, rows), window, threshold, slice_secs).where("is_burst").collect()
+    got = D.detect_bursts(frame(spark, rows), window, threshold, chunk).where("is_burst").collect()
     assert {r.seq for r in got} == bursts(rows, window, threshold) and len(got) == len({r.seq for r in got})
 
 
+def test_one_source_within_one_second_is_cut_evenly(spark):
+    rows = [(i, "hot", i * 97 % 1_000_000, "INFO") for i in range(3000)]
+    table = frame(spark, rows, unit=1)
+    got = D.detect_bursts(table, 0.000_5, 3, 250)
+    assert {r.seq for r in got.where("is_burst").collect()} == bursts(rows, 500, 3)
+    placed = order.in_order(D.tick_counts(table), [F.col("source"), F.col("ts_us")], "place", 250)
+    sizes = [r["count"] for r in placed.groupBy(F.floor(F.col("place") / 250)).count().collect()]
+    assert len(sizes) == 12 and set(sizes) == {250}
+    assert sorted(r["place"] for r in placed.collect()) == list(range(3000))
+
+
 def test_burst_edges(spark):
     three = [(i, "s", 5, "INFO") for i in range(3)]
     assert D.detect_bursts(frame(spark, three), 0, 3).where("is_burst").count() == 3
