@@ -218,7 +218,8 @@ def vectorize(records: DataFrame, backend: str = "hash", key: str = "seq",
 
 def _fitted(plain: DataFrame, key: str, dims: int, split: str | None) -> DataFrame:
     """Records with their TF-IDF vectors, a zero vector where no term was kept."""
-    field = None if split is None else F.col(split).cast("string")
+    # rows without a value are a split of their own
+    field = None if split is None else F.coalesce(F.col(split).cast("string"), F.lit("\x00"))
     fitted = stage(svd_embedding(plain, key, dims=dims, split=field), "embedding")
     widths = broadcast_if_small(stage(
         fitted.groupBy(F.col("split").alias("__split")).agg(F.max(F.size("embedding")).alias("__width")), "widths"))
