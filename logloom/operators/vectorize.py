@@ -221,15 +221,17 @@ def _fitted(plain: DataFrame, key: str, dims: int, split: str | None) -> DataFra
     # rows without a value are a split of their own
     field = None if split is None else F.coalesce(F.col(split).cast("string"), F.lit("\x00"))
     fitted = stage(svd_embedding(plain, key, dims=dims, split=field), "embedding")
-    widths = broadcast_if_small(stage(
-        fitted.groupBy(F.col("split").alias("__split")).agg(F.max(F.size("embedding")).alias("__width")), "widths"))
     vectors = fitted.select(F.col(key).alias("__key"), "embedding")
-    own = F.lit("") if split is None else field
-    zero = F.array_repeat(F.lit(0.0), F.coalesce("__width", F.lit(0)))
-    return (plain.join(vectors, plain[key] == F.col("__key"), "left")
-            .join(widths, own.eqNullSafe(F.col("__split")), "left")
-            .withColumn("embedding", F.coalesce("embedding", zero))
-            .select(*plain.columns, "embedding"))
+    joined = plain.join(vectors, plain[key] == F.col("__key"), "left")
+    if split is None:
+        width = fitted.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0]
+        zero = F.array_repeat(F.lit(0.0), width)
+    else:
+        widths = broadcast_if_small(stage(
+            fitted.groupBy(F.col("split").alias("__split")).agg(F.max(F.size("embedding")).alias("__width")), "widths"))
+        joined = joined.join(widths, field == F.col("__split"), "left")
+        zero = F.array_repeat(F.lit(0.0), F.coalesce("__width", F.lit(0)))
+    return joined.withColumn("embedding", F.coalesce("embedding", zero)).select(*plain.columns, "embedding")
 
 
 def vectorize_per_split(records: DataFrame, split: str, backend: str = "hash", key: str = "seq",
