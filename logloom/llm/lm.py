@@ -27,14 +27,15 @@ TAILS = 64
 HIDDEN = 32
 # Words whose counts travel to the tasks; counts of rarer ones are joined.
 DICTIONARY = 200_000
-# Share of the training documents that each round of fitting reads.
-SHARE = 1 / 32
+# Rounds of fitting, and the share of the training documents that each reads: a slice of its own, all of them together.
 ROUNDS = 2
+SHARE = 1 / ROUNDS
 # Streams read side by side and steps of a window, in fitting and in scoring.
 FIT_STREAMS, FIT_STEPS = 64, 16
 STREAMS, STEPS = 256, 32
-# Tokens held before they are scored together.
+# Tokens held before they are scored together, and before they are learned from.
 HELD_TOKENS = 2 << 20
+LEARNED_TOKENS = 1 << 20
 RATE = 0.01
 # Distinct words a task counts before it sends them on.
 COUNTED = 300_000
@@ -330,10 +331,18 @@ def score_documents(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def train(net: Network, docs: list[np.ndarray], rate: float = RATE) -> int:
+class Moments:
+    """What Adam carries from window to window, and from one call of ``train`` to the next."""
+
+    def __init__(self, net: Network):
+        self.m, self.v, self.k = np.zeros_like(net.theta), np.zeros_like(net.theta), 0
+
+
+def train(net: Network, docs: list[np.ndarray], rate: float = RATE, moments: Moments | None = None) -> int:
     """One pass of truncated backpropagation with Adam; tokens seen."""
     streams = Streams(docs, FIT_STREAMS, net.vocab.inputs - 1)
-    m, v, k = np.zeros_like(net.theta), np.zeros_like(net.theta), 0
+    moments = moments or Moments(net)
+    m, v, k = moments.m, moments.v, moments.k
     step = np.empty_like(net.theta)
     h = np.zeros((len(streams.length), net.h), np.float32)
     for place, mask in streams.windows(FIT_STEPS):
@@ -351,15 +360,22 @@ def train(net: Network, docs: list[np.ndarray], rate: float = RATE) -> int:
         step += 1e-6
         np.divide(m, step, out=step)
         net.theta -= np.multiply(step, rate / (1 - 0.9 ** k), out=step)
+    moments.k = k
     return int(streams.length.sum())
 
 
-def fit(docs: DataFrame, vocab: Vocabulary, share: float = SHARE, rounds: int = ROUNDS) -> np.ndarray:
-    """Parameters after ``rounds`` passes over ``share`` of the training documents each.
+def slice_of(rounds: int, text: str = "text") -> Column:
+    """The round, from 0, that reads a text. Every text has one, null too."""
+    return F.pmod(F.xxhash64(F.col(text)), F.lit(rounds))
+
 
-    Every task goes through its own documents from the same start; the copies
-    are averaged by their tokens, parameter block by block, and are the next
-    round's start. What a round reads grows with the corpus.
+def fit(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, held: int = LEARNED_TOKENS) -> np.ndarray:
+    """Parameters after one pass over all training documents, of which each of
+    ``rounds`` reads a slice.
+
+    Every task goes through its own documents of the slice from the same
+    start, about ``held`` tokens at a time; the copies are averaged by their
+    tokens, parameter block by block, and are the next round's start.
     """
     spark = docs.sparkSession
     theta = Network(vocab).theta
@@ -370,12 +386,19 @@ def fit(docs: DataFrame, vocab: Vocabulary, share: float = SHARE, rounds: int =
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = sent_vocab.value
-            texts = [np.array([own.code(w) for w in [*tokens_of(t.as_py()), END]], dtype=np.int32)
-                     for batch in batches for t in batch.column(0)]
-            if not texts:
-                return
             net = Network(own, sent.value.copy())
-            n = train(net, texts)
+            moments, texts, size, n = Moments(net), [], 0, 0
+            for batch in batches:
+                for t in batch.column(0):
+                    texts.append(np.array([own.code(w) for w in [*tokens_of(t.as_py()), END]], dtype=np.int32))
+                    size += len(texts[-1])
+                    if size >= held:
+                        n += train(net, texts, moments=moments)
+                        texts, size = [], 0
+            if texts:
+                n += train(net, texts, moments=moments)
+            if not n:
+                return
             for i, at in enumerate(range(0, len(net.theta), block)):
                 yield pa.RecordBatch.from_pydict({
                     "block": [i], "n": [n],
@@ -398,8 +421,7 @@ def fit(docs: DataFrame, vocab: Vocabulary, share: float = SHARE, rounds: int =
                                                   "part": pa.array([x.tolist()], pa.list_(pa.float64()))})
 
         kind = "block long, n long, part array<double>"
-        picked = F.pmod(F.xxhash64(F.col("text"), F.lit(r)), F.lit(1 << 20)) < int(share * (1 << 20))
-        rows = (docs.where(picked).select("text").mapInArrow(learn, kind)
+        rows = (docs.where(slice_of(rounds) == r).select("text").mapInArrow(learn, kind)
                 .repartition("block").mapInArrow(total, kind).collect())  # one copy of the parameters
         if not rows:
             continue
@@ -493,7 +515,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Log10 probability of every whole text by the network, and by word counts.
 
     Counts, classes and the network come from the rows whose id's CRC-32 mod 7
-    is not 2. Rare words are drawn from a class by their last bytes, in which
+    is not 2, the network from one pass over all of these. Rare words are drawn from a class by their last bytes, in which
     each has its count and one more and all unknown ones together one. Counts
     of words beyond the dictionary are joined to the documents' own counts.
     Null and empty texts are just the end. A null id is training text; rows

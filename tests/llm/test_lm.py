@@ -1,5 +1,7 @@
 import math
+import os
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -124,3 +126,23 @@ def test_without_training_rows(spark):
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0.0)
     (r,) = lm.lm_digest(documents(spark, [(None, "a b")])).collect()
     assert not r["held_out"] and r["n_known"] == 3
+
+
+def test_every_training_text_is_learned_from_once(spark, monkeypatch, tmp_path):
+    rows = [(i, f"w{i} " * (1 + i % 5)) for i in range(400)] + [(None, None), (401, "same"), (402, "same")]
+    docs = documents(spark, rows).repartition(3)
+    counts = lm.stage(lm.count_words(docs), "words")
+    vocab = lm.vocabulary(counts)
+    learn, folder = lm.train, str(tmp_path)
+
+    def train(net, docs, **options):
+        with open(f"{folder}/{os.getpid()}-{time.time_ns()}", "w") as f:
+            f.write(" ".join(str(c) for d in docs for c in d))
+        return learn(net, docs, **options)
+
+    monkeypatch.setattr(lm, "train", train)
+    lm.fit(docs, vocab, held=50)
+    parts = [list(map(int, p.read_text().split())) for p in tmp_path.iterdir()]
+    assert max(map(len, parts)) < 60  # no more at once than is held and a text
+    want = Counter(vocab.code(w) for _, t in rows for w in [*words(t), lm.END])
+    assert Counter(c for p in parts for c in p) == want
