@@ -48,10 +48,10 @@ ONE_OF_TWO = 3.0
 EDGES = ".,;:!?\"'()[]{}<>«»„“”‘’…|%&*#^~=_/\\-"
 LETTERS = re.compile(r"[^\W\d_]+")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
-LOOSE = re.compile(r"(?:^|\s)(\S(?:\s\S){2,})(?=\s|$)")
-UNIT = re.compile(r"([^\W\d_])\1*|.", re.S)
-# A token of more characters than this has no word in it that one could disguise; its letters are read as they are.
-TOKEN_CHARS = 48
+# Single characters set apart by white space, and pieces of one or two.
+LOOSE = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+PIECES = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2}){2,}(?!\S)")
+UNIT = re.compile(rf"([^\W\d_])\1*|([{re.escape(''.join(LEET))}])\2{{2,}}|.", re.S)
 
 
 # ---- character language model ---------------------------------------------
@@ -119,6 +119,9 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
                 out.append([(run, 0.0), (c, ONE_OF_TWO)])
             else:
                 out.append([(c, ONE_OF_MANY), (c + c, TWO_OF_MANY)])
+        elif c in LEET and len(run) > 1:
+            out.append([(r * n, cost + more) for r, cost in LEET[c] for n, more in ((1, ONE_OF_MANY), (2, TWO_OF_MANY))]
+                       + [("", DROP)])
         elif c in LEET:
             out.append([*LEET[c], ("", DROP)])
         else:
@@ -128,11 +131,11 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(token: str, model: list[float]) -> str:
-    """The likeliest reading: Viterbi over pairs of last symbols."""
-    states = {(0, 0): (0.0, "")}
+    """The likeliest reading: Viterbi over pairs of last symbols, in time linear in the length."""
+    states: dict = {(0, 0): (0.0, None)}  # score and, last first, the readings so far
     for options in lattice(token):
         new: dict = {}
-        for (a, b), (score, text) in states.items():
+        for (a, b), (score, path) in states.items():
             for reading, cost in options:
                 x, y, s = a, b, score - cost
                 for c in reading:
@@ -141,10 +144,19 @@ def decode(token: str, model: list[float]) -> str:
                     x, y = (0, 0) if z == 0 else (y, z)
                 old = new.get((x, y))
                 if old is None or s > old[0]:
-                    new[x, y] = (s, text + reading)
+                    new[x, y] = (s, (path, reading) if reading else path)
         states = new
-    return max((s + (model[a * SYMBOLS * SYMBOLS + b * SYMBOLS] if b else 0.0), t)
-               for (a, b), (s, t) in states.items())[1]
+    ends = {k: s + (model[k[0] * SYMBOLS * SYMBOLS + k[1] * SYMBOLS] if k[1] else 0.0) for k, (s, _) in states.items()}
+    best = max(ends.values())
+    return max(_spelled(states[k][1]) for k, s in ends.items() if s == best)
+
+
+def _spelled(path: tuple | None) -> str:
+    parts = []
+    while path is not None:
+        path, reading = path
+        parts.append(reading)
+    return "".join(reversed(parts))
 
 
 def readings(token: str, model: list[float]) -> list[str]:
@@ -162,7 +174,7 @@ def readings(token: str, model: list[float]) -> list[str]:
         if not rest or len(rest) > 2 or not all(c in LEET for c in rest):
             return [core]
     plain = LETTERS.findall(token)
-    if len(token) > TOKEN_CHARS or not any(c in LEET or c.isalpha() for c in token):
+    if not any(c in LEET or c.isalpha() for c in token):
         return plain
     ends = token.strip(".,;:?\"'()[]{}<>«»„“”…%&*#^~=_/\\-")
     found = [*plain, *decode(ends, model).split()]
@@ -176,16 +188,15 @@ def words_of(text: str, model: list[float], known: dict[str, list[str]]) -> set[
     low = text.lower()
     out: set[str] = set()
     tokens = set(low.split())
-    for m in LOOSE.finditer(low):
-        tokens.add("".join(" " if c.isspace() else c for c in m.group(1)))
+    for apart in (LOOSE, PIECES):
+        tokens.update(" ".join(m.group().split()) for m in apart.finditer(low))
     for t in tokens:
         words = known.get(t)
         if words is None:
             if len(known) > MEMORY:
                 known.clear()
             if " " in t:
-                words = [w for i in range(0, len(t), 2 * TOKEN_CHARS)
-                         for w in decode(t[i:i + 2 * TOKEN_CHARS + 24], model).split()]
+                words = decode(t, model).split()
             else:
                 words = readings(t, model)
             known[t] = words

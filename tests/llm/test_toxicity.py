@@ -57,6 +57,20 @@ def test_plain_words_stay(model):
     assert words_of("x" * 5000 + "9" * 5000, model, {}) is not None
 
 
+@pytest.mark.parametrize("text", ["1d10t" + "!" * 60, "1d10t" + "." * 60, "(" * 60 + "1d10t", "m" + "0" * 60 + "ron",
+                                  "i  d \t i\n o   t", "id io t"])
+def test_long_stretched_and_loose_disguises_are_restored(model, text):
+    found = words_of(f"some words {text} andmore", model, {})
+    assert ("moron" if text[0] == "m" else "idiot") in found
+
+
+def test_words_inside_long_tokens_are_decoded(model):
+    assert any(w.startswith("idiot") for w in words_of("-".join("idi0t" * 12), model, {}))
+    text = "bakori." * 200 + "m0r0n" + ".molute" * 200  # no white space
+    assert any("moron" in w for w in words_of(text, model, {}))
+    assert decode("a-" * 50_000, model)
+
+
 def test_held_out_accuracy(spark, corpus):
     rows, labels = corpus
     got = toxicity_digest(documents(spark, rows), spark.createDataFrame(labels, LABELS)).collect()
