@@ -19,6 +19,7 @@ PIECE = re.compile(
     r"|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 ATTR = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
+TITLE = re.compile(r"/h1(?:[./]|$)")
 
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset
 figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre
@@ -44,36 +45,48 @@ PUNCTUATION = frozenset(".,;:!?…。，、；：！？¿¡")
 
 # A path is content if its fused, smoothed ratio reaches this share of the page's mean plus deviation.
 STRENGTH = 0.5
-# The container keeps this share of the text of the content paths.
-HELD = 0.6
+# A label puts no part outside that holds this share of the page's text.
+HELD = 0.5
+# Words before these say what a part has or lacks, not what it is.
+MODIFIERS = frozenset(("has", "is", "no", "not", "with", "without"))
 
 
-def _labels(attrs: str) -> tuple[bool, str]:
-    """Whether attributes mark a part as outside the article, and the first class."""
-    out, kind = False, ""
+def _named(value: str) -> bool:
+    """Whether a class or id names a part outside the article; what follows a modifier names nothing."""
+    for name in value.split():
+        words = [w.lower() for w in WORDS.findall(name)]
+        if any(w in LABELS for w in words) and not MODIFIERS & set(words[:-1]):
+            return True
+    return False
+
+
+def _labels(attrs: str) -> tuple[bool, bool, str]:
+    """Whether attributes hide a part, whether they label it as outside the article, and the first class."""
+    hidden, out, kind = False, False, ""
     for m in ATTR.finditer(attrs):
         name = m.group(1).lower()
         value = m.group(2) or m.group(3) or m.group(4) or ""
         if name in ("class", "id"):
             if name == "class":
                 kind = value.split()[0] if value.split() else ""
-            out = out or any(w.lower() in LABELS for w in WORDS.findall(value))
+            out = out or _named(value)
         elif name == "role":
             out = out or value.lower() in ROLES
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            out = True
+            hidden = True
         elif name == "style":
-            out = out or "display:none" in value.replace(" ", "").lower()
-    return out, kind
+            hidden = hidden or "display:none" in value.replace(" ", "").lower()
+    return hidden, out, kind
 
 
-def blocks_of(page: str) -> list[tuple[str, list[tuple[int, str]], str, bool]]:
-    """(text, containers around it, tag path, outside) of every block of text in page order.
+def blocks_of(page: str) -> list[tuple[str, list[tuple[int, str]], str, list[int] | None]]:
+    """(text, containers around it, tag path, labelled parts around it) of every block of text in page order.
 
-    A container is (number in page order, name). Tags that HTML lets end by themselves
+    Labelled parts are numbers of elements whose class, id or role puts them outside the article, None
+    where a block is hidden or in an element that is no article by its name. A container is (number in page order, name). Tags that HTML lets end by themselves
     do so; closing tags without an opening one are passed over.
     """
-    stack: list[tuple[str, int, str, bool]] = []  # name, number, path, outside
+    stack: list[tuple[str, int, str, list[int] | None]] = []  # name, number, path, labelled parts
     found, parts, number, at, owner = [], [], 0, 0, None
 
     def flush():
@@ -84,7 +97,7 @@ def blocks_of(page: str) -> list[tuple[str, list[tuple[int, str]], str, bool]]:
                 around = owner
                 found.append((text, [(e[1], e[0]) for e in around if e[0] in CONTAINERS],
                               around[-1][2] if around else "",
-                              bool(around) and around[-1][3]))
+                              around[-1][3] if around else []))
         parts, owner = [], None
 
     def put(text):
@@ -130,11 +143,16 @@ def blocks_of(page: str) -> list[tuple[str, list[tuple[int, str]], str, bool]]:
         if name in VOID or m.group("attrs").rstrip().endswith("/"):
             continue
         number += 1
-        up = stack[-1] if stack else ("", 0, "", False)
-        marked, kind = _labels(m.group("attrs")) if m.group("attrs").strip() else (False, "")
+        up = stack[-1] if stack else ("", 0, "", [])
+        hidden, marked, kind = _labels(m.group("attrs")) if m.group("attrs").strip() else (False, False, "")
         inside = any(e[0] == "article" for e in stack)
-        outer = (name in OUTSIDE and not (name == "header" and inside)) or (marked and name not in ("html", "body"))
-        stack.append((name, number, f"{up[2]}/{name}" + (f".{kind}" if kind else ""), up[3] or outer))
+        whole = name in ("html", "body")
+        labelled = up[3]
+        if (name in OUTSIDE and not (name == "header" and inside)) or (hidden and not whole):
+            labelled = None
+        elif marked and not whole and labelled is not None:
+            labelled = [*labelled, number]
+        stack.append((name, number, f"{up[2]}/{name}" + (f".{kind}" if kind else ""), labelled))
     if at < len(page):
         put(page[at:])
     flush()
@@ -170,14 +188,23 @@ def path_scores(blocks) -> dict[str, float]:
 def main_blocks(page: str) -> list[str]:
     """The article's blocks in page order.
 
-    Blocks in parts that name or label themselves menu, header, footer,
-    sidebar, notice, advert, form or comments are out. Of the others, those on
-    paths whose score reaches the threshold are content nodes. The innermost
-    container that holds most of their text, or the article or main element
-    around it, is the article; all blocks in it that are not out belong to it,
-    short ones too.
+    Hidden blocks and those in elements that are menu, header, footer, form or
+    the like by their name are out. So are parts that label themselves so,
+    unless a part holds most of the text that is left. Of the other blocks, those on paths
+    whose score reaches the threshold are content nodes. The lowest container
+    that holds all content nodes is the article; all blocks in it that are not
+    out belong to it, short ones too. Where article elements, or else main
+    elements, hold most of the text of the content nodes, their blocks and the
+    content nodes elsewhere are the article. If no h1 is in it, the nearest one
+    before it is its heading.
     """
-    blocks = [b for b in blocks_of(page) if not b[3]]
+    blocks = [b for b in blocks_of(page) if b[3] is not None]
+    size = defaultdict(int)
+    for text, _, _, labelled in blocks:
+        for number in labelled:
+            size[number] += len(text)
+    most = HELD * sum(len(b[0]) for b in blocks)
+    blocks = [b for b in blocks if all(size[number] > most for number in b[3])]
     if not blocks:
         return []
     scores = path_scores(blocks)
@@ -186,18 +213,20 @@ def main_blocks(page: str) -> list[str]:
     spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
     limit = STRENGTH * (mean + spread)
     content = [b for b in blocks if scores[b[2]] >= limit] or blocks
-    held, names = defaultdict(int), {}
-    for text, around, _, _ in content:
-        for number, name in around:
-            held[number] += len(text)
-            names[number] = name
-    need = HELD * sum(len(b[0]) for b in content)
-    holders = sorted(e for e, n in held.items() if n >= need)  # nested, the innermost last
-    if not holders:
-        return [b[0] for b in blocks]
-    named = ([e for e in holders if names[e] == "article"] or [e for e in holders if names[e] == "main"])
-    article = named[0] if named else holders[-1]
-    return [b[0] for b in blocks if any(e[0] == article for e in b[1])]
+    taken = None
+    for name in ("article", "main"):
+        own = sum(len(b[0]) for b in content if any(e[1] == name for e in b[1]))
+        if own > HELD * sum(len(b[0]) for b in content):
+            taken = [i for i, b in enumerate(blocks) if any(e[1] == name for e in b[1]) or scores[b[2]] >= limit]
+            break
+    if taken is None:
+        common = set(content[0][1]).intersection(*[b[1] for b in content])
+        taken = [i for i, b in enumerate(blocks) if not common or max(common) in b[1]]
+    titles = [i for i, b in enumerate(blocks) if TITLE.search(b[2])]
+    before = [i for i in titles if i < taken[0]]
+    if before and not set(titles) & set(taken):
+        taken.insert(0, before[-1])
+    return [blocks[i][0] for i in taken]
 
 
 def main_text(page: str | None) -> str:

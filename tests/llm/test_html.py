@@ -50,3 +50,23 @@ def test_plain_text_and_odd_pages(spark):
 def test_a_long_page_is_whole():
     body = "".join(f"<p>{LONG} {i}</p>" for i in range(3000))
     assert main_text(page(f"<article>{body}</article>")).count("\n\n") == 2999
+
+
+def test_all_sibling_parts_are_kept():
+    sections = f"<section><p>{LONG * 2}</p></section><section><p>{LONG}</p></section>"
+    whole = (LONG * 2).strip() + "\n\n" + LONG.strip()
+    assert main_text(page(f'{PARTS}<div id="content">{sections}</div><footer>Foot</footer>')) == whole
+    parts = f"<article><p>{LONG * 3}</p></article><article><p>{LONG}</p></article>"
+    assert main_text(page(f"{PARTS}<main>{parts}</main>")) == (LONG * 3).strip() + "\n\n" + LONG.strip()
+
+
+def test_the_heading_outside_the_body_is_kept():
+    text = main_text(page(f'{PARTS}<div class="content"><h1>Title</h1><div class="body"><p>{LONG}</p><p>{LONG}</p>'
+                          f'<p>End.</p></div></div><footer>Foot</footer>'))
+    assert text == "\n\n".join(["Title", LONG.strip(), LONG.strip(), "End."])
+
+
+def test_labels_do_not_delete_most_of_a_page():
+    for name in ("has-sidebar", "with-comments", "no-ads", "search-widget"):
+        text = main_text(page(f'<nav>Menu</nav><div class="{name}"><p>{LONG}</p><p>{LONG}</p></div>'))
+        assert text == f"{LONG.strip()}\n\n{LONG.strip()}"
