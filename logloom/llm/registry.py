@@ -5,13 +5,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_digest
 from .common import table
 from .decontam import contaminated
+from .divergence import divergence
 from .html import extract_text
 from .lm import lm_digest
 from .mixing import mix_digest
 from .sharding import shard_digest
 from .simhash import simhash_digest
+from .spelling import variant_digest
 from .tokens import token_counts
 from .toxicity import toxicity_digest
 from .urls import HOST_RULES, PATTERNS, compile_pattern, judge_urls
@@ -61,8 +64,21 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_decontamination, op2_language_model, op3_simhash, op4_embedding_dedup, op5_toxicity, op6_mixing, op7_token_counts, op8_sharding, op9_url_filter, op10_html_text)}
+    op1_decontamination, op2_language_model, op3_simhash, op4_embedding_dedup, op5_toxicity, op6_mixing, op7_token_counts, op8_sharding, op9_url_filter, op10_html_text,
+    op11_divergence, op12_spelling, op13_bpe)}
 
 
 def _op4_sql() -> str:
@@ -98,6 +114,30 @@ SELECT page_id, host, path, rule, coalesce(CASE rule {verdicts} END, CASE WHEN p
  pattern FROM judged"""
 
 
+def _op11_sql() -> str:
+    """Every group with every kept term, all pairs of sources of a language."""
+    return r"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+ tok AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+ kept AS (SELECT lang, term FROM tok GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+ size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+ c AS (SELECT lang, source, term, count(*) AS n FROM tok JOIN kept USING (lang, term) GROUP BY ALL),
+ g AS (SELECT lang, source, coalesce(any_value(v), 0) AS v, coalesce(sum(n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN size USING (lang) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+ l AS (SELECT lang, term, sum(n) AS n, any_value(total) AS total FROM c JOIN (SELECT lang, sum(n) AS total FROM c GROUP BY lang) USING (lang) GROUP BY lang, term),
+ p AS (SELECT g.lang, g.source, term, coalesce(c.n, 0) AS n, CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // (g.total + 2 * v) AS BIGINT) AS p
+  FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+ q AS (SELECT lang, term, CAST(1 + CAST(1000000000 AS HUGEINT) * (n + 2) // (total + 2 * v) AS BIGINT) AS q FROM l JOIN size USING (lang)),
+ pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ item AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+   FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+ FROM item QUALIFY part = 'pair' OR rank <= 10"""
+
+
 # The others hash with XXH64, train a model, align, parse or draw: no SQL says that.
 # tests/llm compares them with brute-force versions.
-ORACLES: dict[str, str] = {"op4_embedding_dedup": _op4_sql(), "op9_url_filter": _op9_sql()}
+ORACLES: dict[str, str] = {"op4_embedding_dedup": _op4_sql(), "op9_url_filter": _op9_sql(),
+                            "op11_divergence": _op11_sql()}
