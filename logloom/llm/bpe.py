@@ -4,7 +4,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,9 +19,10 @@ VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 # Rank of a pair that no merge names.
 NONE = np.int32(np.iinfo(np.int32).max)
 # Words met so far are remembered with their ids up to this many ids; then memory starts anew.
-KEPT_IDS = 4_000_000
-# Words, or ids, that a step of a batch handles together.
-STEP_WORDS = 1 << 18
+KEPT_IDS = 500_000
+# Words, or ids, that a step of a batch handles together, and texts that are read from Arrow at once.
+STEP_WORDS = 1 << 16
+STEP_TEXTS = 256
 # Below this code point, letters, digits, lower case and composition are alike in all versions of Unicode in use.
 STABLE = 0x530
 
@@ -45,11 +46,7 @@ class Vocabulary:
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
-        size = max([*vocab.values(), *self.special.values()]) + 1
-        self.tokens = [None] * size
-        for token, i in [*vocab.items(), *self.special.items()]:
-            self.tokens[i] = token
-        self.size = size
+        self.size = size = len(token_list(told))
         left = np.array([vocab[a] for a, _ in merges], np.int64)
         right = np.array([vocab[b] for _, b in merges], np.int64)
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
@@ -98,6 +95,15 @@ class Vocabulary:
         return np.where(self.keys[place] == key, self.rank[place], NONE)
 
 
+def token_list(told: dict) -> list[str | None]:
+    """The token of every id, null where there is none."""
+    named = {**told["model"]["vocab"], **{t["content"]: t["id"] for t in told["added_tokens"]}}
+    tokens = [None] * (max(named.values()) + 1)
+    for token, i in named.items():
+        tokens[i] = token
+    return tokens
+
+
 def byte_characters() -> list[str]:
     """The character that stands for each byte: itself where it is visible, else one from 256 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -218,7 +224,7 @@ class Encoder:
         total = np.r_[0, np.cumsum(count)]
         return self.ids[np.repeat(self.start[row] - total[:-1], count) + np.arange(total[-1])], total
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids end."""
         held, ends, parts, before, bounds = [], [], [], 0, []
 
@@ -273,7 +279,7 @@ def encode(spark: SparkSession, text: Column, vocabulary: str) -> Column:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(_read(sent.value))
         for texts in batches:
-            found, ends = encoder.encode(texts.to_pylist())
+            found, ends = encoder.encode(t for k in range(0, len(texts), STEP_TEXTS) for t in texts.slice(k, STEP_TEXTS).to_pylist())
             yield pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(found, pa.int32()))
     return ids(text)
 
@@ -286,30 +292,39 @@ def decode(spark: SparkSession, ids: Column, vocabulary: str) -> Column:
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = pa.array(_read(sent.value).tokens, pa.string())
+        tokens = pa.array(token_list(json.loads(sent.value)), pa.string())
         for arrays in batches:
             yield joined(arrays, tokens)
     return text(ids)
 
 
 def joined(arrays: pa.ListArray, tokens: pa.StringArray) -> pa.Array:
-    lengths = np.asarray(pc.fill_null(pc.list_value_length(arrays), 0), np.int64)
-    flat = arrays.flatten().cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(arrays)), lengths)
-    good = (flat >= 0) & (flat < len(tokens))
-    flat, row = flat[good], row[good]
-    ends = np.r_[0, np.cumsum(np.bincount(row, minlength=len(arrays)))]
+    """Tokens of each row, joined; a few rows at a time, and no more than
+    STEP_WORDS ids but for a longer row."""
+    ends = np.r_[0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(arrays), 0), np.int64))]
     out, first = [], 0
-    while first < len(arrays):   # no more than STEP_WORDS ids at once, but for a longer row
-        last = max(first + 1, int(np.searchsorted(ends, ends[first] + STEP_WORDS, side="right")) - 1)
-        last = min(last, len(arrays))
-        some = tokens.take(pa.array(flat[ends[first]:ends[last]]))
-        lists = pa.ListArray.from_arrays(pa.array((ends[first:last + 1] - ends[first]).astype(np.int32)), some)
-        out.append(pc.binary_join(lists, " "))
+    while first < len(arrays):
+        last = int(np.searchsorted(ends, ends[first] + STEP_WORDS, side="right")) - 1
+        last = min(max(first + 1, last), first + STEP_TEXTS, len(arrays))
+        out.append(_joined(arrays.slice(first, last - first), ends[first:last + 1] - ends[first], tokens))
         first = last
     return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
 
+def _joined(arrays: pa.ListArray, ends: np.ndarray, tokens: pa.StringArray) -> pa.Array:
+    some = tokens.take(_inside(arrays.flatten(), len(tokens)))
+    if some.null_count:   # ids that stand for nothing
+        kept = np.asarray(some.is_valid())
+        ends = np.r_[0, np.cumsum(kept)][ends]
+        some = some.drop_null()
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), some), " ")
+
+
+def _inside(ids: pa.Array, size: int) -> pa.Array:
+    good = pc.and_(pc.greater_equal(ids, 0), pc.less(ids, size))
+    return pc.if_else(good, ids, pa.scalar(None, ids.type))
+
+
 def encode_texts(docs: DataFrame, text: str = "text", out: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
     """All rows and columns with the ids of their whole text.
 

@@ -1,4 +1,5 @@
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from logloom.llm.bpe import (VOCABULARY, Encoder, Vocabulary, bpe_digest, decode_ids, encode_texts, joined, merge_rounds,
-                             read_vocabulary, spaced_pieces)
+                             read_vocabulary, spaced_pieces, token_list)
 
 from .helpers import DOCUMENTS, documents
 
@@ -96,7 +97,7 @@ def test_decoding_any_ids(spark, monkeypatch):
     monkeypatch.setattr("logloom.llm.bpe.STEP_WORDS", 2)
     rows = [[5, 49407, 320], None, [], [-1, 320, 10**6], [None, 320]]
     want = [LIBRARY.decode([i for i in r or [] if i is not None and 0 <= i < OWN.size], skip_special_tokens=False) for r in rows]
-    assert joined(pa.array(rows, pa.list_(pa.int32())), pa.array(OWN.tokens)).to_pylist() == want
+    assert joined(pa.array(rows, pa.list_(pa.int32())), pa.array(token_list(json.loads(read_vocabulary())))).to_pylist() == want
     df = spark.createDataFrame([(r,) for r in rows], "ids array<int>")
     assert [r["decoded"] for r in decode_ids(df).collect()] == want
 
