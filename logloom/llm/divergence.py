@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ BLOCK_TERMS = 1 << 14
 SENT_BYTES = 64 << 20
 # Counts that a task holds before it hands them on, and tokens that it looks up together.
 HELD = 500_000
-STEP_TOKENS = 1 << 19
+STEP_TOKENS = 1 << 17
 # Sources and terms of one piece of the comparison of sources.
 TILE = 64
 PIECE_TERMS = 512
@@ -219,17 +220,24 @@ def shares(n: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return (out + 1).astype(np.int64)
 
 
-def _compare(width: np.ndarray, kept: np.ndarray, sides) -> list:
+def _lists(arrays: pa.ListArray, *fields: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where each row's structs end, and their fields one after another; a null row has none."""
+    ends = np.r_[0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(arrays), 0), np.int64))]
+    flat = arrays.flatten()
+    return ends, [np.asarray(pc.struct_field(flat, f), np.int64) for f in fields]
+
+
+def _compare(width: np.ndarray, kept: np.ndarray, sides: list[tuple[pa.ListArray, pa.ListArray]]) -> list[np.ndarray]:
     """Sums of distances of all sources of one tile to all of another, per row."""
+    read = [(_lists(members, "total"), _lists(entries, "i", "term", "n")) for members, entries in sides]
     out = []
     for i in range(len(width)):
         p = []
-        for members, entries in sides:
-            n = np.zeros((len(members[i]), width[i]), np.int64)
-            if entries[i] is not None and len(entries[i]):
-                place, term, count = [np.array([e[k] for e in entries[i]], np.int64) for k in ("i", "term", "n")]
-                n[place, term] = count
-            p.append(shares(n, np.array([m["total"] for m in members[i]], np.int64) + 2 * kept[i]))
+        for (members, (total,)), (ends, (place, term, count)) in read:
+            total, own = total[members[i]:members[i + 1]], slice(ends[i], ends[i + 1])
+            n = np.zeros((len(total), width[i]), np.int64)
+            n[place[own], term[own]] = count[own]
+            p.append(shares(n, total + 2 * kept[i]))
         a, b = p
         sums = np.zeros((len(a), len(b)), np.int64)
         for k in range(len(a)):
@@ -265,7 +273,7 @@ def pair_distances(counts: DataFrame, groups: DataFrame) -> DataFrame:
 
     @F.arrow_udf("array<long>")
     def compare(width: pa.Array, kept: pa.Array, a: pa.Array, ea: pa.Array, b: pa.Array, eb: pa.Array) -> pa.Array:
-        sums = _compare(width.to_numpy(), kept.to_numpy(), [(a.to_pylist(), ea.to_pylist()), (b.to_pylist(), eb.to_pylist())])
+        sums = _compare(width.to_numpy(), kept.to_numpy(), [(a, ea), (b, eb)])
         ends = np.r_[0, np.cumsum([len(s) for s in sums])].astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sums)) if sums else pa.array([], pa.int64()))
 
