@@ -1,6 +1,11 @@
 """Bursts, severity escalations and repeat offenders per source."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +16,8 @@ from .order import in_order
 
 # Rows that one task looks at together when bursts are found.
 CHUNK_ROWS = 200_000
+# Below any step from one rank to another.
+NO_STEP = -(1 << 30)
 
 
 def burst_ticks(records: DataFrame, window_secs: float = S.BURST_WINDOW_SECS,
@@ -75,23 +82,59 @@ def escalation_sources(records: DataFrame, min_step: int = S.ESCALATION_STEP) ->
     to the next in time order.
 
     Rows are cut into ranges of (source, time, seq) at sampled quantiles, so a
-    source with a third of the rows fills a third of the ranges. Each range
-    reports its first and last rank and whether a step happened inside; the
-    few reports of a source are then compared in range order.
+    source with a third of the rows fills a third of the ranges, and sorted
+    inside them: the only shuffle of rows. One pass over each range gives one
+    segment per source in it: first and last rank and the largest step
+    between. The few segments of a source are then compared in range order.
     """
     ranked = (records.where(F.col("ts_us").isNotNull())
-              .select("source", "ts_us", "seq", severity_rank("level").alias("rank")))
-    cut = (ranked.repartitionByRange("source", "ts_us", "seq")
-           .withColumn("range", F.spark_partition_id()))
-    in_time = Window.partitionBy("source", "range").orderBy("ts_us", "seq")
-    stepped = cut.withColumn("step", F.col("rank") - F.lag("rank").over(in_time))
-    moment = F.struct("ts_us", "seq")
-    reports = stepped.groupBy("source", "range").agg(
-        F.min_by("rank", moment).alias("first"), F.max_by("rank", moment).alias("last"),
-        F.max("step").alias("inside"))
-    across = F.col("first") - F.lag("last").over(Window.partitionBy("source").orderBy("range"))
-    return (reports.withColumn("across", across)
-            .groupBy("source").agg(F.max(F.greatest("inside", "across")).alias("step"))
+              .select(F.col("source").cast("string").alias("source"), "ts_us", "seq", severity_rank("level").cast("int").alias("rank")))
+    cut = ranked.repartitionByRange("source", "ts_us", "seq").sortWithinPartitions("source", "ts_us", "seq")
+    segments = cut.select("source", "rank").mapInArrow(_segments, "source string, order long, first int, last int, step int")
+    return escalations_of_segments(segments, min_step)
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of one source in sorted rows; ``order`` is the place of the range."""
+    order, names = TaskContext.get().partitionId(), ["source", "order", "first", "last", "step"]
+    held = None   # the source that the last batch ended in, as a segment that may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        coded = batch.column("source").dictionary_encode("encode")
+        code, rank = coded.indices.to_numpy(), batch.column("rank").to_numpy()
+        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        ends = np.r_[starts[1:], len(code)]
+        inside = np.r_[0, np.diff(rank)].astype(np.int64)
+        inside[starts] = NO_STEP
+        rows = list(zip([coded.dictionary[int(c)].as_py() for c in code[starts]], rank[starts].tolist(), rank[ends - 1].tolist(),
+                        np.maximum.reduceat(inside, starts).tolist()))
+        if held is not None:
+            source, first, last, step = rows[0]
+            if source == held[0]:
+                rows[0] = (source, held[1], last, max(held[3], step, first - held[2]))
+            else:
+                rows.insert(0, held)
+        held = rows.pop()
+        if rows:
+            yield _segment_rows(rows, order, names)
+    if held is not None:
+        yield _segment_rows([held], order, names)
+
+
+def _segment_rows(rows: list[tuple], order: int, names: list[str]) -> pa.RecordBatch:
+    source, first, last, step = zip(*rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(source, pa.string()), pa.array([order] * len(rows), pa.int64()), pa.array(first, pa.int32()),
+         pa.array(last, pa.int32()), pa.array([None if s == NO_STEP else s for s in step], pa.int32())], names=names)
+
+
+def escalations_of_segments(segments: DataFrame, min_step: int = S.ESCALATION_STEP) -> DataFrame:
+    """Sources with a step of ``min_step`` inside a segment (source, order,
+    first, last, step) or from one to the next in ``order``."""
+    across = F.col("first") - F.lag("last").over(Window.partitionBy("source").orderBy("order"))
+    return (segments.withColumn("across", across)
+            .groupBy("source").agg(F.max(F.greatest("step", "across")).alias("step"))
             .where(F.col("step") >= min_step).select("source"))
 
 

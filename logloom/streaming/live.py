@@ -17,10 +17,10 @@ from ..operators import detect as D
 from ..operators.condense import first_of_each, group_numbers
 from ..operators.filters import filter_critical, last_critical
 from ..plans.patterns import detect_patterns
-from ..session import join_flag
 from ..sources.journald import journald_entries, parse_journald
 from ..sources.windows import parse_windows
-from .run import land, run_groups
+from .run import keyed_state, land, run_groups
+from .slices import SLICE_SECS, slice_bursts, slice_summaries
 
 # How long a review period, and a period of counts that a watermark closes, lasts.
 PERIOD = f"{S.REVIEW_SECS} seconds"
@@ -115,32 +115,34 @@ def running_offenders(records: DataFrame, threshold: int = S.OFFENDER_THRESHOLD,
 
 
 def running_bursts(records: DataFrame, window_secs: float = S.BURST_WINDOW_SECS,
-                   threshold: int = S.BURST_THRESHOLD, delay: str | None = None) -> DataFrame:
-    """Landed records that lie in a burst.
-
-    The stream keeps the row count per (source, time), which shrinks the
-    history; with a ``delay`` the state lets go of times past the watermark,
-    while their counts stay in the table of results. Bursts are found on those
-    counts whenever they are asked for.
+                   threshold: int = S.BURST_THRESHOLD, delay: str | None = None, slice_secs: int = SLICE_SECS,
+                   **places) -> DataFrame:
+    """Records in a burst (``source``, ``ts_us``, ``seq``, ``id``), an append table.
+
+    A record is handed out as soon as enough others of its source have come
+    within the window; late ones complete bursts too. The state is the rows
+    that later ones may still join: with a ``delay``, those of the last delay
+    and window; without one, a row for each time. History is not read again.
+    ``places`` are those of ``land``.
     """
-    landed = land(records)
-    if delay is None:
-        ticks = run_groups(D.tick_counts(records), ["source", "ts_us"])
-    else:
-        counted = (_timed(records.where(F.col("ts_us").isNotNull()), delay)
-                   .groupBy("source", "at").agg(F.count("*").alias("n")))
-        ticks = run_groups(counted, ["source", "at"]).select("source", F.unix_micros("at").alias("ts_us"), "n")
-    bursts = D.burst_ticks_of_counts(ticks, window_secs, threshold)
-    return join_flag(landed, bursts, ["source", "ts_us"], "is_burst").where("is_burst")
+    with keyed_state(records.sparkSession):
+        return land(slice_bursts(records, window_secs, threshold, slice_secs, delay), **places)
 
 
-def running_escalations(records: DataFrame, min_step: int = S.ESCALATION_STEP) -> DataFrame:
-    """Escalating sources of everything landed so far.
+def running_escalations(records: DataFrame, min_step: int = S.ESCALATION_STEP, delay: str | None = None,
+                        slice_secs: int = SLICE_SECS, **places) -> DataFrame:
+    """Escalating sources of everything that has come so far.
 
-    A late row may fall between two older ones, so the full order is needed:
-    the history is an append table, not one growing list per source.
+    The state holds the rows that the watermark has not passed (all, without a
+    ``delay``), because a late row may fall between two older ones, and one
+    summary per source of the open slices of time. What stays is one summary per source and slice: a batch
+    renews those that it touches, and they are compared in order of time.
+    ``places`` are those of ``keep_updates``.
     """
-    return D.escalation_sources(land(records.select("source", "ts_us", "seq", "level")), min_step)
+    summaries = slice_summaries(records, slice_secs, delay)
+    with keyed_state(records.sparkSession):
+        kept = run_groups(summaries, ["source", "slice"], **places)
+    return D.escalations_of_segments(kept.withColumn("order", F.struct("first_at", "first_seq")), min_step)
 
 
 def review_digest(records: DataFrame, every: str = PERIOD, delay: str | None = None) -> DataFrame:

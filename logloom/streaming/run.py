@@ -1,12 +1,14 @@
 """Running streams: an append table, or a table of the changed groups of an aggregate."""
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..session import path_exists, scratch_path
+from ..session import scratch_path
+from .store import GroupStore
 
 
 def read_stream(spark: SparkSession, path: str, schema, form: str = "parquet",
@@ -42,22 +44,20 @@ def land(stream: DataFrame, path: str | None = None, checkpoint: str | None = No
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def keep_updates(aggregated: DataFrame, path: str | None = None, checkpoint: str | None = None,
+def keep_updates(aggregated: DataFrame, keys: list[str], path: str | None = None, checkpoint: str | None = None,
                  trigger: dict | None = None) -> str:
     """Run a streaming aggregate and keep every changed group; returns the folder.
 
-    Each batch writes its changed groups, whole counts so far, into a folder
-    of its own, which a repeated batch replaces. Groups that a watermark has
-    let go of stay in the table: it is complete whatever the state still holds.
+    Each batch adds its changed groups, whole numbers so far, to a
+    ``GroupStore``, where a repeated batch replaces itself. Groups that a
+    watermark has let go of stay in the table: it is complete whatever the
+    state still holds.
     """
     spark = aggregated.sparkSession
     path = path or scratch_path(spark, "updates")
     checkpoint = checkpoint or scratch_path(spark, "checkpoint")
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    query = (aggregated.writeStream.outputMode("update").foreachBatch(write)
+    store = GroupStore(spark, path, keys)
+    query = (aggregated.writeStream.outputMode("update").foreachBatch(store.write)
              .option("checkpointLocation", checkpoint)
              .trigger(**(trigger or {"availableNow": True})).start())
     if trigger is None:
@@ -66,21 +66,24 @@ def keep_updates(aggregated: DataFrame, path: str | None = None, checkpoint: str
 
 
 def current_groups(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFrame:
-    """The last state of every group in a folder of updates.
-
-    Numbers of a group never shrink from batch to batch, so the last batch
-    that wrote a group has its state.
-    """
-    updates = spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema).parquet(path)
-    values = [f for f in schema.names if f not in keys and f != "batch"]
-    latest = updates.groupBy(*keys).agg(*[F.max_by(v, "batch").alias(v) for v in values])
-    return latest.select(*keys, *values)
+    """The last state of every group in a folder of updates."""
+    return GroupStore(spark, path, keys).current(schema)
 
 
-def run_groups(aggregated: DataFrame, keys: list[str]) -> DataFrame:
+def run_groups(aggregated: DataFrame, keys: list[str], path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """All groups of a streaming aggregate once it has read what is there."""
-    spark = aggregated.sparkSession
-    path = keep_updates(aggregated)
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], aggregated.schema)
-    return current_groups(spark, path, StructType(list(aggregated.schema.fields)), keys)
+    path = keep_updates(aggregated, keys, path, checkpoint)
+    return current_groups(aggregated.sparkSession, path, StructType(list(aggregated.schema.fields)), keys)
+
+
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Streams started inside keep the state of ``transformWithState`` operators,
+    which only this provider can; a restart reads its own from its checkpoint."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -43,7 +43,7 @@ def test_updates_survive_a_restart(spark, table):
     path, checkpoint = scratch_path(spark, "updates"), scratch_path(spark, "checkpoint")
     counted = stream(spark, table).groupBy("level").agg(F.count("*").alias("n"))
     for _ in range(2):
-        keep_updates(counted, path, checkpoint)
+        keep_updates(counted, ["level"], path, checkpoint)
     got = current_groups(spark, path, StructType(list(counted.schema.fields)), ["level"])
     assert rows(got) == rows(spark.read.parquet(table).groupBy("level").count())
 
