@@ -86,7 +86,14 @@ def _(spark, sf):
         "hostname", "message", "raw")
 
 
-@query("parse_windows_events", over(I.WIN, f"""SELECT {_WIN_COLS} FROM (SELECT *, row_number() OVER (
+@query("parse_windows_events", over(I.WIN, f"SELECT {_WIN_COLS} FROM t_win"))
+def _(spark, sf):
+    return parse_windows(I.t_win(spark, sf)).select(
+        "seq", "os_type", "os_source", "timestamp", "ts_us", "source", "level", "event_id",
+        "hostname", "message", "raw")
+
+
+@query("ingest_two_channels", over(I.WIN, f"""SELECT {_WIN_COLS} FROM (SELECT *, row_number() OVER (
  PARTITION BY os_source ORDER BY ts DESC, seq DESC) AS rn FROM t_win WHERE os_source IN ('System', 'Security'))
  WHERE rn <= 2000"""))
 def _(spark, sf):
