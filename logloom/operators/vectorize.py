@@ -6,10 +6,8 @@ from functools import reduce
 from operator import or_
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -17,33 +15,33 @@ from ..functions.base import let
 from ..functions.records import embedding_input_text
 from ..functions.templates import ngram_terms
 from ..functions.vectors import hash_embedding, norm, run_lengths
-from ..session import broadcast_if_small, stage
-from .order import explode_once, top_in_group
+from ..session import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, stage
+from .heavy import list_ends, top_terms
+from .order import explode_once
 
 # A text is a unit vector before projection; what is left of it below this
 # length is rounding error and stays the zero vector.
 ZERO_LENGTH = 1e-10
-# Nonzero entries a task multiplies in one go.
-ENTRIES_PER_STEP = 200_000
+# Numbers that a task multiplies in one go.
+NUMBERS_PER_STEP = 1 << 20
+# Features whose sums travel together.
+BLOCK_FEATURES = 512
+# Random vectors of a sketch beyond those asked for, and the residual it may leave.
+SPARE = 128
+TOLERANCE = 0.005
 # Numbers of all bases that one group of splits may have.
 BASIS_NUMBERS = 8_000_000
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(split, doc, text) to (split, doc, term, tf); counted inside the row."""
-    counted = explode_once(docs.select("split", "doc", run_lengths(ngram_terms("text")).alias("t")), "t")
-    return counted.select("split", "doc", F.col("t.value").alias("term"), F.col("t.n").alias("tf"))
-
-
-def vocabulary(terms: DataFrame, docs: DataFrame, max_features: int) -> DataFrame:
+def vocabulary(rows: DataFrame, max_features: int) -> DataFrame:
     """The most frequent terms of each split with their inverse document
-    frequency; ties at the cut in alphabetical order. ``slot`` numbers them."""
-    totals = terms.groupBy("split", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-    kept = top_in_group(totals, ["split"], [F.col("total").desc(), F.col("term")], max_features)
-    sizes = docs.groupBy("split").agg(F.count("*").alias("n"))
+    frequency; ties at the cut in alphabetical order. ``slot`` numbers them.
+    ``rows`` holds (split, terms)."""
+    kept = top_terms(rows.select("split", "terms"), max_features)
+    sizes = rows.groupBy(F.col("split").alias("__split")).agg(F.count("*").alias("n"))
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    return kept.join(sizes, "split").select("split", "term", (F.col("rank") - 1).alias("slot"),
-                                            idf.alias("idf"))
+    return kept.join(sizes, F.col("split").eqNullSafe(F.col("__split"))).select(
+        "split", "term", (F.col("rank") - 1).alias("slot"), idf.alias("idf"))
 
 
 def tfidf(records: DataFrame, key: str = "seq", text: Column | None = None,
@@ -52,92 +50,241 @@ def tfidf(records: DataFrame, key: str = "seq", text: Column | None = None,
 
     One row per text with at least one kept term: ``split``, ``key``,
     ``terms``, ``slots`` and ``weights``, ordered by slot. The vocabulary is
-    small by its parameter, so the texts meet it in a broadcast join and only
-    kept terms are shuffled, once, to their text.
+    small by its parameter and goes to the tasks, which weigh each text where
+    it is: no term of a text is shuffled. Only if the vocabularies of all
+    splits together are too large to send are the terms joined with them.
     """
+    rows = term_lists(records, key, text, split)
+    vocab = stage(vocabulary(rows, max_features), "vocabulary")
+    known = _sendable(vocab)
+    if known is None:
+        return _weighed_by_join(rows, vocab, key)
+    sent = records.sparkSession.sparkContext.broadcast(known)
+    kind = records.schema[key].dataType.simpleString()
+    return rows.mapInArrow(_weigher(sent, key), f"split string, {key} {kind}, terms array<string>, slots array<int>, weights array<double>")
+
+
+def term_lists(records: DataFrame, key: str, text: Column | None, split: Column | None) -> DataFrame:
+    """(split, doc, terms) of every record."""
     text = embedding_input_text() if text is None else text
-    docs = records.select((F.lit("") if split is None else split).alias("split"),
-                          F.col(key).alias("doc"), text.alias("text"))
-    terms = term_counts(docs)
-    vocab = broadcast_if_small(stage(vocabulary(terms, docs, max_features), "vocabulary"))
-    weight = (1 + F.log("tf")) * F.col("idf")
-    rows = (terms.join(vocab, ["split", "term"])
-            .groupBy("split", "doc")
-            .agg(F.array_sort(F.collect_list(F.struct("slot", "term", weight.alias("w")))).alias("e")))
-    unit = let(norm("e.w"), lambda n: F.transform("e.w", lambda x: x / n))
-    return rows.select("split", F.col("doc").alias(key), F.col("e.term").alias("terms"),
-                       F.col("e.slot").alias("slots"), unit.alias("weights"))
+    return records.select((F.lit("") if split is None else split).cast("string").alias("split"),
+                          F.col(key).alias("doc"), ngram_terms(text).alias("terms"))
 
 
-def _steps(frame: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
-    """Cut a batch of sparse rows into steps of bounded size: the rows, their
-    start offsets, slots and weights."""
-    sizes = frame["slots"].map(len).to_numpy()
-    group = np.cumsum(sizes) // ENTRIES_PER_STEP
-    for _, part in frame.groupby(group, sort=False):
-        lengths = part["slots"].map(len).to_numpy()
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        yield part, starts, np.concatenate(part["slots"].to_list()), np.concatenate(part["weights"].to_list())
+def _sendable(vocab: DataFrame) -> dict[str | None, list[tuple]] | None:
+    """The vocabularies of all splits, None if they are measured too large to send."""
+    size = vocab.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    if size[0] > BROADCAST_ROWS or size[1] > BROADCAST_BYTES:
+        return None
+    known: dict[str | None, list[tuple]] = {}
+    for r in vocab.orderBy("split", "slot").toLocalIterator():
+        known.setdefault(r["split"], []).append((r["term"], r["idf"]))
+    return known
 
 
-def _gram_times(rows: DataFrame, bases: dict[str | None, np.ndarray]) -> dict[str | None, np.ndarray]:
+def _weighed_by_join(rows: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
+    counted = explode_once(rows.select("split", "doc", run_lengths("terms").alias("t")), "t")
+    terms = counted.select("split", "doc", F.col("t.value").alias("term"), F.col("t.n").alias("tf"))
+    words = vocab.select(F.col("split").alias("__split"), F.col("term").alias("__term"), "slot", "idf")
+    weight = (1 + F.log("tf")) * F.col("idf")
+    found = (terms.join(words, F.col("split").eqNullSafe(F.col("__split")) & (F.col("term") == F.col("__term")))
+             .groupBy("split", "doc").agg(F.array_sort(F.collect_list(F.struct("slot", "term", weight.alias("w")))).alias("e")))
+    unit = let(norm("e.w"), lambda n: F.transform("e.w", lambda x: x / n))
+    return found.select("split", F.col("doc").alias(key), F.col("e.term").alias("terms"),
+                        F.col("e.slot").alias("slots"), unit.alias("weights"))
+
+
+class Weights:
+    """Vocabularies of several splits, as lists of (term, idf) in the order of slots."""
+
+    def __init__(self, known: dict[str | None, list[tuple]]):
+        self.place = {split: {term: i for i, (term, _) in enumerate(words)} for split, words in known.items()}
+        self.idf = {split: np.array([x for _, x in words]) for split, words in known.items()}
+
+    def of(self, split: pa.Array, terms: pa.ListArray) -> Iterator[tuple[str | None, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per split of a batch: its rows with kept terms, where each one's
+        entries end, and slots and unit weights of all entries."""
+        sizes = np.diff(list_ends(terms))
+        coded = terms.flatten().dictionary_encode()
+        code, row = coded.indices.to_numpy(), np.repeat(np.arange(len(split)), sizes)
+        named = split.dictionary_encode("encode")
+        group = named.indices.to_numpy()
+        for g, own in enumerate(named.dictionary.to_pylist()):
+            if own not in self.place:
+                continue
+            place, idf, mine = self.place[own], self.idf[own], group[row] == g
+            used, inside = np.unique(code[mine], return_inverse=True)
+            slot_of = np.fromiter((place.get(t, -1) for t in coded.dictionary.take(pa.array(used)).to_pylist()), np.int64, len(used))
+            slot, at = slot_of[inside], row[mine]
+            at, slot = at[slot >= 0], slot[slot >= 0]
+            pair, tf = np.unique(at * len(idf) + slot, return_counts=True)
+            at, slot = pair // len(idf), pair % len(idf)
+            weight = (1 + np.log(tf)) * idf[slot]
+            weight /= np.sqrt(np.bincount(at, weight * weight))[at]
+            rows, counts = np.unique(at, return_counts=True)
+            yield own, rows, np.r_[0, np.cumsum(counts)], slot, weight
+
+
+def _weigher(sent, key: str):
+    """Weights of the kept terms of every text, inside the task."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = Weights(sent.value)
+        names = {split: pa.array([term for term, _ in words], pa.string()) for split, words in sent.value.items()}
+        for batch in batches:
+            for own, rows, ends, slot, weight in weights.of(batch.column("split"), batch.column("terms")):
+                if len(rows):
+                    values = (names[own].take(pa.array(slot)), pa.array(slot.astype(np.int32)), pa.array(weight))
+                    lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), v) for v in values]
+                    yield pa.RecordBatch.from_arrays([pa.array([own] * len(rows), pa.string()), batch.column("doc").take(pa.array(rows)), *lists],
+                                                     names=["split", key, "terms", "slots", "weights"])
+    return weigh
+
+
+def _project(basis: np.ndarray, ends: np.ndarray, slots: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Unit vectors of some sparse rows, in steps: (rows, vectors)."""
+    for part, starts, at in _steps(rows, ends, basis.shape[1]):
+        scores = np.add.reduceat(basis[slots[at]] * weights[at, None], starts, axis=0)
+        size = np.linalg.norm(scores, axis=1, keepdims=True)
+        yield part, np.where(size < ZERO_LENGTH, 0.0, scores / np.maximum(size, ZERO_LENGTH))
+
+
+def _embedder(spark: SparkSession, known: dict, bases: dict, split: Column, terms: Column) -> Column:
+    """Vectors of texts under fitted vocabularies and bases; zeros without a kept term."""
+    sent = spark.sparkContext.broadcast((known, bases))
+
+    @F.arrow_udf("array<double>")
+    def embed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        weights, bases = Weights(sent.value[0]), sent.value[1]
+        for splits, texts in batches:
+            named = splits.dictionary_encode("encode")
+            width = np.array([bases[g].shape[1] for g in named.dictionary.to_pylist()], np.int64)[named.indices.to_numpy()]
+            ends = np.r_[0, np.cumsum(width)]
+            flat = np.zeros(ends[-1])
+            for own, rows, entries, slot, weight in weights.of(splits, texts):
+                for part, vectors in _project(bases[own], entries, slot, weight, np.arange(len(rows))):
+                    flat[(ends[rows[part]][:, None] + np.arange(vectors.shape[1])).ravel()] = vectors.ravel()
+            yield pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+    return embed(split, terms)
+
+
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each sparse row of a batch ends, and the slots and weights of all."""
+    return (list_ends(batch.column("slots")), batch.column("slots").flatten().to_numpy().astype(np.int64),
+            batch.column("weights").flatten().to_numpy())
+
+
+def _steps(rows: np.ndarray, ends: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Cut some rows of a batch into steps of bounded size: the rows, where
+    each begins in the step, and the places of its entries."""
+    sizes = ends[rows + 1] - ends[rows]
+    group = np.cumsum(sizes) * width // NUMBERS_PER_STEP
+    for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(group)) + 1):
+        if len(part):
+            n = sizes[part]
+            start = np.cumsum(n) - n
+            yield rows[part], start, np.repeat(ends[rows[part]] - start, n) + np.arange(n.sum())
+
+
+def _groups(split: pa.Array) -> Iterator[tuple[str | None, np.ndarray]]:
+    named = split.dictionary_encode("encode")
+    code = named.indices.to_numpy()
+    for g, own in enumerate(named.dictionary.to_pylist()):
+        yield own, np.flatnonzero(code == g)
+
+
+def gram_times(rows: DataFrame, bases: dict[str | None, np.ndarray]) -> dict[str | None, np.ndarray]:
     """X'X times a narrow basis for each split, in one pass over the rows.
 
-    Every task adds up its own part; the parts are summed per split and
-    feature, and only features x width numbers of each split come back.
+    Every task adds up its own part, no more tasks than there are cores. The
+    parts travel in blocks of features and are added where blocks meet; only
+    features x width numbers of each split come back.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(bases)
+    context = rows.sparkSession.sparkContext
+    shared = context.broadcast(bases)
+    kind = "split string, block int, sums binary"
 
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(totals: dict) -> Iterator[pa.RecordBatch]:
+        for (split, block), total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([split], pa.string()), pa.array([block], pa.int32()),
+                                              pa.array([total.tobytes()], pa.binary())], names=["split", "block", "sums"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict = {}
-        for frame in frames:
-            for split, own in frame.groupby("split", sort=False, dropna=False):
-                split = None if pd.isna(split) else split
+        for batch in batches:
+            ends, slots, weights = _entries(batch)
+            for split, own in _groups(batch.column("split")):
                 q = shared.value[split]
                 total = totals.setdefault(split, np.zeros_like(q))
-                for part, starts, slots, weights in _steps(own):
-                    scores = np.add.reduceat(q[slots] * weights[:, None], starts, axis=0)
-                    lengths = np.diff(np.append(starts, len(slots)))
-                    back = np.repeat(scores, lengths, axis=0) * weights[:, None]
-                    order = np.argsort(slots, kind="stable")
-                    used, first = np.unique(slots[order], return_index=True)
-                    total[used] += np.add.reduceat(back[order], first, axis=0)
-        for split, total in totals.items():
-            used = np.flatnonzero(np.any(total != 0, axis=1))
-            if len(used):
-                yield pd.DataFrame({"split": [split] * len(used), "slot": used, "v": list(total[used])})
-
-    summed = (rows.select("split", "slots", "weights")
-              .mapInPandas(partial, "split string, slot long, v array<double>")
-              .groupBy("split", "slot").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")))
+                own = own[ends[own + 1] > ends[own]]
+                for _, starts, at in _steps(own, ends, q.shape[1]):
+                    slot, weight = slots[at], weights[at, None]
+                    scores = np.add.reduceat(q[slot] * weight, starts, axis=0)
+                    back = np.repeat(scores, np.diff(np.r_[starts, len(at)]), axis=0) * weight
+                    order = np.argsort(slot, kind="stable")
+                    first = np.flatnonzero(np.r_[True, np.diff(slot[order]) != 0])
+                    total[slot[order][first]] += np.add.reduceat(back[order], first, axis=0)
+        yield from blocks({(split, k): t[k * BLOCK_FEATURES:(k + 1) * BLOCK_FEATURES] for split, t in totals.items()
+                           for k in range(-(-len(t) // BLOCK_FEATURES))})
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict = {}
+        for batch in batches:
+            for split, block, sums in zip(*[batch.column(c).to_pylist() for c in ("split", "block", "sums")]):
+                values = np.frombuffer(sums)
+                totals[split, block] = totals[split, block] + values if (split, block) in totals else values
+        yield from blocks(totals)
+
+    parts = rows.select("split", "slots", "weights").coalesce(context.defaultParallelism).mapInArrow(partial, kind)
     out = {split: np.zeros_like(q) for split, q in bases.items()}
-    for r in summed.collect():  # bounded by BASIS_NUMBERS
-        out[r["split"]][r["slot"]] = r["v"]
+    for r in parts.repartition("split", "block").mapInArrow(added, kind).collect():  # bounded by BASIS_NUMBERS
+        first = r["block"] * BLOCK_FEATURES
+        values = np.frombuffer(r["sums"]).reshape(-1, out[r["split"]].shape[1])
+        out[r["split"]][first:first + len(values)] = values
     shared.unpersist()
     return out
 
 
-def svd_bases(rows: DataFrame, shapes: dict[str | None, tuple[int, int]], seed: int = 42, passes: int = 5,
-              spare: int = 10) -> dict[str | None, np.ndarray]:
-    """Leading right singular vectors of each split, by randomised subspace iteration.
+def svd_bases(rows: DataFrame, shapes: dict[str | None, tuple[int, int]], seed: int = 42,
+              tolerance: float = TOLERANCE, most_passes: int = 12) -> dict[str | None, np.ndarray]:
+    """Leading right singular vectors of each split, by a range finder.
 
-    ``shapes`` gives (features, dims) per split. A handful of passes over the
-    data serve all of these splits; each ends in a features x width matrix per
-    split, which the vocabulary bounds.
+    ``shapes`` gives (features, dims) per split. The first pass sketches the
+    range of X'X with SPARE more random vectors than are asked for; the second
+    multiplies the sketch's basis Q by X'X, which gives the vectors inside Q
+    and also what each misses: the length of X'Xv - lv. A split is done when
+    no such residual exceeds ``tolerance`` of the largest eigenvalue; else the
+    product is the next sketch. All splits share the passes; each ends in a
+    features x width matrix per split, which the vocabulary bounds.
     """
     bases = {}
     for split, (features, dims) in shapes.items():
-        start = np.random.default_rng(seed).standard_normal((features, min(dims + spare, features)))
+        start = np.random.default_rng(seed).standard_normal((features, min(dims + SPARE, features)))
         bases[split], _ = np.linalg.qr(start)
-    for _ in range(passes):
-        bases = {split: np.linalg.qr(y)[0] for split, y in _gram_times(rows, bases).items()}
     out = {}
-    for split, y in _gram_times(rows, bases).items():
-        values, inner = np.linalg.eigh(bases[split].T @ y)
-        out[split] = bases[split] @ inner[:, np.argsort(values)[::-1][:shapes[split][1]]]
+    for number in range(most_passes):
+        done = []
+        for split, image in gram_times(rows if len(out) == 0 else _of_splits(rows, bases), bases).items():
+            q, dims = bases[split], shapes[split][1]
+            values, inner = np.linalg.eigh(q.T @ image)
+            first = np.argsort(values)[::-1][:dims]
+            residual = np.linalg.norm(image @ inner[:, first] - q @ inner[:, first] * values[first], axis=0)
+            if number + 1 == most_passes or residual.max(initial=0) <= tolerance * max(values.max(initial=0), 0):
+                out[split] = q @ inner[:, first]
+                done.append(split)
+            else:
+                bases[split] = np.linalg.qr(image)[0]
+        for split in done:
+            del bases[split]
+        if not bases:
+            break
     return out
 
 
+def _of_splits(rows: DataFrame, splits) -> DataFrame:
+    return rows.where(reduce(or_, [F.col("split").eqNullSafe(F.lit(s)) for s in splits]))
+
+
 def svd_parts(rows: DataFrame, sizes: DataFrame, dims: int) -> list[dict[str | None, tuple[int, int]]]:
     """(features, dims) of every split, in groups whose bases together stay
     below BASIS_NUMBERS; one row per split comes to the driver."""
@@ -147,7 +294,7 @@ def svd_parts(rows: DataFrame, sizes: DataFrame, dims: int) -> list[dict[str | N
     for r in shapes.orderBy("split").toLocalIterator():
         features = r["last"] + 1
         own = min(dims, r["n"] - 1 if r["n"] > 1 else 1, features)
-        size = features * (own + 10)
+        size = features * (own + SPARE)
         if groups[-1] and held + size > BASIS_NUMBERS:
             groups.append({})
             held = 0
@@ -173,10 +320,9 @@ def svd_embedding(records: DataFrame, key: str = "seq", text: Column | None = No
     for shapes in svd_parts(rows, sizes, dims):
         if not shapes:
             continue
-        own = rows if out is None and len(shapes) == 1 and split is None else rows.where(
-            reduce(or_, [F.col("split").eqNullSafe(F.lit(s)) for s in shapes]))
+        own = rows if out is None and len(shapes) == 1 and split is None else _of_splits(rows, shapes)
         shared = records.sparkSession.sparkContext.broadcast(svd_bases(own, shapes, seed))
-        part = own.select("split", key, "slots", "weights").mapInPandas(
+        part = own.select("split", key, "slots", "weights").mapInArrow(
             _projector(shared, key), f"split string, {key} {kind}, embedding array<double>")
         out = part if out is None else out.unionByName(part)
     if out is None:
@@ -185,16 +331,15 @@ def svd_embedding(records: DataFrame, key: str = "seq", text: Column | None = No
 
 
 def _projector(shared, key: str):
-    def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for split, own in frame.groupby("split", sort=False, dropna=False):
-                basis = shared.value[None if pd.isna(split) else split]
-                for part, starts, slots, weights in _steps(own):
-                    scores = np.add.reduceat(basis[slots] * weights[:, None], starts, axis=0)
-                    size = np.linalg.norm(scores, axis=1, keepdims=True)
-                    scores = np.where(size < ZERO_LENGTH, 0.0, scores / np.maximum(size, ZERO_LENGTH))
-                    yield pd.DataFrame({"split": part["split"].to_numpy(), key: part[key].to_numpy(),
-                                        "embedding": list(scores)})
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, slots, weights = _entries(batch)
+            for split, own in _groups(batch.column("split")):
+                for rows, vectors in _project(shared.value[split], ends, slots, weights, own[ends[own + 1] > ends[own]]):
+                    bounds = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * vectors.shape[1])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([split] * len(rows), pa.string()), batch.column(key).take(pa.array(rows)),
+                         pa.ListArray.from_arrays(bounds, pa.array(vectors.ravel()))], names=["split", key, "embedding"])
     return project
 
 
@@ -217,20 +362,51 @@ def vectorize(records: DataFrame, backend: str = "hash", key: str = "seq",
 
 
 def _fitted(plain: DataFrame, key: str, dims: int, split: str | None) -> DataFrame:
-    """Records with their TF-IDF vectors, a zero vector where no term was kept."""
+    """Records with their TF-IDF vectors, a zero vector where no term was kept.
+
+    Once vocabularies and bases are fitted, each record gets its vector from
+    its own text in its own row: no record is joined or shuffled.
+    """
+    spark = plain.sparkSession
     # rows without a value are a split of their own
     field = None if split is None else F.coalesce(F.col(split).cast("string"), F.lit("\x00"))
+    lists = term_lists(plain, key, None, field)
+    vocab = stage(vocabulary(lists, S.TFIDF_FEATURES), "vocabulary")
+    known = _sendable(vocab)
+    if known is None:
+        return _joined_vectors(plain, key, dims, field)
+    sent = spark.sparkContext.broadcast(known)
+    kind = plain.schema[key].dataType.simpleString()
+    rows = stage(lists.mapInArrow(_weigher(sent, key), f"split string, {key} {kind}, terms array<string>, slots array<int>, weights array<double>"), "tfidf")
+    sizes = lists.groupBy("split").agg(F.count("*").alias("n"))
+    place, terms = F.lit("") if field is None else field, ngram_terms(embedding_input_text())
+    out, fitted = None, set()
+    for shapes in svd_parts(rows, sizes, dims):
+        if not shapes:
+            continue
+        bases = svd_bases(rows if split is None else _of_splits(rows, shapes), shapes)
+        fitted |= set(shapes)
+        own = plain if split is None else plain.where(field.isin(*shapes))
+        part = own.withColumn("embedding", _embedder(spark, {s: known[s] for s in shapes}, bases, place, terms))
+        out = part if out is None else out.unionByName(part)
+    # without any kept term there is nothing to fit: vectors of no numbers
+    empty = F.array().cast("array<double>")
+    if out is None:
+        out = plain.withColumn("embedding", empty)
+    elif split is not None:
+        out = out.unionByName(plain.where(~field.isin(*fitted)).withColumn("embedding", empty))
+    return out.select(*plain.columns, "embedding")
+
+
+def _joined_vectors(plain: DataFrame, key: str, dims: int, field: Column | None) -> DataFrame:
+    """The same for vocabularies too large to send: vectors come back by key."""
     fitted = stage(svd_embedding(plain, key, dims=dims, split=field), "embedding")
     vectors = fitted.select(F.col(key).alias("__key"), "embedding")
-    joined = plain.join(vectors, plain[key] == F.col("__key"), "left")
-    if split is None:
-        width = fitted.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0]
-        zero = F.array_repeat(F.lit(0.0), width)
-    else:
-        widths = broadcast_if_small(stage(
-            fitted.groupBy(F.col("split").alias("__split")).agg(F.max(F.size("embedding")).alias("__width")), "widths"))
-        joined = joined.join(widths, field == F.col("__split"), "left")
-        zero = F.array_repeat(F.lit(0.0), F.coalesce("__width", F.lit(0)))
+    widths = broadcast_if_small(stage(
+        fitted.groupBy(F.col("split").alias("__split")).agg(F.max(F.size("embedding")).alias("__width")), "widths"))
+    joined = (plain.join(vectors, plain[key] == F.col("__key"), "left")
+              .join(widths, (F.lit("") if field is None else field) == F.col("__split"), "left"))
+    zero = F.array_repeat(F.lit(0.0), F.coalesce("__width", F.lit(0)))
     return joined.withColumn("embedding", F.coalesce("embedding", zero)).select(*plain.columns, "embedding")
 
 

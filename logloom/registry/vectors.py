@@ -2,8 +2,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, hash_embedding, norm
@@ -92,25 +90,28 @@ def _(spark, sf):
     sizes = records.groupBy(F.lit("").alias("split")).agg(F.count("*").alias("n"))
     (shapes,) = VZ.svd_parts(rows, sizes, 64)
     basis = VZ.svd_bases(rows, shapes)
-    image = VZ._gram_times(rows, basis)[""]
+    image = VZ.gram_times(rows, basis)[""]
     v = basis[""]
     values = (v * image).sum(axis=0)
     residual = np.linalg.norm(image - v * values, axis=0)
     good = (np.abs(v.T @ v - np.eye(v.shape[1])).max(axis=0) < 1e-9) & (residual < 0.01 * values.max())
     dims = spark.createDataFrame([(i, bool(g)) for i, g in enumerate(good)], "key long, holds boolean")
-    axes = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "slot int, axis array<double>")
+    # a vector is told from any other by its products with three random ones
+    probes = np.random.default_rng(1).standard_normal((v.shape[1], 3))
+    axes = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(v @ probes)], "slot int, a0 double, a1 double, a2 double")
     entries = rows.select("seq", F.explode(F.arrays_zip("slots", "weights")).alias("e")).select(
         "seq", F.col("e.slots").alias("slot"), F.col("e.weights").alias("w"))
     scores = (entries.join(F.broadcast(axes), "slot")  # one row per term of the vocabulary
-              .groupBy("seq").agg(vector_to_array(Summarizer.sum(array_to_vector(
-                  F.transform("axis", lambda x: x * F.col("w"))))).alias("scores")))
+              .groupBy("seq").agg(*[F.sum(F.col("w") * F.col(f"a{k}")).alias(f"s{k}") for k in range(3)]))
     vectors = VZ.svd_embedding(records, text=F.col("message"))
-    size = norm("scores")
-    same = F.when(size > 1e-9, F.abs(dot("embedding", "scores") - size) < 1e-6 * size).otherwise(True)
+    e = [dot("embedding", F.lit([float(x) for x in probes[:, k]])) for k in range(3)]
+    s = [F.col(f"s{k}") for k in range(3)]
+    along = (F.abs(s[0] * e[1] - s[1] * e[0]) < 1e-6) & (F.abs(s[0] * e[2] - s[2] * e[0]) < 1e-6) & (s[0] * e[0] > -1e-6)
     unit = F.abs(norm("embedding") - 1) < 1e-9
+    none = (norm("embedding") == 0) & (F.abs(s[0]) + F.abs(s[1]) + F.abs(s[2]) < 1e-6)
     texts = vectors.join(scores, "seq", "left").select(
         F.lit("text").alias("part"), F.col("seq").alias("key"),
-        F.coalesce((unit | (norm("embedding") == 0)) & same, F.lit(False)).alias("holds"))
+        F.coalesce((unit & along) | none, F.lit(False)).alias("holds"))
     return texts.unionByName(dims.select(F.lit("basis").alias("part"), "key", "holds"))
 
 
