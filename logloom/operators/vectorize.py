@@ -27,8 +27,8 @@ NUMBERS_PER_STEP = 1 << 20
 # Features whose sums travel together.
 BLOCK_FEATURES = 512
 # Random vectors of a sketch beyond those asked for, and the residual it may leave.
-SPARE = 128
-TOLERANCE = 0.005
+SPARE = 64
+TOLERANCE = 0.008
 # Numbers of all bases that one group of splits may have.
 BASIS_NUMBERS = 8_000_000
 
@@ -249,33 +249,37 @@ def svd_bases(rows: DataFrame, shapes: dict[str | None, tuple[int, int]], seed:
               tolerance: float = TOLERANCE, most_passes: int = 12) -> dict[str | None, np.ndarray]:
     """Leading right singular vectors of each split, by a range finder.
 
-    ``shapes`` gives (features, dims) per split. The first pass sketches the
-    range of X'X with SPARE more random vectors than are asked for; the second
-    multiplies the sketch's basis Q by X'X, which gives the vectors inside Q
-    and also what each misses: the length of X'Xv - lv. A split is done when
-    no such residual exceeds ``tolerance`` of the largest eigenvalue; else the
-    product is the next sketch. All splits share the passes; each ends in a
-    features x width matrix per split, which the vocabulary bounds.
+    ``shapes`` gives (features, dims) per split. The first pass multiplies
+    SPARE more random vectors than are asked for by X'X; each further pass
+    takes what the last product adds to the space met so far. The best vectors
+    v inside that space come with what they miss, the length of X'Xv - lv, at
+    no further pass. A split is done when no such residual exceeds
+    ``tolerance`` of the largest eigenvalue, or its space is whole. All splits
+    share the passes; each ends in features x width matrices, which the
+    vocabulary bounds.
     """
-    bases = {}
+    bases, met, out = {}, {}, {}
     for split, (features, dims) in shapes.items():
         start = np.random.default_rng(seed).standard_normal((features, min(dims + SPARE, features)))
-        bases[split], _ = np.linalg.qr(start)
-    out = {}
+        bases[split] = np.linalg.qr(start)[0]
+        met[split] = [np.empty((features, 0)), np.empty((features, 0))]
     for number in range(most_passes):
-        done = []
-        for split, image in gram_times(rows if len(out) == 0 else _of_splits(rows, bases), bases).items():
-            q, dims = bases[split], shapes[split][1]
-            values, inner = np.linalg.eigh(q.T @ image)
+        for split, image in gram_times(_of_splits(rows, bases) if out else rows, bases).items():
+            features, dims = shapes[split]
+            q, y = met[split] = [np.hstack(pair) for pair in zip(met[split], (bases.pop(split), image))]
+            inside = q.T @ y
+            values, inner = np.linalg.eigh((inside + inside.T) / 2)
             first = np.argsort(values)[::-1][:dims]
-            residual = np.linalg.norm(image @ inner[:, first] - q @ inner[:, first] * values[first], axis=0)
-            if number + 1 == most_passes or residual.max(initial=0) <= tolerance * max(values.max(initial=0), 0):
-                out[split] = q @ inner[:, first]
-                done.append(split)
+            v = q @ inner[:, first]
+            residual = np.linalg.norm(y @ inner[:, first] - v * values[first], axis=0)
+            room = features - q.shape[1]
+            if room and number + 1 < most_passes and residual.max(initial=0) > tolerance * max(values.max(initial=0), 0):
+                for _ in range(2):   # twice, for rounding errors
+                    image = np.linalg.qr(image - q @ (q.T @ image))[0]
+                bases[split] = image[:, :room]
             else:
-                bases[split] = np.linalg.qr(image)[0]
-        for split in done:
-            del bases[split]
+                out[split] = v
+                del met[split]
         if not bases:
             break
     return out
@@ -315,19 +319,27 @@ def svd_embedding(records: DataFrame, key: str = "seq", text: Column | None = No
     rows = stage(tfidf(records, key, text, split, max_features), "tfidf")
     sizes = records.groupBy((F.lit("") if split is None else split).cast("string").alias("split")).agg(
         F.count("*").alias("n"))
-    kind = records.schema[key].dataType.simpleString()
-    out = None
+    return svd_of_rows(rows, sizes, key, dims, seed)[0]
+
+
+def svd_of_rows(rows: DataFrame, sizes: DataFrame, key: str, dims: int, seed: int = 42) -> tuple[DataFrame, dict[str | None, np.ndarray]]:
+    """Vectors of staged TF-IDF rows, and the basis of each split. ``sizes``
+    has one row per split: how many texts it has, ``n``."""
+    kind = rows.schema[key].dataType.simpleString()
+    out, bases = None, {}
     for shapes in svd_parts(rows, sizes, dims):
         if not shapes:
             continue
-        own = rows if out is None and len(shapes) == 1 and split is None else _of_splits(rows, shapes)
-        shared = records.sparkSession.sparkContext.broadcast(svd_bases(own, shapes, seed))
+        own = _of_splits(rows, shapes)
+        fitted = svd_bases(own, shapes, seed)
+        bases |= fitted
+        shared = rows.sparkSession.sparkContext.broadcast(fitted)
         part = own.select("split", key, "slots", "weights").mapInArrow(
             _projector(shared, key), f"split string, {key} {kind}, embedding array<double>")
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return rows.select("split", key, F.lit(None).cast("array<double>").alias("embedding"))
-    return out
+        out = rows.select("split", key, F.lit(None).cast("array<double>").alias("embedding"))
+    return out, bases
 
 
 def _projector(shared, key: str):

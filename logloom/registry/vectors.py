@@ -88,8 +88,7 @@ def _(spark, sf):
     records = I.t_msg(spark, sf)
     rows = stage(VZ.tfidf(records, text=F.col("message")), "tfidf")
     sizes = records.groupBy(F.lit("").alias("split")).agg(F.count("*").alias("n"))
-    (shapes,) = VZ.svd_parts(rows, sizes, 64)
-    basis = VZ.svd_bases(rows, shapes)
+    vectors, basis = VZ.svd_of_rows(rows, sizes, "seq", 64)
     image = VZ.gram_times(rows, basis)[""]
     v = basis[""]
     values = (v * image).sum(axis=0)
@@ -103,7 +102,6 @@ def _(spark, sf):
         "seq", F.col("e.slots").alias("slot"), F.col("e.weights").alias("w"))
     scores = (entries.join(F.broadcast(axes), "slot")  # one row per term of the vocabulary
               .groupBy("seq").agg(*[F.sum(F.col("w") * F.col(f"a{k}")).alias(f"s{k}") for k in range(3)]))
-    vectors = VZ.svd_embedding(records, text=F.col("message"))
     e = [dot("embedding", F.lit([float(x) for x in probes[:, k]])) for k in range(3)]
     s = [F.col(f"s{k}") for k in range(3)]
     along = (F.abs(s[0] * e[1] - s[1] * e[0]) < 1e-6) & (F.abs(s[0] * e[2] - s[2] * e[0]) < 1e-6) & (s[0] * e[0] > -1e-6)
