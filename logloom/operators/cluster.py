@@ -1,15 +1,15 @@
 """Clusters: assignment, centroids, labels, confidence, samples."""
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 from math import isqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -22,6 +22,10 @@ from .order import explode_once, group_profile, top_in_group, with_ordinal
 BLOCK_NUMBERS = 4_000_000
 # Differences a task holds at once when it compares with a matrix.
 STEP_NUMBERS = 4_000_000
+# Rows, one per value of a hash, that the first centers of K-means are chosen from.
+SEEDED = 4096
+# Up to so many tasks hand their sums straight back; those of more are added on the way.
+TASKS_AT_ONCE = 64
 
 
 def auto_k(n: int) -> int:
@@ -49,26 +53,127 @@ def kmeans_clusters(records: DataFrame, k: int | None = None, starts: int = 10,
     """K-means on ``embedding``: the cheapest of several starts.
 
     Returns the records with ``cluster_id`` and the centroid table. Training
-    reads one staged vector column; each start keeps its own copy of it while
-    it runs.
+    reads one staged vector column. Rows are assigned in place, the lower
+    cluster on ties.
     """
     staged = stage(records.select("embedding"), "vectors")
-    data = staged.select(array_to_vector("embedding").alias("features"))
     n = staged.count()
     k = auto_k(n) if k is None else min(k, n)
     if k < 2:
-        mean = data.select(vector_to_array(Summarizer.mean(F.col("features"))).alias("centroid"))
+        mean = staged.select(vector_to_array(Summarizer.mean(array_to_vector("embedding"))).alias("centroid"))
         return (records.withColumn("cluster_id", F.lit(0).cast("long")),
                 mean.select(F.lit(0).cast("long").alias("cluster_id"), "centroid"))
-    trainer = KMeans(k=k, maxIter=max_iter, tol=tol, featuresCol="features", predictionCol="cluster_id")
-    fitted = (trainer.copy({trainer.seed: seed + i}).fit(data) for i in range(starts))
-    best = reduce(lambda a, b: b if b.summary.trainingCost < a.summary.trainingCost else a, fitted)
+    fits = kmeans_starts(staged, k, starts, seed, max_iter, tol)
+    centroids = cheapest(staged, fits)
     discard(staged)
-    centers = [(i, [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())]
-    centroids = records.sparkSession.createDataFrame(centers, "cluster_id long, centroid array<double>")
-    assigned = (best.transform(records.withColumn("features", array_to_vector("embedding")))
-                .drop("features").withColumn("cluster_id", F.col("cluster_id").cast("long")))
-    return assigned, centroids
+    return nearest_centroid(records, centroids).drop("squared_distance"), centroids
+
+
+def cheapest(vectors: DataFrame, fits: list[np.ndarray]) -> DataFrame:
+    """Centroid table of the start with the least cost, the first on ties."""
+    return centroid_rows(vectors.sparkSession, fits[int(np.argmin(start_costs(vectors, fits)))])
+
+
+def centroid_rows(spark: SparkSession, centers: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)],
+                                 "cluster_id long, centroid array<double>")
+
+
+def kmeans_starts(vectors: DataFrame, k: int, starts: int, seed: int = 42, max_iter: int = 300,
+                  tol: float = 1e-4) -> list[np.ndarray]:
+    """Settled centers of every start.
+
+    Each start takes its first centers from up to SEEDED different rows, chosen
+    by their hashes, far from each other. Then every pass over the data moves the centers of all starts that
+    still move: a task adds up vectors and counts per start and cluster, and
+    one small table of sums comes back. A start whose centers move no further
+    than ``tol`` leaves, so the slowest start decides on the passes. A cluster
+    without rows keeps its center.
+    """
+    place = F.pmod(F.xxhash64("embedding"), F.lit(SEEDED)).alias("place")
+    rows = vectors.groupBy(place).agg(F.min_by("embedding", F.xxhash64(F.lit(seed), "embedding")).alias("embedding"))
+    seeds = np.array([r["embedding"] for r in sorted(rows.collect())], dtype=np.float64)  # at most SEEDED rows
+    centers = [_far_apart(seeds, k, np.random.default_rng(seed + i)) for i in range(starts)]
+    moving = list(range(starts))
+    for _ in range(max_iter):
+        if not moving:
+            break
+        still = []
+        for i, (sums, counts, _) in zip(moving, _one_pass(vectors, [centers[i] for i in moving])):
+            moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centers[i])
+            if np.sqrt(((moved - centers[i]) ** 2).sum(axis=1).max()) > tol:
+                still.append(i)
+            centers[i] = moved
+        moving = still
+    return centers
+
+
+def start_costs(vectors: DataFrame, fits: list[np.ndarray]) -> list[float]:
+    """Sum of squared distances to the nearest center under each start, in one pass."""
+    return [cost for _, _, cost in _one_pass(vectors, fits)]
+
+
+def _far_apart(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Rows drawn one after another in proportion to their squared distance
+    from those before; fewer than ``k`` if there are no more different ones."""
+    chosen = [rows[rng.integers(len(rows))]]
+    near = ((rows - chosen[0]) ** 2).sum(axis=1)
+    while len(chosen) < k and near.sum() > 0:
+        chosen.append(rows[rng.choice(len(rows), p=near / near.sum())])
+        near = np.minimum(near, ((rows - chosen[-1]) ** 2).sum(axis=1))
+    return np.array(chosen)
+
+
+def _one_pass(vectors: DataFrame, fits: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Per start: sums and counts of the rows nearest to each center, and the cost."""
+    context = vectors.sparkSession.sparkContext
+    sent = context.broadcast(fits)
+    kind = "start int, sums binary"
+
+    def tables(totals: list[np.ndarray | None]) -> Iterator[pa.RecordBatch]:
+        have = [i for i, t in enumerate(totals) if t is not None]
+        yield pa.RecordBatch.from_arrays([pa.array(have, pa.int32()), pa.array([totals[i].tobytes() for i in have], pa.binary())], names=["start", "sums"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # per center: the sum of its vectors, their number and their cost
+        totals = [np.zeros((len(c), c.shape[1] + 2)) for c in sent.value]
+        every = np.concatenate(sent.value)
+        length, bounds = (every ** 2).sum(axis=1), np.cumsum([0, *map(len, sent.value)])
+        for batch in batches:
+            whole = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            step = max(1, STEP_NUMBERS // len(every))
+            for at in range(0, len(whole), step):
+                x = whole[at:at + step]
+                far = length - 2 * (x @ every.T)
+                own = (x ** 2).sum(axis=1)
+                for total, lo, hi in zip(totals, bounds, bounds[1:]):
+                    place = far[:, lo:hi].argmin(axis=1)
+                    cost = np.maximum(far[np.arange(len(x)), lo + place] + own, 0)
+                    for j in range(hi - lo):
+                        mine = place == j
+                        total[j, :-2] += x[mine].sum(axis=0)
+                        total[j, -2] += mine.sum()
+                        total[j, -1] += cost[mine].sum()
+        yield from tables(totals)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: list[np.ndarray | None] = [None] * len(sent.value)
+        for batch in batches:
+            for i, sums in zip(batch.column("start").to_pylist(), batch.column("sums").to_pylist()):
+                totals[i] = np.frombuffer(sums) if totals[i] is None else totals[i] + np.frombuffer(sums)
+        yield from tables(totals)
+
+    tasks = min(vectors.rdd.getNumPartitions(), context.defaultParallelism)
+    parts = vectors.select("embedding").coalesce(tasks).mapInArrow(partial, kind)
+    if tasks > TASKS_AT_ONCE:   # else a row per start and task is little to add up here
+        parts = parts.repartition(min(len(fits), tasks), "start").mapInArrow(added, kind)
+    totals: list[np.ndarray | None] = [None] * len(fits)
+    for r in parts.collect():  # at most TASKS_AT_ONCE rows per start
+        own = np.frombuffer(r["sums"])
+        totals[r["start"]] = own if totals[r["start"]] is None else totals[r["start"]] + own
+    sent.unpersist()
+    wide = [t.reshape(len(c), -1) for t, c in zip(totals, fits)]
+    return [(t[:, :-2], t[:, -2], float(t[:, -1].sum())) for t in wide]
 
 
 def centroids(clustered: DataFrame) -> DataFrame:
@@ -98,7 +203,7 @@ def _nearest(records: DataFrame, ids: list[int], vectors: list[list[float]]) ->
             best[at:at + step], distance[at:at + step] = names[place], squared.min(axis=1)
         return pd.DataFrame({"d": distance, "id": best})
 
-    return nearest("embedding")
+    return nearest("__vector")
 
 
 def nearest_centroid(records: DataFrame, centroid_table: DataFrame) -> DataFrame:
@@ -109,6 +214,9 @@ def nearest_centroid(records: DataFrame, centroid_table: DataFrame) -> DataFrame
     the nearest of each block and then of all, so one block or many give the
     same result by the same arithmetic.
     """
+    # the partition's number never decides, but keeps the vector's expression in a projection of its own:
+    # the planner cannot hand a Python function an expression of nested lambdas
+    records = records.withColumn("__vector", F.when(F.spark_partition_id() >= 0, F.col("embedding")))
     best, ids, vectors = [], [], []
     for r in centroid_table.select("cluster_id", "centroid").orderBy("cluster_id").toLocalIterator():
         if ids and (len(ids) + 1) * len(vectors[0]) > BLOCK_NUMBERS:
@@ -119,7 +227,7 @@ def nearest_centroid(records: DataFrame, centroid_table: DataFrame) -> DataFrame
     best.append(_nearest(records, ids, vectors))
     return (records.withColumn("__best", best[0] if len(best) == 1 else F.least(*best))
             .withColumn("cluster_id", F.col("__best.id"))
-            .withColumn("squared_distance", F.col("__best.d")).drop("__best"))
+            .withColumn("squared_distance", F.col("__best.d")).drop("__best", "__vector"))
 
 
 def cluster_sizes(clustered: DataFrame) -> DataFrame:

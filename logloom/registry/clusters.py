@@ -124,22 +124,30 @@ _AUTO_K = "CAST(least(count(*), greatest(2, least(10, floor(sqrt(count(*) / 2)))
 
 
 @query("kmeans_clusters", over(I.EMB, f"""SELECT 'row' AS part, seq AS key, true AS holds FROM t_emb
- UNION ALL SELECT 'cluster', unnest(range((SELECT {_AUTO_K} FROM t_emb))), true"""))
+ UNION ALL SELECT 'cluster', unnest(range((SELECT {_AUTO_K} FROM t_emb))), true UNION ALL SELECT 'start', unnest(range(10)), true"""))
 def _(spark, sf):
     """Starts are random, so what must hold is stated row by row, at the default
     parameters. Of a row: no centroid is nearer than its own. Of a cluster:
-    its centroid is the mean of its members."""
-    assigned, centroids = C.kmeans_clusters(I.t_emb(spark, sf).drop("cluster_id"))
-    assigned = stage(assigned, "assigned")
+    its centroid is the mean of its members. Of a start: the centroids kept
+    cost no more than those it settled at."""
+    records = I.t_emb(spark, sf).drop("cluster_id")
+    vectors = stage(records.select("embedding"), "vectors")
+    fits = C.kmeans_starts(vectors, C.auto_k(vectors.count()), 10)
+    centroids = C.cheapest(vectors, fits)
+    assigned = stage(C.nearest_centroid(records, centroids).drop("squared_distance"), "assigned")
     own = squared_distance("embedding", "centroid")
-    nearest = C.nearest_centroid(C.with_centroid(assigned, centroids).withColumn("own", own).drop("cluster_id"), centroids)
+    owned = stage(C.with_centroid(assigned, centroids).withColumn("own", own).drop("cluster_id"), "owned")
+    nearest = C.nearest_centroid(owned, centroids)
     rows = nearest.select(F.lit("row").alias("part"), F.col("seq").alias("key"),
                           (F.col("own") <= F.col("squared_distance") + 1e-9).alias("holds"))
     means = C.centroids(assigned).withColumnRenamed("centroid", "mean")
     clusters = centroids.join(means, "cluster_id", "left").select(
         F.lit("cluster").alias("part"), F.col("cluster_id").alias("key"),
         F.coalesce(squared_distance("mean", "centroid") < 1e-6, F.lit(False)).alias("holds"))
-    return rows.unionByName(clusters)
+    kept = owned.agg(F.sum("own")).first()[0]
+    costs = [C.nearest_centroid(records, C.centroid_rows(spark, fit)).agg(F.sum("squared_distance")).first()[0] for fit in fits]
+    starts = spark.createDataFrame([(i, bool(kept <= c * (1 + 1e-9) + 1e-9)) for i, c in enumerate(costs)], "key long, holds boolean")
+    return rows.unionByName(clusters).unionByName(starts.select(F.lit("start").alias("part"), "key", "holds"))
 
 
 # --- whole analysis ---------------------------------------------------------
