@@ -6,7 +6,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import broadcast_if_small, stage
 
 # Rows one task may number on its own.
 ROWS_PER_TASK = 200_000
@@ -71,6 +71,33 @@ def top_in_group(df: DataFrame, group: list[str], ordering: list[Column], n: int
     return df.withColumn(rank, place).where(F.col(rank) <= n)
 
 
+def ranked_in_group(df: DataFrame, group: list[str], ordering: list[Column], rank: str = "rank") -> DataFrame:
+    """Every row with its dense rank from 1 in its group, however large that is.
+
+    Rows are dealt to ranges of (group, order) at sampled quantiles and sorted
+    there, so a group with most of the rows fills most of the ranges. The
+    place in a range follows from the sorted rows; the sizes of a group's
+    ranges before, one row per group and range, are added. This is the only
+    shuffle of rows. Rows that tie must not differ in ``ordering``'s columns
+    alone if ranks are to be the same again.
+    """
+    keys = [F.col(g) for g in group]
+    dealt = (df.repartitionByRange(*keys, *ordering).sortWithinPartitions(*keys, *ordering)
+             .withColumn("__at", F.monotonically_increasing_id()))
+    rows = stage(dealt, "ranges")
+    part = F.shiftright("__at", 33).alias("__part")
+    parts = rows.groupBy(*keys, part).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    names = [F.col(g).alias(f"__group{i}") for i, g in enumerate(group)]
+    shift = parts.select(*names, "__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__shift"))
+    shift = broadcast_if_small(stage(shift, "shifts"))
+    same = F.shiftright(rows["__at"], 33) == shift["__part"]
+    for i, g in enumerate(group):
+        same &= rows[g].eqNullSafe(shift[f"__group{i}"])
+    others = [c for c in df.columns if c != rank]
+    return rows.join(shift, same).select(*others, (F.col("__at") + F.col("__shift")).cast("int").alias(rank))
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """All rows with a dense number from 0 in this order.
 

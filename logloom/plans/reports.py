@@ -8,7 +8,7 @@ from ..functions.base import pad
 from ..functions.display import pattern_line, record_line, table_columns
 from ..operators.condense import condense_template
 from ..operators.filters import filter_critical, last_critical
-from ..operators.order import numbered, top_in_group
+from ..operators.order import numbered, ranked_in_group, top_in_group
 from ..operators.summary import consultation_overview, error_template_ratio
 
 
@@ -81,7 +81,7 @@ def _blocks(condensed: DataFrame, section: str, heading: DataFrame, max_records:
     dataset = F.col("dataset").alias("ord")
     order = [F.col("count").desc(), F.col("seq")]
     if max_records is None:
-        top = condensed.withColumn("rank", F.row_number().over(Window.partitionBy("dataset").orderBy(*order)))
+        top = ranked_in_group(condensed, ["dataset"], order)
     else:
         top = top_in_group(condensed, ["dataset"], order, max_records)
     rows = top.select(F.lit(section).alias("section"), dataset, F.col("rank").alias("part"),

@@ -103,3 +103,28 @@ _RANK = "CASE level WHEN 'DEBUG' THEN 0 WHEN 'INFO' THEN 1 WHEN 'NOTICE' THEN 2
  FROM t_log GROUP BY 1"""))
 def _(spark, sf):
     return L.review_digest(I.t_log_stream(spark, sf))
+
+
+_WEEK = 7 * 86_400_000_000
+_ESC_WEEK = f"""SELECT DISTINCT start_us, source FROM (SELECT start_us, source, {_RANK} - lag({_RANK}) OVER (
+ PARTITION BY start_us, source ORDER BY ts_us, seq) AS step FROM t_over) WHERE step >= 2"""
+
+
+@query("review_stream", over({**I.LOG, "t_week": f"SELECT *, CAST(ts_us // {_WEEK} * {_WEEK} AS BIGINT) AS start_us FROM t_log",
+ "t_over": f"SELECT * FROM t_week WHERE start_us + {_WEEK} <= (SELECT max(ts_us) FROM t_log)", "t_esc": _ESC_WEEK},
+ f"""SELECT start_us, 'critical' AS part, CAST(seq AS VARCHAR) AS item, CAST(1 AS BIGINT) AS count FROM t_over WHERE level IN {CRIT}
+ UNION ALL SELECT start_us, 'cluster', '-', count(*) FROM t_over GROUP BY start_us, level, source
+ UNION ALL SELECT start_us, 'escalation', source, count(*) FROM t_over JOIN t_esc USING (start_us, source) GROUP BY start_us, source
+ UNION ALL SELECT start_us, 'repeat_offender', source, count(*) FILTER (level IN ('ERROR', 'CRITICAL', 'AUDIT_FAILURE')) FROM t_over
+  WHERE level IN {CRIT} GROUP BY start_us, source HAVING count(*) >= 3
+ UNION ALL SELECT start_us, 'sample', level || ' ' || source, least(count(*), 2) FROM t_over GROUP BY start_us, level, source"""))
+def _(spark, sf):
+    """Periods of a week; the one that is still open has no review yet."""
+    found = L.review_stream(I.t_log_stream(spark, sf), "7 days")
+    source = F.regexp_replace("id", "^(escalation|repeat)_", "")
+    patterns = found["patterns"].where("type <> 'burst'").select(
+        "start_us", F.col("type").alias("part"), F.when(F.col("type") == "cluster", "-").otherwise(source).alias("item"), "count")
+    critical = found["critical"].select("start_us", F.lit("critical").alias("part"), F.col("seq").cast("string").alias("item"), F.lit(1).cast("long").alias("count"))
+    sample = found["sample"].groupBy("start_us", F.concat_ws(" ", "level", "source").alias("item")).agg(F.count("*").alias("count")).select(
+        "start_us", F.lit("sample").alias("part"), "item", "count")
+    return critical.unionByName(patterns).unionByName(sample)

@@ -44,15 +44,27 @@ CONSULT = {**FLAGS, "c_err": _condensed("t_log", f"level IN {CRIT}"), "c_sam": _
   concat('Patterns found  : ', (SELECT count(*) FROM t_sum))] AS l FROM t_log"""}
 
 
-@query("consultation_report", over(CONSULT, f"""SELECT 'overview' AS section, '' AS ord, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS part, unnest(l) AS line FROM t_over
+def _consult_sql(*limits: int) -> str:
+    errors, samples = limits or (1 << 30, 1 << 30)
+    return f"""SELECT 'overview' AS section, '' AS ord, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS part, unnest(l) AS line FROM t_over
  UNION ALL SELECT 'patterns', concat(kind, ':', lpad(CAST(first_seq AS VARCHAR), 19, '0')), part,
   CASE part WHEN 0 THEN {_HEAD} ELSE concat('    ', description) END FROM t_sum, (VALUES (0), (1)) p(part)
  UNION ALL SELECT 'errors', dataset, 0, concat('  Dataset: ', dataset, ' (', sum(n), ' error records -> ', count(*), ' unique templates)') FROM c_err GROUP BY dataset
- UNION ALL {_blocks('errors', 'c_err', 20)}
+ UNION ALL {_blocks('errors', 'c_err', errors)}
  UNION ALL SELECT DISTINCT 'samples', dataset, 0, concat('  Dataset: ', dataset) FROM t_sam
- UNION ALL {_blocks('samples', 'c_sam', 10)}
+ UNION ALL {_blocks('samples', 'c_sam', samples)}
  UNION ALL SELECT 'levels', dataset, 0, concat('  ', rpad(dataset, 35, ' '), ' ', string_agg(concat(level, '=', n), '  ' ORDER BY n DESC, first))
-  FROM (SELECT dataset, level, count(*) AS n, min(seq) AS first FROM t_log GROUP BY dataset, level) GROUP BY dataset"""))
+  FROM (SELECT dataset, level, count(*) AS n, min(seq) AS first FROM t_log GROUP BY dataset, level) GROUP BY dataset"""
+
+
+@query("consultation_report", over(CONSULT, _consult_sql(20, 10)))
 def _(spark, sf):
     p = found(spark, sf)
     return R.consultation_report(I.t_log(spark, sf), p.summary, p.sample, 20, 10)
+
+
+@query("consultation_report_whole", over(CONSULT, _consult_sql()))
+def _(spark, sf):
+    """At its defaults: every condensed error and sample of every dataset."""
+    p = found(spark, sf)
+    return R.consultation_report(I.t_log(spark, sf), p.summary, p.sample)

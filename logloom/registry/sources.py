@@ -109,6 +109,13 @@ def _(spark, sf):
     return newest_per_channel(I.t_win(spark, sf), 300).select("seq", "channel", "newest")
 
 
+@query("events_newest_first", over(I.WIN, """SELECT seq, os_source AS channel, CAST(row_number() OVER (
+ PARTITION BY os_source ORDER BY ts DESC, seq DESC) AS INTEGER) AS newest FROM t_win"""))
+def _(spark, sf):
+    """All events of every channel: no cap, and no channel in one task."""
+    return newest_per_channel(I.t_win(spark, sf)).select("seq", "channel", "newest")
+
+
 @query("first_lines_per_file", over(I.RAW, """SELECT seq, path, raw AS value, line_no FROM (SELECT *, row_number() OVER (
  PARTITION BY path ORDER BY seq) - 1 AS line_no FROM t_raw) WHERE line_no < 500"""))
 def _(spark, sf):

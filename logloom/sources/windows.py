@@ -1,12 +1,12 @@
 """Exported Windows event rows to log records."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.records import (insert_list_text, windows_event_id, windows_level,
                                  windows_message)
-from ..operators.order import top_in_group
+from ..operators.order import ranked_in_group, top_in_group
 from .syslog import as_records
 
 
@@ -14,12 +14,13 @@ def newest_per_channel(events: DataFrame, max_events: int | None = None) -> Data
     """Events of every channel numbered by ``newest``, newest first; all, or
     the newest ``max_events`` of each.
 
-    There are few channels: a cap acts before they are gathered.
+    A cap acts before the rows of a channel are gathered; without one, a
+    channel's rows stay spread over ranges of time.
     """
     order = [F.col("time_generated").desc(), F.col("seq").desc()]
     if max_events is not None:
         return top_in_group(events, ["channel"], order, max_events, "newest")
-    return events.withColumn("newest", F.row_number().over(Window.partitionBy("channel").orderBy(*order)))
+    return ranked_in_group(events, ["channel"], order, "newest")
 
 
 def parse_windows(events: DataFrame, dataset: str = "windows") -> DataFrame:

@@ -6,8 +6,9 @@ ones, which stay in the results.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import schema as S
 from ..functions.display import alert_line
@@ -17,9 +18,10 @@ from ..operators import detect as D
 from ..operators.condense import first_of_each, group_numbers
 from ..operators.filters import filter_critical, last_critical
 from ..plans.patterns import detect_patterns
+from ..session import path_exists, scratch_path
 from ..sources.journald import journald_entries, parse_journald
 from ..sources.windows import parse_windows
-from .run import keyed_state, land, run_groups
+from .run import keyed_state, land, read_stream, run_groups
 from .slices import SLICE_SECS, slice_bursts, slice_summaries
 
 # How long a review period, and a period of counts that a watermark closes, lasts.
@@ -164,6 +166,53 @@ def digest_of_levels(groups: DataFrame) -> DataFrame:
         F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
 
 
+REVIEWED = ("patterns", "sample", "critical")
+
+
+def review_stream(records: DataFrame, every: str = PERIOD, delay: str = "0 seconds", last: int | None = None,
+                  landed: str | None = None, path: str | None = None, checkpoint: str | None = None,
+                  trigger: dict | None = None) -> dict[str, DataFrame]:
+    """Patterns, samples and critical rows of every review period, once it is over.
+
+    Records land in a table, and a second stream over that table waits for its
+    watermark to pass a period. Only then is the period analysed, from its own
+    rows, and written under its start; a repeated batch writes the same again.
+    Returned are the tables of ``REVIEWED`` with ``start_us``; a period that
+    the watermark has not passed is not in them yet. ``last`` bounds the
+    critical rows of a period. ``path`` and ``checkpoint`` hold the reviews
+    and where the streams are, for a later run to go on from there.
+    """
+    spark = records.sparkSession
+    path = path or scratch_path(spark, "reviews")
+    checkpoint = checkpoint or scratch_path(spark, "checkpoint")
+    landed = landed or scratch_path(spark, "landed")
+    land(records, landed, f"{checkpoint}/landed", trigger)
+    closing = (_timed(read_stream(spark, landed, records.schema), delay).groupBy(F.window("at", every).alias("period"))
+               .agg(F.count("*").alias("n")))
+
+    def review(batch: DataFrame, number: int) -> None:
+        table = spark.read.schema(records.schema).parquet(landed)
+        over = batch.select(F.unix_micros("period.start").alias("a"), F.unix_micros("period.end").alias("b")).orderBy("a")
+        for start, end in over.toLocalIterator():   # the periods that closed since the last batch
+            for name, content in review_content(table, start, end, last).items():
+                content.write.mode("overwrite").parquet(f"{path}/{name}/start_us={start}")
+
+    query = (closing.writeStream.outputMode("append").foreachBatch(review)
+             .option("checkpointLocation", f"{checkpoint}/reviews").trigger(**(trigger or {"availableNow": True})).start())
+    if trigger is None:
+        query.awaitTermination()
+    return reviews(spark, path, records.schema)
+
+
+def reviews(spark: SparkSession, path: str, schema: StructType) -> dict[str, DataFrame]:
+    """The reviews written so far."""
+    none = review_content(spark.createDataFrame([], schema), 0, 0) if not path_exists(spark, path) else None
+    if none is not None:
+        return {name: none[name].withColumn("start_us", F.lit(0).cast("long")) for name in REVIEWED}
+    return {name: spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}").withColumn("start_us", F.col("start_us").cast("long"))
+            for name in REVIEWED}
+
+
 def review_content(landed: DataFrame, start_us: int, end_us: int, last: int | None = None) -> dict[str, DataFrame]:
     """What a periodic review shows of the landed records of one period:
     ``patterns`` and ``sample`` of their analysis, and the ``critical`` rows,

@@ -10,6 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logloom.operators import detect as D
+from logloom.operators.order import ranked_in_group
+from logloom.registry import inputs as I
 from logloom.session import scratch_path
 from logloom.streaming import live as L
 from logloom.streaming.run import keyed_state, read_stream
@@ -253,3 +255,80 @@ def test_a_reader_keeps_its_snapshot_over_a_merge(spark):
 def test_an_empty_store(spark):
     schema = spark.createDataFrame([], "k long, v long").schema
     assert rows(_store(spark).current(schema)) == []
+
+
+def _content(found):
+    return {name: rows(df.select("start_us", *sorted(c for c in df.columns if c != "start_us"))) for name, df in found.items()}
+
+
+def test_reviews_of_closed_periods_and_after_a_restart(spark, tmp_path, monkeypatch):
+    hour = 3_600_000_000
+    schema = I.t_log(spark, "/root/testdata/sf0.001").schema
+    log = [r.asDict() for r in I.t_log(spark, "/root/testdata/sf0.001").orderBy("seq").limit(60).collect()]
+    for i, r in enumerate(log):
+        r["ts_us"] = i * hour // 12 + (hour // 3 if i % 5 == 0 else 0)   # five hours, some rows early
+    path = str(tmp_path / "t")
+    os.makedirs(path)
+
+    def add(number, piece):
+        spark.createDataFrame([tuple(r[f.name] for f in schema) for r in piece], schema).coalesce(1).write.parquet(f"{path}/_{number}")
+        (part,) = [f for f in os.listdir(f"{path}/_{number}") if f.endswith(".parquet")]
+        os.replace(f"{path}/_{number}/{part}", f"{path}/{number}.parquet")
+
+    def source():
+        return read_stream(spark, f"{path}/*.parquet", schema, max_files=1)
+    places = dict(landed=scratch_path(spark, "landed"), path=scratch_path(spark, "reviews"), checkpoint=scratch_path(spark, "checkpoint"))
+    add(0, log[:30])
+    first = _content(L.review_stream(source(), "1 hour", "30 minutes", **places))
+    assert {r[0] for r in first["patterns"]} == {0}
+    # the stream fails inside the reviews of the next batch, after one table was written
+    add(1, log[30:])
+    real, broke = L.review_content, []
+
+    def fails(*args):
+        found = real(*args)
+        if args[1] == hour and not broke:
+            broke.append(1)
+            found["sample"].write.mode("overwrite").parquet(f"{places['path']}/patterns/start_us={args[1]}")
+            raise OSError("lost")
+        return found
+    monkeypatch.setattr(L, "review_content", fails)
+    with pytest.raises(Exception):
+        L.review_stream(source(), "1 hour", "30 minutes", **places)
+    assert broke
+    second = _content(L.review_stream(source(), "1 hour", "30 minutes", **places))
+    table = spark.read.schema(schema).parquet(f"{path}/*.parquet")
+    latest = max(r["ts_us"] for r in log)
+    over = [s * hour for s in range(6) if (s + 1) * hour <= latest - hour // 2]
+    assert {r[0] for r in second["patterns"]} == set(over) and len(over) >= 3
+    for start in over:
+        for name, df in real(table, start, start + hour).items():
+            want = rows(df.withColumn("start_us", F.lit(start).cast("long")).select("start_us", *sorted(df.columns)))
+            assert [r for r in second[name] if r[0] == start] == want
+    assert all(r in second["critical"] for r in first["critical"])
+
+
+def test_no_period_is_over(spark, tmp_path):
+    path = files(spark, str(tmp_path / "t"), [[("0", 0, 0, "a", "ERROR")]])
+    log = I.t_log(spark, "/root/testdata/sf0.001").limit(1)
+    log.withColumn("ts_us", F.lit(5).cast("long")).coalesce(1).write.parquet(f"{path}/log")
+    found = L.review_stream(read_stream(spark, f"{path}/log", log.schema), "1 hour")
+    assert {name: df.count() for name, df in found.items()} == {"patterns": 0, "sample": 0, "critical": 0}
+
+
+def test_ranks_in_groups_of_any_size(spark):
+    """One group has most rows, one is null; rows of a group lie in many ranges, and no range has them all."""
+    df = spark.range(3000).select(F.when(F.col("id") % 50 == 0, F.lit(None)).when(F.col("id") % 4 > 0, "hot").otherwise(
+        F.concat(F.lit("g"), F.col("id") % 7)).alias("g"), (F.col("id") * 7919 % 3001).alias("v"), F.lit("x").alias("rank"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")   # so few rows would be put together again
+    try:
+        got = ranked_in_group(df, ["g"], [F.col("v").desc()])
+        assert got.where("g = 'hot'").select(F.spark_partition_id()).distinct().count() > 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    seen = {}
+    for r in got.orderBy("g", F.col("v").desc()).collect():
+        seen[r["g"]] = seen.get(r["g"], 0) + 1
+        assert r["rank"] == seen[r["g"]]
+    assert sum(seen.values()) == 3000 and seen["hot"] > 2000
+    assert ranked_in_group(df.limit(0), ["g"], [F.col("v")]).count() == 0
