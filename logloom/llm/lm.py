@@ -31,12 +31,12 @@ DICTIONARY = 200_000
 ROUNDS = 2
 SHARE = 1 / ROUNDS
 # Streams read side by side and steps of a window, in fitting and in scoring.
-FIT_STREAMS, FIT_STEPS = 64, 16
+FIT_STREAMS, FIT_STEPS = 256, 32
 STREAMS, STEPS = 256, 32
 # Tokens held before they are scored together, and before they are learned from.
 HELD_TOKENS = 2 << 20
 LEARNED_TOKENS = 1 << 20
-RATE = 0.01
+RATE = 0.02
 # Distinct words a task counts before it sends them on.
 COUNTED = 300_000
 CHUNK = 8192
@@ -339,7 +339,11 @@ class Moments:
 
 
 def train(net: Network, docs: list[np.ndarray], rate: float = RATE, moments: Moments | None = None) -> int:
-    """One pass of truncated backpropagation with Adam; tokens seen."""
+    """One pass of truncated backpropagation with Adam; tokens seen.
+
+    Streams end at different places. A window that fewer of them fill says
+    less about all texts, so its step is shorter in proportion to its tokens.
+    """
     streams = Streams(docs, FIT_STREAMS, net.vocab.inputs - 1)
     moments = moments or Moments(net)
     m, v, k = moments.m, moments.v, moments.k
@@ -359,7 +363,8 @@ def train(net: Network, docs: list[np.ndarray], rate: float = RATE, moments: Mom
         np.sqrt(np.multiply(v, 1 / (1 - 0.99 ** k), out=step), out=step)
         step += 1e-6
         np.divide(m, step, out=step)
-        net.theta -= np.multiply(step, rate / (1 - 0.9 ** k), out=step)
+        full = mask.sum() / (FIT_STREAMS * FIT_STEPS)
+        net.theta -= np.multiply(step, rate * full / (1 - 0.9 ** k), out=step)
     moments.k = k
     return int(streams.length.sum())
 

@@ -146,3 +146,44 @@ def test_every_training_text_is_learned_from_once(spark, monkeypatch, tmp_path):
     assert max(map(len, parts)) < 60  # no more at once than is held and a text
     want = Counter(vocab.code(w) for _, t in rows for w in [*words(t), lm.END])
     assert Counter(c for p in parts for c in p) == want
+
+
+def mixed_texts(seed, n=160):
+    """Texts of 1 to 20,000 words, most of them short, whose words follow one another by a rule."""
+    rng = random.Random(seed)
+    words_ = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        length = 20_000 if i == 1 else 6_000 if i == 2 else int(1 + 400 * rng.random() ** 4)
+        at, text = rng.randrange(60), []
+        for _ in range(length):
+            text.append(words_[at])
+            at = (at * 7 + rng.choice([1, 1, 1, 5])) % 60
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def held_out_score(net, vocab, rows):
+    codes = [np.array([vocab.code(w) for w in [*words(t), lm.END]], dtype=np.int32) for _, t in rows]
+    return lm.score_documents(net, codes).sum() / sum(map(len, codes))
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 16])
+def test_texts_of_mixed_lengths_are_learned_whatever_the_partitions(spark, partitions):
+    rows, held = mixed_texts(1), mixed_texts(2, 60)[3:]
+    docs = documents(spark, rows).repartition(partitions)
+    vocab = lm.vocabulary(lm.stage(lm.count_words(docs), "words"))
+    before = held_out_score(lm.Network(vocab), vocab, held)
+    assert held_out_score(lm.Network(vocab, lm.fit(docs, vocab)), vocab, held) > before + 0.2
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_every_round_is_better_than_none(spark, seed):
+    rows, held = mixed_texts(1), mixed_texts(2, 60)[3:]
+    vocab = lm.vocabulary(lm.stage(lm.count_words(documents(spark, rows)), "words"))
+    net, rng = lm.Network(vocab), random.Random(seed)
+    before = held_out_score(net, vocab, held)
+    slices = [rng.randrange(2) for _ in rows]
+    for r in (0, 1):
+        lm.train(net, [np.array([vocab.code(w) for w in [*words(t), lm.END]], dtype=np.int32) for s, (_, t) in zip(slices, rows) if s == r])
+        assert held_out_score(net, vocab, held) > before + 0.2
