@@ -32,6 +32,7 @@ ROUNDS = 2
 SHARE = 1 / ROUNDS
 # Streams read side by side and steps of a window, in fitting and in scoring.
 FIT_STREAMS, FIT_STEPS = 256, 32
+FULL_TOKENS = 2048
 STREAMS, STEPS = 256, 32
 # Tokens held before they are scored together, and before they are learned from.
 HELD_TOKENS = 2 << 20
@@ -342,7 +343,7 @@ def train(net: Network, docs: list[np.ndarray], rate: float = RATE, moments: Mom
     """One pass of truncated backpropagation with Adam; tokens seen.
 
     Streams end at different places. A window that fewer of them fill says
-    less about all texts, so its step is shorter in proportion to its tokens.
+    less about all texts: with under FULL_TOKENS tokens its step is shorter in proportion.
     """
     streams = Streams(docs, FIT_STREAMS, net.vocab.inputs - 1)
     moments = moments or Moments(net)
@@ -363,7 +364,7 @@ def train(net: Network, docs: list[np.ndarray], rate: float = RATE, moments: Mom
         np.sqrt(np.multiply(v, 1 / (1 - 0.99 ** k), out=step), out=step)
         step += 1e-6
         np.divide(m, step, out=step)
-        full = mask.sum() / (FIT_STREAMS * FIT_STEPS)
+        full = min(1.0, mask.sum() / FULL_TOKENS)
         net.theta -= np.multiply(step, rate * full / (1 - 0.9 ** k), out=step)
     moments.k = k
     return int(streams.length.sum())
