@@ -78,8 +78,7 @@ def ranked_in_group(df: DataFrame, group: list[str], ordering: list[Column], ran
     there, so a group with most of the rows fills most of the ranges. The
     place in a range follows from the sorted rows; the sizes of a group's
     ranges before, one row per group and range, are added. This is the only
-    shuffle of rows. Rows that tie must not differ in ``ordering``'s columns
-    alone if ranks are to be the same again.
+    shuffle of rows. Which of two rows that tie comes first is open.
     """
     keys = [F.col(g) for g in group]
     dealt = (df.repartitionByRange(*keys, *ordering).sortWithinPartitions(*keys, *ordering)
