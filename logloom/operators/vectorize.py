@@ -373,51 +373,69 @@ def vectorize(records: DataFrame, backend: str = "hash", key: str = "seq",
     return _fitted(plain, key, dims or S.SVD_DIMS, None)
 
 
-def _fitted(plain: DataFrame, key: str, dims: int, split: str | None) -> DataFrame:
-    """Records with their TF-IDF vectors, a zero vector where no term was kept.
+class Fit:
+    """Vocabularies and bases of all splits, in groups that are sent together."""
 
-    Once vocabularies and bases are fitted, each record gets its vector from
-    its own text in its own row: no record is joined or shuffled.
-    """
-    spark = plain.sparkSession
-    # rows without a value are a split of their own
-    field = None if split is None else F.coalesce(F.col(split).cast("string"), F.lit("\x00"))
-    lists = term_lists(plain, key, None, field)
-    vocab = stage(vocabulary(lists, S.TFIDF_FEATURES), "vocabulary")
-    known = _sendable(vocab)
+    def __init__(self, known: dict, groups: list[dict], split: str | None):
+        self.known, self.groups, self.split = known, groups, split
+
+    def place(self) -> Column:
+        """A record's split; rows without a value are a split of their own."""
+        return F.lit("") if self.split is None else F.coalesce(F.col(self.split).cast("string"), F.lit("\x00"))
+
+    def bases(self) -> dict[str | None, np.ndarray]:
+        return {name: basis for group in self.groups for name, basis in group.items()}
+
+
+def fit_tfidf(records: DataFrame, key: str = "seq", dims: int = S.SVD_DIMS, split: str | None = None) -> Fit | None:
+    """TF-IDF vocabularies and SVD bases of the records' texts, per value of
+    ``split`` if one is given; None if the vocabularies are too large to send."""
+    fit = Fit({}, [], split)
+    lists = term_lists(records, key, None, fit.place())
+    known = _sendable(stage(vocabulary(lists, S.TFIDF_FEATURES), "vocabulary"))
     if known is None:
-        return _joined_vectors(plain, key, dims, field)
-    sent = spark.sparkContext.broadcast(known)
-    kind = plain.schema[key].dataType.simpleString()
+        return None
+    sent = records.sparkSession.sparkContext.broadcast(known)
+    kind = records.schema[key].dataType.simpleString()
     rows = stage(lists.mapInArrow(_weigher(sent, key), f"split string, {key} {kind}, terms array<string>, slots array<int>, weights array<double>"), "tfidf")
     sizes = lists.groupBy("split").agg(F.count("*").alias("n"))
-    place, terms = F.lit("") if field is None else field, ngram_terms(embedding_input_text())
-    out, fitted = None, set()
-    for shapes in svd_parts(rows, sizes, dims):
-        if not shapes:
-            continue
-        bases = svd_bases(rows if split is None else _of_splits(rows, shapes), shapes)
-        fitted |= set(shapes)
-        own = plain if split is None else plain.where(field.isin(*shapes))
-        part = own.withColumn("embedding", _embedder(spark, {s: known[s] for s in shapes}, bases, place, terms))
+    fit.known = known
+    fit.groups = [svd_bases(_of_splits(rows, shapes), shapes) for shapes in svd_parts(rows, sizes, dims) if shapes]
+    return fit
+
+
+def with_vectors(records: DataFrame, fit: Fit) -> DataFrame:
+    """Records with the ``embedding`` of their own text, made in their own row:
+    no record is joined or shuffled. Without a kept term it is zero."""
+    spark, place, terms = records.sparkSession, fit.place(), ngram_terms(embedding_input_text())
+    out = None
+    for bases in fit.groups:
+        own = records if fit.split is None else records.where(place.isin(*bases))
+        part = own.withColumn("embedding", _embedder(spark, {s: fit.known[s] for s in bases}, bases, place, terms))
         out = part if out is None else out.unionByName(part)
     # without any kept term there is nothing to fit: vectors of no numbers
     empty = F.array().cast("array<double>")
     if out is None:
-        out = plain.withColumn("embedding", empty)
-    elif split is not None:
-        out = out.unionByName(plain.where(~field.isin(*fitted)).withColumn("embedding", empty))
-    return out.select(*plain.columns, "embedding")
+        out = records.withColumn("embedding", empty)
+    elif fit.split is not None:
+        out = out.unionByName(records.where(~place.isin(*fit.bases())).withColumn("embedding", empty))
+    return out.select(*records.columns, "embedding")
+
+
+def _fitted(plain: DataFrame, key: str, dims: int, split: str | None) -> DataFrame:
+    """Records with their TF-IDF vectors, a zero vector where no term was kept."""
+    fit = fit_tfidf(plain, key, dims, split)
+    return _joined_vectors(plain, key, dims, Fit({}, [], split).place()) if fit is None else with_vectors(plain, fit)
 
 
-def _joined_vectors(plain: DataFrame, key: str, dims: int, field: Column | None) -> DataFrame:
+def _joined_vectors(plain: DataFrame, key: str, dims: int, field: Column) -> DataFrame:
     """The same for vocabularies too large to send: vectors come back by key."""
     fitted = stage(svd_embedding(plain, key, dims=dims, split=field), "embedding")
     vectors = fitted.select(F.col(key).alias("__key"), "embedding")
     widths = broadcast_if_small(stage(
         fitted.groupBy(F.col("split").alias("__split")).agg(F.max(F.size("embedding")).alias("__width")), "widths"))
     joined = (plain.join(vectors, plain[key] == F.col("__key"), "left")
-              .join(widths, (F.lit("") if field is None else field) == F.col("__split"), "left"))
+              .join(widths, field == F.col("__split"), "left"))
     zero = F.array_repeat(F.lit(0.0), F.coalesce("__width", F.lit(0)))
     return joined.withColumn("embedding", F.coalesce("embedding", zero)).select(*plain.columns, "embedding")
 

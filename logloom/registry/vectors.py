@@ -63,16 +63,44 @@ def _(spark, sf):
     return long_form(VZ.tfidf(I.t_msg(spark, sf), text=F.col("message"), split=F.col("level")))
 
 
+def probed(spark, rows, bases, vectors):
+    """(seq, holds): whether a text's vector, but for its length, is its TF-IDF
+    row times the basis of its split, and has unit length or is zero. A vector
+    is told from any other by its products with three random ones. ``rows``
+    holds (split, seq, slots, weights), ``vectors`` (seq, embedding)."""
+    wide = max(v.shape[1] for v in bases.values())
+    probes = np.random.default_rng(1).standard_normal((wide, 3))
+    axes = spark.createDataFrame([(split, i, *map(float, r)) for split, v in bases.items() for i, r in enumerate(v @ probes[:v.shape[1]])],
+                                 "split string, slot int, a0 double, a1 double, a2 double")
+    entries = rows.select("split", "seq", F.explode(F.arrays_zip("slots", "weights")).alias("e")).select(
+        "split", "seq", F.col("e.slots").alias("slot"), F.col("e.weights").alias("w"))
+    scores = (entries.join(F.broadcast(axes), ["split", "slot"])  # one row per term of the vocabularies
+              .groupBy("seq").agg(*[F.sum(F.col("w") * F.col(f"a{k}")).alias(f"s{k}") for k in range(3)]))
+    # a narrower basis meets the first numbers of each probe
+    e = [dot("embedding", F.slice(F.lit([float(x) for x in probes[:, k]]), F.lit(1), F.size("embedding"))) for k in range(3)]
+    s = [F.coalesce(f"s{k}", F.lit(0.0)) for k in range(3)]
+    along = (F.abs(s[0] * e[1] - s[1] * e[0]) < 1e-6) & (F.abs(s[0] * e[2] - s[2] * e[0]) < 1e-6) & (s[0] * e[0] > -1e-6)
+    unit = F.abs(norm("embedding") - 1) < 1e-9
+    none = (norm("embedding") == 0) & (F.abs(s[0]) + F.abs(s[1]) + F.abs(s[2]) < 1e-6)
+    return vectors.join(scores, "seq", "left").select("seq", F.coalesce((unit & along) | none, F.lit(False)).alias("holds"))
+
+
 @query("vectorize_per_split", over({**I.LOG, **hash_sql("t_log", "text")}, """SELECT 'hash' AS part, seq, CAST(dim AS BIGINT) AS dim, x FROM t_hash
- UNION ALL SELECT 'tfidf', seq, 64, 1.0::DOUBLE FROM t_log"""))
+ UNION ALL SELECT 'tfidf', seq, 64, 1.0::DOUBLE FROM t_log UNION ALL SELECT 'along', seq, 1, 1.0::DOUBLE FROM t_log"""))
 def _(spark, sf):
-    """Hash vectors number by number; of TF-IDF vectors, fitted per level, the width and the length."""
+    """Hash vectors number by number; of TF-IDF vectors, fitted per level, the
+    width and the length, and whether each lies along its text's row times the
+    basis of its level."""
     records = I.t_log_wide(spark, sf)
     hashes = sparse(VZ.vectorize_per_split(records, "level"))
-    fitted = VZ.vectorize_per_split(records, "level", "tfidf")
+    fit = VZ.fit_tfidf(records, split="level")
+    fitted = stage(VZ.with_vectors(records, fit).select("seq", "embedding"), "fitted")
+    rows = VZ.tfidf(records, split=F.col("level"))
+    along = probed(spark, rows, fit.bases(), fitted)
     return hashes.select(F.lit("hash").alias("part"), "seq", F.col("dim").cast("long").alias("dim"), "x").unionByName(
         fitted.select(F.lit("tfidf").alias("part"), "seq", F.size("embedding").cast("long").alias("dim"),
-                      F.round(norm("embedding"), 6).alias("x")))
+                      F.round(norm("embedding"), 6).alias("x"))).unionByName(
+        along.select(F.lit("along").alias("part"), "seq", F.col("holds").cast("long").alias("dim"), F.lit(1.0).alias("x")))
 
 
 @query("svd_embedding", over({**I.MSG, **tfidf_sql("''")}, """SELECT 'text' AS part, seq AS key, true AS holds
@@ -95,26 +123,17 @@ def _(spark, sf):
     residual = np.linalg.norm(image - v * values, axis=0)
     good = (np.abs(v.T @ v - np.eye(v.shape[1])).max(axis=0) < 1e-9) & (residual < 0.01 * values.max())
     dims = spark.createDataFrame([(i, bool(g)) for i, g in enumerate(good)], "key long, holds boolean")
-    # a vector is told from any other by its products with three random ones
-    probes = np.random.default_rng(1).standard_normal((v.shape[1], 3))
-    axes = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(v @ probes)], "slot int, a0 double, a1 double, a2 double")
-    entries = rows.select("seq", F.explode(F.arrays_zip("slots", "weights")).alias("e")).select(
-        "seq", F.col("e.slots").alias("slot"), F.col("e.weights").alias("w"))
-    scores = (entries.join(F.broadcast(axes), "slot")  # one row per term of the vocabulary
-              .groupBy("seq").agg(*[F.sum(F.col("w") * F.col(f"a{k}")).alias(f"s{k}") for k in range(3)]))
-    e = [dot("embedding", F.lit([float(x) for x in probes[:, k]])) for k in range(3)]
-    s = [F.col(f"s{k}") for k in range(3)]
-    along = (F.abs(s[0] * e[1] - s[1] * e[0]) < 1e-6) & (F.abs(s[0] * e[2] - s[2] * e[0]) < 1e-6) & (s[0] * e[0] > -1e-6)
-    unit = F.abs(norm("embedding") - 1) < 1e-9
-    none = (norm("embedding") == 0) & (F.abs(s[0]) + F.abs(s[1]) + F.abs(s[2]) < 1e-6)
-    texts = vectors.join(scores, "seq", "left").select(
-        F.lit("text").alias("part"), F.col("seq").alias("key"),
-        F.coalesce((unit & along) | none, F.lit(False)).alias("holds"))
+    texts = probed(spark, rows, basis, vectors).select(F.lit("text").alias("part"), F.col("seq").alias("key"), "holds")
     return texts.unionByName(dims.select(F.lit("basis").alias("part"), "key", "holds"))
 
 
-@query("vectorize_tfidf", over(I.LOG, "SELECT seq, id, level, message, CAST(64 AS INTEGER) AS dims, 1.0::DOUBLE AS length FROM t_log"))
+@query("vectorize_tfidf", over(I.LOG, "SELECT seq, id, level, message, CAST(64 AS INTEGER) AS dims, 1.0::DOUBLE AS length, true AS holds FROM t_log"))
 def _(spark, sf):
-    """Every record keeps its row and gets a unit vector of one width."""
-    return VZ.vectorize(I.t_log_wide(spark, sf), "tfidf").select(
-        "seq", "id", "level", "message", F.size("embedding").alias("dims"), F.round(norm("embedding"), 6).alias("length"))
+    """Every record keeps its row and gets a unit vector of one width, which
+    lies along its text's row times the basis."""
+    records = I.t_log_wide(spark, sf)
+    fit = VZ.fit_tfidf(records)
+    fitted = stage(VZ.with_vectors(records, fit).select("seq", "id", "level", "message", "embedding"), "fitted")
+    along = probed(spark, VZ.tfidf(records), fit.bases(), fitted.select("seq", "embedding"))
+    return fitted.join(along, "seq").select(
+        "seq", "id", "level", "message", F.size("embedding").alias("dims"), F.round(norm("embedding"), 6).alias("length"), "holds")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from ..session import path_exists, remove_path
+from ..session import remove_path
 
 # Parts of one level that are merged into one of the next.
 FAN = 8
@@ -121,11 +121,8 @@ def plan_merges(parts: list[list], fan: int, number: int) -> tuple[list[list], l
 
 
 def _latest(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The last written row of every group; null keys are keys."""
+    """The last written row of every group; null keys are keys. Values are
+    taken one by one: of numbers, that aggregates without sorting rows."""
     values = [c for c in rows.columns if c not in keys and c != BATCH]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(F.lit(0).alias("__none"), *values), BATCH).alias("__row"), F.max(BATCH).alias(BATCH))
-    return last.select(*keys, *[F.col("__row")[v].alias(v) for v in values], BATCH)
-
-
-def store_exists(spark: SparkSession, path: str) -> bool:
-    return path_exists(spark, f"{path}/manifests")
+    last = rows.groupBy(*keys).agg(*[F.max_by(v, BATCH).alias(v) for v in values], F.max(BATCH).alias(BATCH))
+    return last.select(*keys, *values, BATCH)
