@@ -80,8 +80,9 @@ def probed(spark, rows, bases, vectors):
     e = [dot("embedding", F.slice(F.lit([float(x) for x in probes[:, k]]), F.lit(1), F.size("embedding"))) for k in range(3)]
     s = [F.coalesce(f"s{k}", F.lit(0.0)) for k in range(3)]
     along = (F.abs(s[0] * e[1] - s[1] * e[0]) < 1e-6) & (F.abs(s[0] * e[2] - s[2] * e[0]) < 1e-6) & (s[0] * e[0] > -1e-6)
-    unit = F.abs(norm("embedding") - 1) < 1e-9
-    none = (norm("embedding") == 0) & (F.abs(s[0]) + F.abs(s[1]) + F.abs(s[2]) < 1e-6)
+    length = F.abs(s[0]) + F.abs(s[1]) + F.abs(s[2])
+    unit = (F.abs(norm("embedding") - 1) < 1e-9) & (length > 1e-9)
+    none = (norm("embedding") == 0) & (length < 1e-6)
     return vectors.join(scores, "seq", "left").select("seq", F.coalesce((unit & along) | none, F.lit(False)).alias("holds"))
 
 
