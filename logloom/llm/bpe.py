@@ -19,10 +19,10 @@ VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 # Rank of a pair that no merge names.
 NONE = np.int32(np.iinfo(np.int32).max)
 # Words met so far are remembered with their ids up to this many ids; then memory starts anew.
-KEPT_IDS = 500_000
+KEPT_IDS = 200_000
 # Words, or ids, that a step of a batch handles together, and texts that are read from Arrow at once.
-STEP_WORDS = 1 << 16
-STEP_TEXTS = 256
+STEP_WORDS = 1 << 15
+STEP_TEXTS = 64
 # Below this code point, letters, digits, lower case and composition are alike in all versions of Unicode in use.
 STABLE = 0x530
 
@@ -288,13 +288,12 @@ def decode(spark: SparkSession, ids: Column, vocabulary: str) -> Column:
     """Text of each array of ids: its tokens, special ones too, joined by one
     space, as a vocabulary without decoder says. Ids that are null or outside
     the vocabulary are left out; a null array is like an empty one."""
-    sent = spark.sparkContext.broadcast(vocabulary)
+    sent = spark.sparkContext.broadcast(pa.array(token_list(json.loads(vocabulary)), pa.string()))
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = pa.array(token_list(json.loads(sent.value)), pa.string())
         for arrays in batches:
-            yield joined(arrays, tokens)
+            yield joined(arrays, sent.value)
     return text(ids)
 
 
