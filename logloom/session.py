@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from math import ceil
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 # A table is broadcast only after it was measured and found no larger.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
+# Rows that a piece of a spread table may have.
+PIECE_ROWS = 200_000
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -167,10 +170,16 @@ def join_flag(df: DataFrame, flagged: DataFrame, keys: list[str], flag: str,
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A table in fewer pieces than cores, spread over all of them.
+    """A table spread evenly over all cores, no piece much above PIECE_ROWS rows.
 
-    For per-row work that outweighs one copy of a small table. Give it a plain
-    scan; anything with more pieces than cores passes unchanged.
+    For per-row work that outweighs one copy of a table. Give it a plain scan:
+    its rows per piece come from the file footers. A file of few row groups is
+    cut into many pieces of which most are empty, so pieces alone say little.
+    A table whose pieces are even and small enough passes unchanged.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    sizes = [r["count"] for r in scan.groupBy(F.spark_partition_id().alias("piece")).count().collect()]  # one row per piece
+    fullest, rows = max(sizes, default=0), sum(sizes)
+    if len(sizes) >= cores and fullest <= PIECE_ROWS and fullest * cores <= 2 * rows:
+        return scan
+    return scan.repartition(max(cores, ceil(rows / PIECE_ROWS)))
