@@ -22,8 +22,8 @@ from .order import explode_once
 # A text is a unit vector before projection; what is left of it below this
 # length is rounding error and stays the zero vector.
 ZERO_LENGTH = 1e-10
-# Numbers that a task multiplies in one go.
-NUMBERS_PER_STEP = 1 << 20
+# Sparse rows that a task multiplies in one go, as a dense matrix of the features they use.
+ROWS_PER_STEP = 64
 # Features whose sums travel together.
 BLOCK_FEATURES = 512
 # Random vectors of a sketch beyond those asked for, and the residual it may leave.
@@ -143,8 +143,8 @@ def _weigher(sent, key: str):
 
 def _project(basis: np.ndarray, ends: np.ndarray, slots: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Unit vectors of some sparse rows, in steps: (rows, vectors)."""
-    for part, starts, at in _steps(rows, ends, basis.shape[1]):
-        scores = np.add.reduceat(basis[slots[at]] * weights[at, None], starts, axis=0)
+    for part, used, dense in _steps(rows, ends, slots, weights):
+        scores = dense @ basis[used]
         size = np.linalg.norm(scores, axis=1, keepdims=True)
         yield part, np.where(size < ZERO_LENGTH, 0.0, scores / np.maximum(size, ZERO_LENGTH))
 
@@ -174,16 +174,17 @@ def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
             batch.column("weights").flatten().to_numpy())
 
 
-def _steps(rows: np.ndarray, ends: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Cut some rows of a batch into steps of bounded size: the rows, where
-    each begins in the step, and the places of its entries."""
-    sizes = ends[rows + 1] - ends[rows]
-    group = np.cumsum(sizes) * width // NUMBERS_PER_STEP
-    for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(group)) + 1):
-        if len(part):
-            n = sizes[part]
-            start = np.cumsum(n) - n
-            yield rows[part], start, np.repeat(ends[rows[part]] - start, n) + np.arange(n.sum())
+def _steps(rows: np.ndarray, ends: np.ndarray, slots: np.ndarray, weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Cut some rows of a batch into steps of ROWS_PER_STEP: the rows, the
+    features they use, and their weights as a matrix of rows by features."""
+    for first in range(0, len(rows), ROWS_PER_STEP):
+        part = rows[first:first + ROWS_PER_STEP]
+        n = ends[part + 1] - ends[part]
+        start = np.cumsum(n) - n
+        at = np.repeat(ends[part] - start, n) + np.arange(n.sum())
+        used, place = np.unique(slots[at], return_inverse=True)
+        place += np.repeat(np.arange(len(part)) * len(used), n)
+        yield part, used, np.bincount(place, weights[at], len(part) * len(used)).reshape(len(part), len(used))
 
 
 def _groups(split: pa.Array) -> Iterator[tuple[str | None, np.ndarray]]:
@@ -217,13 +218,8 @@ def gram_times(rows: DataFrame, bases: dict[str | None, np.ndarray]) -> dict[str
                 q = shared.value[split]
                 total = totals.setdefault(split, np.zeros_like(q))
                 own = own[ends[own + 1] > ends[own]]
-                for _, starts, at in _steps(own, ends, q.shape[1]):
-                    slot, weight = slots[at], weights[at, None]
-                    scores = np.add.reduceat(q[slot] * weight, starts, axis=0)
-                    back = np.repeat(scores, np.diff(np.r_[starts, len(at)]), axis=0) * weight
-                    order = np.argsort(slot, kind="stable")
-                    first = np.flatnonzero(np.r_[True, np.diff(slot[order]) != 0])
-                    total[slot[order][first]] += np.add.reduceat(back[order], first, axis=0)
+                for _, used, dense in _steps(own, ends, slots, weights):
+                    total[used] += dense.T @ (dense @ q[used])
         yield from blocks({(split, k): t[k * BLOCK_FEATURES:(k + 1) * BLOCK_FEATURES] for split, t in totals.items()
                            for k in range(-(-len(t) // BLOCK_FEATURES))})
 

@@ -2,10 +2,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, hash_embedding, norm
 from ..operators import vectorize as VZ
+from ..operators.heavy import list_ends
 from ..operators.order import explode_once
 from ..session import stage
 from . import inputs as I
@@ -70,20 +72,32 @@ def probed(spark, rows, bases, vectors):
     holds (split, seq, slots, weights), ``vectors`` (seq, embedding)."""
     wide = max(v.shape[1] for v in bases.values())
     probes = np.random.default_rng(1).standard_normal((wide, 3))
-    axes = spark.createDataFrame([(split, i, *map(float, r)) for split, v in bases.items() for i, r in enumerate(v @ probes[:v.shape[1]])],
-                                 "split string, slot int, a0 double, a1 double, a2 double")
-    entries = rows.select("split", "seq", F.explode(F.arrays_zip("slots", "weights")).alias("e")).select(
-        "split", "seq", F.col("e.slots").alias("slot"), F.col("e.weights").alias("w"))
-    scores = (entries.join(F.broadcast(axes), ["split", "slot"])  # one row per term of the vocabularies
-              .groupBy("seq").agg(*[F.sum(F.col("w") * F.col(f"a{k}")).alias(f"s{k}") for k in range(3)]))
-    # a narrower basis meets the first numbers of each probe
-    e = [dot("embedding", F.slice(F.lit([float(x) for x in probes[:, k]]), F.lit(1), F.size("embedding"))) for k in range(3)]
-    s = [F.coalesce(f"s{k}", F.lit(0.0)) for k in range(3)]
+    sent = spark.sparkContext.broadcast({split: v @ probes[:v.shape[1]] for split, v in bases.items()})
+
+    @F.arrow_udf("struct<s0: double, s1: double, s2: double>")
+    def scores(splits: pa.Array, slots: pa.Array, weights: pa.Array) -> pa.Array:
+        out = np.zeros((len(splits), 3))
+        row = np.repeat(np.arange(len(splits)), np.diff(list_ends(slots)))
+        slot, weight = slots.flatten().to_numpy().astype(np.int64), weights.flatten().to_numpy()
+        named = splits.dictionary_encode("encode")
+        group = named.indices.to_numpy()[row]
+        for g, split in enumerate(named.dictionary.to_pylist()):
+            own = group == g
+            for k in range(3):
+                out[:, k] += np.bincount(row[own], weight[own] * sent.value[split][slot[own], k], len(splits))
+        return pa.StructArray.from_arrays([pa.array(out[:, k]) for k in range(3)], names=["s0", "s1", "s2"])
+
+    met = (rows.select("seq", scores("split", "slots", "weights").alias("s"))
+           .groupBy("seq").agg(*[F.sum(f"s.s{k}").alias(f"s{k}") for k in range(3)]))
+    # a narrower basis meets the first numbers of each probe; four numbers of a vector go on
+    said = vectors.select("seq", norm("embedding").alias("n"), *[
+        dot("embedding", F.slice(F.lit([float(x) for x in probes[:, k]]), F.lit(1), F.size("embedding"))).alias(f"e{k}") for k in range(3)])
+    e, s = [F.col(f"e{k}") for k in range(3)], [F.coalesce(f"s{k}", F.lit(0.0)) for k in range(3)]
     along = (F.abs(s[0] * e[1] - s[1] * e[0]) < 1e-6) & (F.abs(s[0] * e[2] - s[2] * e[0]) < 1e-6) & (s[0] * e[0] > -1e-6)
     length = F.abs(s[0]) + F.abs(s[1]) + F.abs(s[2])
-    unit = (F.abs(norm("embedding") - 1) < 1e-9) & (length > 1e-9)
-    none = (norm("embedding") == 0) & (length < 1e-6)
-    return vectors.join(scores, "seq", "left").select("seq", F.coalesce((unit & along) | none, F.lit(False)).alias("holds"))
+    unit = (F.abs(F.col("n") - 1) < 1e-9) & (length > 1e-9)
+    none = (F.col("n") == 0) & (length < 1e-6)
+    return said.join(met, "seq", "left").select("seq", F.coalesce((unit & along) | none, F.lit(False)).alias("holds"))
 
 
 @query("vectorize_per_split", over({**I.LOG, **hash_sql("t_log", "text")}, """SELECT 'hash' AS part, seq, CAST(dim AS BIGINT) AS dim, x FROM t_hash
@@ -136,5 +150,5 @@ def _(spark, sf):
     fit = VZ.fit_tfidf(records)
     fitted = stage(VZ.with_vectors(records, fit).select("seq", "id", "level", "message", "embedding"), "fitted")
     along = probed(spark, VZ.tfidf(records), fit.bases(), fitted.select("seq", "embedding"))
-    return fitted.join(along, "seq").select(
-        "seq", "id", "level", "message", F.size("embedding").alias("dims"), F.round(norm("embedding"), 6).alias("length"), "holds")
+    said = fitted.select("seq", "id", "level", "message", F.size("embedding").alias("dims"), F.round(norm("embedding"), 6).alias("length"))
+    return said.join(along, "seq").select("seq", "id", "level", "message", "dims", "length", "holds")
