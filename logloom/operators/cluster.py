@@ -146,14 +146,15 @@ def _one_pass(vectors: DataFrame, fits: list[np.ndarray]) -> list[tuple[np.ndarr
                 x = whole[at:at + step]
                 far = length - 2 * (x @ every.T)
                 own = (x ** 2).sum(axis=1)
+                chosen, cost = np.zeros_like(far), np.zeros_like(far)
+                row = np.arange(len(x))
+                for lo, hi in zip(bounds, bounds[1:]):
+                    place = lo + far[:, lo:hi].argmin(axis=1)
+                    chosen[row, place] = 1
+                    cost[row, place] = np.maximum(far[row, place] + own, 0)
+                sums = np.column_stack([chosen.T @ x, chosen.sum(axis=0), cost.sum(axis=0)])
                 for total, lo, hi in zip(totals, bounds, bounds[1:]):
-                    place = far[:, lo:hi].argmin(axis=1)
-                    cost = np.maximum(far[np.arange(len(x)), lo + place] + own, 0)
-                    for j in range(hi - lo):
-                        mine = place == j
-                        total[j, :-2] += x[mine].sum(axis=0)
-                        total[j, -2] += mine.sum()
-                        total[j, -1] += cost[mine].sum()
+                    total += sums[lo:hi]
         yield from tables(totals)
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
