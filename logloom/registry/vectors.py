@@ -82,6 +82,8 @@ def probed(spark, rows, bases, vectors):
         named = splits.dictionary_encode("encode")
         group = named.indices.to_numpy()[row]
         for g, split in enumerate(named.dictionary.to_pylist()):
+            if split not in sent.value:   # no basis, no score
+                continue
             own = group == g
             for k in range(3):
                 out[:, k] += np.bincount(row[own], weight[own] * sent.value[split][slot[own], k], len(splits))

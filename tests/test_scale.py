@@ -6,6 +6,7 @@ from logloom import session
 from logloom.operators import cluster as C
 from logloom.operators import vectorize as VZ
 from logloom.registry import as_queries
+from logloom.registry.vectors import probed
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,6 +68,14 @@ def test_probes_shuffle_no_terms_and_no_vectors(spark):
     assert not any("Exchange hashpartitioning" in line and "embedding" in line for line in text.splitlines())
 
 
+def test_probes_of_a_split_without_a_basis_are_zero(spark):
+    kind = "split string, seq long, slots array<int>, weights array<double>"
+    rows = spark.createDataFrame([("a", 1, [0, 1], [0.6, 0.8]), (None, 2, [0], [1.0])], kind)
+    vectors = spark.createDataFrame([(1, [0.6, 0.8]), (2, [1.0, 0.0]), (3, [0.0, 0.0])], "seq long, embedding array<double>")
+    got = {r.seq: r.holds for r in probed(spark, rows, {"a": np.eye(2)}, vectors).collect()}
+    assert got == {1: True, 2: False, 3: True}
+
+
 def test_one_pass_sums_every_start(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((500, 6))
