@@ -21,6 +21,8 @@ LEAST_DOCS = 10
 TOP_TERMS = 10
 # Probabilities are whole parts of this.
 UNIT = 1_000_000_000
+# Counts up to this, times UNIT, fit a long.
+LONG_COUNT = (1 << 63) // UNIT - 3
 # Terms of one transducer.
 BLOCK_TERMS = 1 << 14
 # Bytes of transducers sent to the tasks at once; beyond, the texts are read again for the next ones.
@@ -199,9 +201,11 @@ def _counter(sent):
 
 
 def share(n: Column, total: Column, kept: Column) -> Column:
-    """1 + floor(UNIT * (n + 2) / (total + 2 * kept)), in decimals wide enough for any count."""
+    """1 + floor(UNIT * (n + 2) / (total + 2 * kept)), in decimals wide enough for any count where a long is not."""
     over = F.lit(UNIT).cast("decimal(10,0)") * (n + 2).cast("decimal(20,0)")
-    return 1 + F.call_function("div", over, (total + 2 * kept).cast("decimal(20,0)"))
+    wide = F.call_function("div", over, (total + 2 * kept).cast("decimal(20,0)"))
+    narrow = F.call_function("div", F.lit(UNIT).cast("long") * (n + 2), total + 2 * kept)
+    return 1 + F.when(n <= LONG_COUNT, narrow).otherwise(wide)
 
 
 def distance(p: Column, q: Column) -> Column:

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from logloom.llm import divergence as D
 from logloom.llm.transducer import Transducer
@@ -108,3 +109,13 @@ def test_as_few_states_as_there_are_endings():
     assert len(Transducer.build(words).final) == len(endings)
     with pytest.raises(ValueError):
         Transducer.build([b"b", b"a"])
+
+
+def test_shares_in_longs_and_beyond(spark):
+    """Counts whose product fits a long are not divided as decimals."""
+    edge = D.LONG_COUNT
+    counts = [(n, whole, kept) for n in (0, 7, edge, edge + 1, 1 << 40) for whole, kept in ((n, 1), (n + 12345, 678), (1 << 45, 5))]
+    rows = spark.createDataFrame(counts, "n long, total long, kept long")
+    got = rows.select("*", D.share(F.col("n"), F.col("total"), F.col("kept")).alias("p"))
+    assert dict(got.dtypes)["p"] == "bigint"
+    assert all(r.p == 1 + 10**9 * (r.n + 2) // (r.total + 2 * r.kept) for r in got.collect())
