@@ -47,12 +47,21 @@ class Patterns:
     def pattern(self) -> DataFrame:
         return self._annotated(self.assigned)
 
+    @cached_property
+    def chosen(self) -> DataFrame:
+        """``seq`` and ``rank`` of the sampled records."""
+        return stage_all(chosen=C.sample_per_cluster(
+            self.clustered, self.centroids, self.n_per_cluster).select("seq", "rank"))["chosen"]
+
     @cached_property
     def sample(self) -> DataFrame:
         """Only the chosen rows are annotated."""
-        chosen = stage_all(chosen=C.sample_per_cluster(
-            self.clustered, self.centroids, self.n_per_cluster).select("seq", "rank"))["chosen"]
-        return self._annotated(self.assigned.drop("embedding").join(chosen, "seq"))
+        return self._annotated(self.assigned.drop("embedding").join(self.chosen, "seq"))
+
+    def sample_of(self, pattern: DataFrame) -> DataFrame:
+        """The same from the annotated records, once these are saved: they are
+        joined with the chosen rows and not with labels and flags again."""
+        return pattern.drop("embedding").join(self.chosen, "seq")
 
     @cached_property
     def summary(self) -> DataFrame:

@@ -17,7 +17,8 @@ def rebuild(records: DataFrame, path: str, backend: str = "hash", clusters: str
     the four variants, the level and os_source splits with vectors of their
     own, the summary, and the records as JSON lines with and without ``text``.
 
-    The vectors are saved first and every later step reads them from there.
+    The vectors are saved first and every later step reads them from there;
+    the sample is taken from the saved pattern. JSON lines are gzipped.
     """
     spark = records.sparkSession
     filled = records.withColumn("text", fill_text())
@@ -26,12 +27,15 @@ def rebuild(records: DataFrame, path: str, backend: str = "hash", clusters: str
     found = detect_patterns(vectors, clusters, k, burst_window_secs=burst_window_secs,
                             burst_threshold=burst_threshold, starts=starts)
     plain = vectors.drop("embedding")
-    save_variants({"original": plain, "pattern": found.pattern, "sample": found.sample}, path, mode=mode)
+    written = save_variants({"original": plain, "pattern": found.pattern}, path, mode=mode)
+    # a mode that leaves or adds to earlier files says nothing about these rows
+    fresh = "pattern" in written and mode in ("errorifexists", "error", "overwrite")
+    save_variants({"sample": found.sample_of(load_variant(spark, path, "pattern")) if fresh else found.sample}, path, mode=mode)
     found.summary.write.mode(mode).parquet(f"{path}/summary")
     for field in ("level", "os_source"):
         # hash vectors are the same in every split; others are fitted inside it
         own = vectors if backend != "tfidf" else vectorize_per_split(plain, field, backend)
         write_split(own, f"{path}/by_{field}", field, mode=mode)
-    save_records(plain, f"{path}/jsonl", with_text=False, mode=mode)
-    save_records(plain, f"{path}/jsonl_text", with_text=True, mode=mode)
+    save_records(plain, f"{path}/jsonl", with_text=False, mode=mode, compression="gzip")
+    save_records(plain, f"{path}/jsonl_text", with_text=True, mode=mode, compression="gzip")
     return found

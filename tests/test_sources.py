@@ -7,6 +7,7 @@ from logloom.sources.files import read_lines
 from logloom.sources.journald import collect_linux
 from logloom.sources.syslog import dedup_raw, ingest_syslog_files, parse_syslog, union_sources
 from logloom.sources.windows import ingest_windows_events
+from logloom.registry import inputs as I
 from logloom.sources.tables import load_jsonl, load_variant, save_records, save_variants, write_split
 
 
@@ -130,3 +131,31 @@ def test_nothing_is_cut_by_default(spark, tmp_path):
     capped = ingest_windows_events(events, max_events=2_500).groupBy("os_source").agg(
         F.count("*").alias("n"), F.min("seq").alias("first")).collect()
     assert {(r["os_source"], r["n"], r["first"]) for r in capped} == {("Setup", 2_500, 1_500), ("System", 2_500, 5_251)}
+
+
+def test_a_split_of_large_files_is_written_without_a_shuffle(spark, tmp_path, monkeypatch):
+    from logloom.sources import tables
+    rows = spark.range(0, 800, 1, 8).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 2 == 0, "ERROR").otherwise("INFO").alias("level"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    pieces = rows.rdd.getNumPartitions()
+    for least, files in ((50 if pieces == 8 else 1, pieces), (1000, 1)):   # files of 50 rows are large, or small
+        monkeypatch.setattr(tables, "FILE_ROWS", least)
+        path = tmp_path / f"s{least}"
+        write_split(rows, str(path), "level")
+        assert [len(list((path / f"split={v}").glob("*.parquet"))) for v in ("error", "info")] == [files, files]
+        assert spark.read.parquet(str(path)).where("split = lower(level)").select("id").distinct().count() == 800
+
+
+def test_a_rebuild_takes_its_sample_from_the_saved_pattern(spark, tmp_path):
+    from logloom.plans.rebuild import rebuild
+    path = str(tmp_path / "all")
+    found = rebuild(I.t_log(spark, "/root/testdata/sf0.001"), path, clusters="group")
+    names = ["seq", "rank", "message", "cluster_id", "pattern_label", "is_burst", "is_escalation_source", "is_repeat_offender"]
+    saved = spark.read.parquet(f"{path}/sample")
+    assert "embedding" not in saved.columns and set(saved.columns) == set(found.sample.columns)
+    assert sorted(saved.select(*names).collect()) == sorted(found.sample.select(*names).collect()) != []
+    for name in ("jsonl", "jsonl_text"):
+        files = list((tmp_path / "all" / name).glob("part-*"))
+        assert files and all(f.name.endswith(".json.gz") for f in files)
+        assert load_jsonl(spark, f"{path}/{name}").count() == 1000
