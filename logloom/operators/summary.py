@@ -57,10 +57,13 @@ def consultation_overview(records: DataFrame, patterns: DataFrame | None = None)
     return row.withColumn("patterns", patterns.agg(F.count("*")).scalar())
 
 
-def error_template_ratio(records: DataFrame) -> DataFrame:
-    """Critical rows against their distinct templates, per dataset."""
-    narrow = filter_critical(records).select("dataset", "source", "level", "message", "seq")
-    return (condense_template(narrow, ("dataset",)).groupBy("dataset")
+def error_template_ratio(records: DataFrame, condensed: DataFrame | None = None) -> DataFrame:
+    """Critical rows against their distinct templates, per dataset. Give the
+    critical rows ``condensed`` per dataset where they are at hand."""
+    if condensed is None:
+        narrow = filter_critical(records).select("dataset", "source", "level", "message", "seq")
+        condensed = condense_template(narrow, ("dataset",))
+    return (condensed.groupBy("dataset")
             .agg(F.sum("count").alias("error_records"), F.count("*").alias("unique_templates")))
 
 

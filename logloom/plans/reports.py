@@ -10,6 +10,10 @@ from ..operators.condense import condense_template
 from ..operators.filters import filter_critical, last_critical
 from ..operators.order import numbered, ranked_in_group, top_in_group
 from ..operators.summary import consultation_overview, error_template_ratio
+from ..session import stage
+
+# Columns of a record that a condensed line shows, or that place it.
+SHOWN = ["seq", "timestamp", "os_source", "source", "level", "message", "dataset"]
 
 
 def _ranked(df: DataFrame, n: int | None, *order: Column) -> DataFrame:
@@ -80,12 +84,13 @@ def _blocks(condensed: DataFrame, section: str, heading: DataFrame, max_records:
     or the leading ones, and a closing line where more were left out."""
     dataset = F.col("dataset").alias("ord")
     order = [F.col("count").desc(), F.col("seq")]
+    # ranks move the line and what orders it, no other column
+    lines = condensed.select("dataset", "count", "seq", record_line("    ").alias("line"))
     if max_records is None:
-        top = ranked_in_group(condensed, ["dataset"], order)
+        top = ranked_in_group(lines, ["dataset"], order)
     else:
-        top = top_in_group(condensed, ["dataset"], order, max_records)
-    rows = top.select(F.lit(section).alias("section"), dataset, F.col("rank").alias("part"),
-                      record_line("    ").alias("line"))
+        top = top_in_group(lines, ["dataset"], order, max_records)
+    rows = top.select(F.lit(section).alias("section"), dataset, F.col("rank").alias("part"), "line")
     if max_records is None:
         return heading.unionByName(rows)
     sizes = condensed.groupBy("dataset").agg((F.count("*") - max_records).alias("more")).where("more > 0")
@@ -112,12 +117,13 @@ def consultation_report(records: DataFrame, summary: DataFrame, sample: DataFram
         F.lit("patterns").alias("section"), place.alias("ord"),
         F.posexplode(F.array(pattern_line(False), _described())).alias("part", "line"))
 
-    errors = condense_template(filter_critical(records), ("dataset",))
-    error_heading = error_template_ratio(records).select(
+    errors = stage(condense_template(filter_critical(records).select(*SHOWN), ("dataset",)), "errors")
+    error_heading = error_template_ratio(records, errors).select(
         F.lit("errors").alias("section"), F.col("dataset").alias("ord"), F.lit(0).alias("part"),
         F.concat(F.lit("  Dataset: "), F.col("dataset"), F.lit(" ("), F.col("error_records").cast("string"),
                  F.lit(" error records -> "), F.col("unique_templates").cast("string"),
                  F.lit(" unique templates)")).alias("line"))
+    sample = stage(sample.select(*SHOWN), "sample")   # read three times
     samples = condense_template(sample, ("dataset",))
     sample_heading = sample.select("dataset").distinct().select(
         F.lit("samples").alias("section"), F.col("dataset").alias("ord"), F.lit(0).alias("part"),

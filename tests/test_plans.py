@@ -77,3 +77,27 @@ def test_only_measured_tables_are_broadcast(spark, monkeypatch):
                 assert df.count() == 1000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_whole_report_moves_lines_and_not_records(spark, monkeypatch):
+    """Ranks stage a line and what orders it; templates are counted once."""
+    from logloom.operators import order
+    from logloom.plans import reports
+    staged, masked = [], []
+
+    def spy(df, name="stage"):
+        staged.append(df.columns)
+        return real(df, name)
+
+    def counted(records, *a, **k):
+        masked.append(records.columns)
+        return condense(records, *a, **k)
+
+    real, condense = order.stage, reports.condense_template
+    monkeypatch.setattr(order, "stage", spy)
+    monkeypatch.setattr(reports, "condense_template", counted)
+    monkeypatch.setattr("logloom.operators.summary.condense_template", counted)
+    QUERIES["consultation_report_whole"](spark, SF)
+    ranges = [c for c in staged if "__at" in c]
+    assert len(ranges) == 2 and all(set(c) == {"dataset", "count", "seq", "line", "__at"} for c in ranges)
+    assert len(masked) == 2 and all("raw" not in c and "text" not in c for c in masked)
