@@ -17,6 +17,8 @@ from .order import top_in_group
 COUNTERS = 1 << 18
 # Counters of all splits that a task holds before it hands them on.
 HELD = 1 << 20
+# Terms of the texts that a task counts or weighs in one go.
+TERMS_PER_STEP = 1 << 17
 SUMMARY = "split string, term string, total long, df long"
 
 
@@ -25,6 +27,17 @@ def list_ends(lists: pa.ListArray) -> np.ndarray:
     return np.r_[0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64))]
 
 
+def in_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in pieces of at most TERMS_PER_STEP terms, or of
+    one row: what a task holds beside its counters does not follow the texts' lengths."""
+    for batch in batches:
+        ends, first = list_ends(batch.column("terms")), 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + TERMS_PER_STEP, "right")) - 1)
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def batch_counts(split: pa.Array, terms: pa.ListArray) -> Iterator[tuple[str | None, list[str], np.ndarray, np.ndarray]]:
     """Per split of a batch: its distinct terms, their occurrences and the texts they are in."""
     sizes = np.diff(list_ends(terms))
@@ -84,7 +97,7 @@ def _summaries(counters: int | None):
                     names=["split", "term", "total", "df"])
             held.clear()
 
-        for batch in batches:
+        for batch in in_steps(batches):
             for split, *counts in batch_counts(batch.column("split"), batch.column("terms")):
                 held.setdefault(split, Summary()).add(*counts, counters)
             if sum(len(s.total) for s in held.values()) > HELD:
@@ -99,7 +112,7 @@ def _recount(candidates):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = {split: set(terms) for split, terms in candidates.value.items()}
         held = {split: Summary() for split in wanted}
-        for batch in batches:
+        for batch in in_steps(batches):
             for split, terms, total, df in batch_counts(batch.column("split"), batch.column("terms")):
                 listed = np.fromiter((t in wanted.get(split, ()) for t in terms), bool, len(terms))
                 if listed.any():

@@ -16,7 +16,7 @@ from ..functions.records import embedding_input_text
 from ..functions.templates import ngram_terms
 from ..functions.vectors import hash_embedding, norm, run_lengths
 from ..session import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, stage
-from .heavy import list_ends, top_terms
+from .heavy import in_steps, list_ends, top_terms
 from .order import explode_once
 
 # A text is a unit vector before projection; what is left of it below this
@@ -131,7 +131,7 @@ def _weigher(sent, key: str):
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(sent.value)
         names = {split: pa.array([term for term, _ in words], pa.string()) for split, words in sent.value.items()}
-        for batch in batches:
+        for batch in in_steps(batches):
             for own, rows, ends, slot, weight in weights.of(batch.column("split"), batch.column("terms")):
                 if len(rows):
                     values = (names[own].take(pa.array(slot)), pa.array(slot.astype(np.int32)), pa.array(weight))

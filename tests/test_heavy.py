@@ -82,3 +82,19 @@ def test_no_term_of_a_text_is_shuffled(spark):
     df = spark.createDataFrame([(i, f"user {i} logs in from host {i % 7}") for i in range(50)], "seq long, text string")
     plan = VZ.tfidf(df, text=F.col("text"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_batches_are_counted_in_steps_of_bounded_terms(monkeypatch):
+    import pyarrow as pa
+    from logloom.operators import heavy
+    monkeypatch.setattr(heavy, "TERMS_PER_STEP", 10)
+    lists = [["a"] * 4, ["b"] * 4, None, [], ["c"] * 25, ["a", "b"], ["d"] * 10, []]
+    batch = pa.RecordBatch.from_pydict({"split": pa.array(["x", "y"] * 4), "terms": pa.array(lists, pa.list_(pa.string()))})
+    met = []
+    real = heavy.batch_counts
+    monkeypatch.setattr(heavy, "batch_counts", lambda split, terms: met.append(terms.to_pylist()) or real(split, terms))
+    rows = [r for b in heavy._summaries(None)(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+    assert [t for step in met for t in step] == lists
+    assert all(len(step) == 1 or sum(len(t or []) for t in step) <= 10 for step in met)
+    counted = {(r["split"], r["term"]): (r["total"], r["df"]) for r in rows if r["term"]}
+    assert counted == {("x", "a"): (4, 1), ("y", "b"): (5, 2), ("x", "c"): (25, 1), ("y", "a"): (1, 1), ("x", "d"): (10, 1)}
