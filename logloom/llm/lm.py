@@ -41,6 +41,10 @@ RATE = 0.02
 # Distinct words a task counts before it sends them on.
 COUNTED = 300_000
 CHUNK = 8192
+# Rows of the output layer worked on together, so that their logits stay in the cache of a core.
+ROWS = 1024
+# Rows of one input word that are added one after another; more are added at once.
+FEW = 8
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -99,6 +103,16 @@ class Vocabulary:
         return len(self.head) + tail_class(word) if k is None else k
 
 
+class Places(dict):
+    """The places of known words; -1, -2 ... is the tail class of any other."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1 - zlib.crc32(word[-2:]) % TAILS
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """Bounded tables of a staged word count."""
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -185,9 +199,17 @@ class Network:
     def step(self, x: np.ndarray, h: np.ndarray):
         k = self.h
         g = h @ self.U
-        zr = 1 / (1 + np.exp(-(x[:, :2 * k] + g[:, :2 * k])))
-        n = np.tanh(x[:, 2 * k:] + zr[:, k:] * g[:, 2 * k:])
-        return n + zr[:, :k] * (h - n), zr, n, g
+        zr = x[:, :2 * k] + g[:, :2 * k]
+        np.exp(np.negative(zr, out=zr), out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        n = zr[:, k:] * g[:, 2 * k:]
+        n += x[:, 2 * k:]
+        np.tanh(n, out=n)
+        after = h - n
+        after *= zr[:, :k]
+        after += n
+        return after, zr, n, g
 
     def targets(self, code: np.ndarray) -> np.ndarray:
         return np.where(code < self.n_head, self.class_of[np.minimum(code, self.n_head - 1)],
@@ -195,87 +217,134 @@ class Network:
 
     def log_probs(self, states: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Natural log of each token's class and, for head words, of the word in it."""
-        logits = states @ self.C + self.c
-        target = self.targets(code)
-        rows = np.arange(len(code))
-        np.clip(logits, -60, 60, out=logits)
-        out = logits[rows, target].astype(np.float64)
-        out -= np.log(np.exp(logits, out=logits).sum(axis=1))
-        for at, a, b in self.by_class(code, target):
-            if b - a > 1:
-                inner = states[at] @ self.W[a:b].T + self.w[a:b]
-                np.clip(inner, -60, 60, out=inner)
-                own = inner[np.arange(len(at)), code[at] - a].astype(np.float64)
-                out[at] += own - np.log(np.exp(inner, out=inner).sum(axis=1))
+        target, order, spans = self.by_class(code)
+        code, s = code[order], states[order]
+        found = np.empty(len(code))
+        for a in range(0, len(code), ROWS):
+            own = target[a:a + ROWS]
+            found[a:a + ROWS] = _own_log(_logits(s[a:a + ROWS], self.C, self.c), own)
+        for a, b, lo, hi in spans:
+            found[a:b] += _own_log(_logits(s[a:b], self.W[lo:hi].T, self.w[lo:hi]), code[a:b] - lo)
+        out = np.empty(len(code))
+        out[order] = found
         return out
 
-    def by_class(self, code: np.ndarray, target: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
-        """Places of the tokens of every head class, and the class's words."""
+    def by_class(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+        """(sorted classes of the tokens, their places in this order, spans of
+        at most ROWS tokens of one head class: first, last, the class's words)."""
+        target = self.targets(code).astype(np.min_scalar_type(self.n_classes + TAILS))
         order = np.argsort(target, kind="stable")
-        cut = np.searchsorted(target[order], np.arange(self.n_classes + 1))
-        for k in range(self.n_classes):
-            if cut[k + 1] > cut[k]:
-                yield order[cut[k]:cut[k + 1]], int(self.vocab.starts[k]), int(self.vocab.starts[k + 1])
+        target = target[order]
+        cut = np.searchsorted(target, np.arange(self.n_classes + 1))
+        starts = self.vocab.starts
+        spans = [(a, min(a + ROWS, int(cut[k + 1])), int(starts[k]), int(starts[k + 1]))
+                 for k in range(self.n_classes) if starts[k + 1] - starts[k] > 1
+                 for a in range(int(cut[k]), int(cut[k + 1]), ROWS)]
+        return target, order, spans
 
     def gradient(self, given: np.ndarray, code: np.ndarray, keep: np.ndarray, mask: np.ndarray, h: np.ndarray):
         """(gradient of the mean loss, state after the window): the loss runs
         back through this window only, the state goes on into the next."""
-        steps, k = len(given), self.h
-        before, gates, news, inner = [], [], [], []
-        states = []
+        steps, width, k = *given.shape, self.h
+        kind = self.theta.dtype
+        before = np.empty((steps, width, k), kind)
+        states = np.empty_like(before)
+        gates, news, inner = [], [], []
         for t in range(steps):
-            h = h * keep[t][:, None]
-            before.append(h)
-            h, zr, n, g = self.step(self.X[given[t]], h)
+            h = np.multiply(h, keep[t][:, None], out=before[t])
+            states[t], zr, n, g = self.step(self.X[given[t]], h)
+            h = states[t]
             gates.append(zr)
             news.append(n)
             inner.append(g[:, 2 * k:])
-            states.append(h)
         flat = np.zeros_like(self.theta)
         grad = self.views(flat)
         on = np.flatnonzero(mask.ravel())
-        s, y = np.concatenate(states)[on], code.ravel()[on]
-        rows, scale = np.arange(len(on)), np.float32(1 / max(len(on), 1))
-        target = self.targets(y)
-        p = np.exp(np.clip(s @ self.C + self.c, -60, 60))
-        p /= p.sum(axis=1, keepdims=True)
-        p[rows, target] -= 1
-        p *= scale
-        grad["C"][:] = s.T @ p
-        grad["c"][:] = p.sum(axis=0)
-        ds = p @ self.C.T
-        for at, a, b in self.by_class(y, target):
-            if b - a > 1:
-                q = np.exp(np.clip(s[at] @ self.W[a:b].T + self.w[a:b], -60, 60))
-                q /= q.sum(axis=1, keepdims=True)
-                q[np.arange(len(at)), y[at] - a] -= 1
-                q *= scale
-                grad["W"][a:b] = q.T @ s[at]
-                grad["w"][a:b] = q.sum(axis=0)
-                ds[at] += q @ self.W[a:b]
-        back = np.zeros((steps * given.shape[1], k), np.float32)
+        scale = kind.type(1 / max(len(on), 1))
+        target, order, spans = self.by_class(code.ravel()[on])
+        on = on[order]
+        s, y = states.reshape(-1, k)[on], code.ravel()[on]
+        ds = np.empty_like(s)
+        for a in range(0, len(on), ROWS):
+            part = s[a:a + ROWS]
+            p = _excess(_logits(part, self.C, self.c), target[a:a + ROWS], scale)
+            grad["C"] += part.T @ p
+            grad["c"] += p.sum(axis=0)
+            np.matmul(p, self.C.T, out=ds[a:a + ROWS])
+        for a, b, lo, hi in spans:
+            q = _excess(_logits(s[a:b], self.W[lo:hi].T, self.w[lo:hi]), y[a:b] - lo, scale)
+            grad["W"][lo:hi] += q.T @ s[a:b]
+            grad["w"][lo:hi] += q.sum(axis=0)
+            ds[a:b] += q @ self.W[lo:hi]
+        back = np.zeros((steps * width, k), kind)
         back[on] = ds
-        back = back.reshape(steps, -1, k)
-        dx = np.empty((steps, given.shape[1], 3 * k), np.float32)
-        dg = np.empty_like(dx)
+        back = back.reshape(steps, width, k)
+        dx = np.empty((steps, width, 3 * k), kind)
         after = np.zeros_like(h)
+        dg = np.empty((width, 3 * k), kind)
         for t in range(steps - 1, -1, -1):
             z, r, n = gates[t][:, :k], gates[t][:, k:], news[t]
-            d = back[t] + after
-            dz = d * (before[t] - n) * z * (1 - z)
-            dn = d * (1 - z) * (1 - n * n)
-            dr = dn * inner[t] * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, dn], axis=1)
-            dg[t] = np.concatenate([dz, dr, dn * r], axis=1)
-            after = (d * z + dg[t] @ self.U.T) * keep[t][:, None]
-        grad["U"][:] = np.concatenate(before).T @ dg.reshape(-1, 3 * k)
-        order = np.argsort(given, axis=None, kind="stable")
-        codes = given.ravel()[order]
-        first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        grad["X"][codes[first]] = np.add.reduceat(dx.reshape(-1, 3 * k)[order], first, axis=0)
+            d = back[t]
+            d += after
+            after = z * d
+            dn = d - after
+            dz = before[t] - n
+            dz *= after
+            np.multiply(dz, 1 - z, out=dg[:, :k])
+            n *= n
+            dn *= np.subtract(1, n, out=n)
+            dx[t, :, 2 * k:] = dn
+            dn *= r
+            dg[:, 2 * k:] = dn
+            dn *= inner[t]
+            np.multiply(dn, np.subtract(1, r, out=r), out=dg[:, k:2 * k])
+            dx[t, :, :2 * k] = dg[:, :2 * k]
+            grad["U"] += before[t].T @ dg
+            after += dg @ self.U.T
+            after *= keep[t][:, None]
+        _add_rows(grad["X"], given.ravel(), dx.reshape(-1, 3 * k))
         return flat, h
 
 
+def _logits(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    out = states @ weights
+    out += bias
+    return np.clip(out, -60, 60, out=out)
+
+
+def _own_log(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Natural log probability of one outcome in each row; the logits are overwritten."""
+    out = logits[np.arange(len(own)), own].astype(np.float64)
+    out -= np.log(_row_sums(np.exp(logits, out=logits)))
+    return out
+
+
+def _row_sums(rows: np.ndarray) -> np.ndarray:
+    return rows @ np.ones(rows.shape[1], rows.dtype)
+
+
+def _excess(logits: np.ndarray, own: np.ndarray, scale) -> np.ndarray:
+    """Gradient of the loss by the logits, which are overwritten."""
+    p = np.exp(logits, out=logits)
+    p *= (scale / _row_sums(p))[:, None]
+    p[np.arange(len(own)), own] -= scale
+    return p
+
+
+def _add_rows(out: np.ndarray, place: np.ndarray, rows: np.ndarray) -> None:
+    """Add every row to the row of ``out`` that it has its place in."""
+    place = place.astype(np.min_scalar_type(len(out)))
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    size = np.diff(np.r_[first, len(place)])
+    for i in np.flatnonzero(size > FEW):
+        out[place[first[i]]] += rows[order[first[i]:first[i] + size[i]]].sum(axis=0)
+    for j in range(FEW):
+        at = first[(size > j) & (size <= FEW)]
+        out[place[at]] += rows[order[at + j]]
+
+
 class Streams:
     """Documents laid end to end in streams of nearly equal length, read side by side."""
 
@@ -333,7 +402,8 @@ def score_documents(net: Network, docs: list[np.ndarray]) -> np.ndarray:
 
 
 class Moments:
-    """What Adam carries from window to window, and from one call of ``train`` to the next."""
+    """What Adam carries from window to window, and from one call of ``train``
+    to the next: decayed sums of gradients and of their squares."""
 
     def __init__(self, net: Network):
         self.m, self.v, self.k = np.zeros_like(net.theta), np.zeros_like(net.theta), 0
@@ -358,14 +428,14 @@ def train(net: Network, docs: list[np.ndarray], rate: float = RATE, moments: Mom
             g /= norm
         k += 1
         m *= 0.9
-        m += np.multiply(g, 0.1, out=step)
+        m += g
         v *= 0.99
-        v += np.multiply(np.multiply(g, g, out=g), 0.01, out=step)
-        np.sqrt(np.multiply(v, 1 / (1 - 0.99 ** k), out=step), out=step)
+        v += np.multiply(g, g, out=g)
+        np.sqrt(np.multiply(v, 0.01 / (1 - 0.99 ** k), out=step), out=step)
         step += 1e-6
         np.divide(m, step, out=step)
         full = min(1.0, mask.sum() / FULL_TOKENS)
-        net.theta -= np.multiply(step, rate * full / (1 - 0.9 ** k), out=step)
+        net.theta -= np.multiply(step, 0.1 * rate * full / (1 - 0.9 ** k), out=step)
     moments.k = k
     return int(streams.length.sum())
 
@@ -393,10 +463,11 @@ def fit(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, held: int = LE
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = sent_vocab.value
             net = Network(own, sent.value.copy())
-            moments, texts, size, n = Moments(net), [], 0, 0
+            heads, moments, texts, size, n = Places(own.ids), Moments(net), [], 0, 0
             for batch in batches:
                 for t in batch.column(0):
-                    texts.append(np.array([own.code(w) for w in [*tokens_of(t.as_py()), END]], dtype=np.int32))
+                    place = heads.of([*tokens_of(t.as_py()), END])
+                    texts.append(np.where(place < 0, net.n_head - 1 - place, place))
                     size += len(texts[-1])
                     if size >= held:
                         n += train(net, texts, moments=moments)
@@ -445,13 +516,15 @@ def _score(sent, kind: pa.DataType):
         vocab, theta = sent.value
         net = Network(vocab, theta)
         n_head = len(vocab.head)
-        logs = {w: math.log10(c + 1) for w, c in vocab.counts.items()}
-        cache: dict[bytes, tuple[int, float | None]] = {w: (i, None) for w, i in vocab.ids.items()}
-        for w, x in logs.items():
-            if w not in vocab.ids:
-                cache[w] = (n_head + tail_class(w), x)
-        fixed = len(cache)
-        head_log = np.log10(vocab.head + 1)
+        # head words, then the others whose counts are here, then the tail classes from the last to the first
+        others = [w for w in vocab.counts if w not in vocab.ids]
+        places = Places(vocab.ids)
+        places.update(zip(others, range(n_head, n_head + len(others))))
+        tails = np.array([tail_class(w) for w in others], dtype=np.int64)
+        logs = np.log10(np.array([vocab.counts[w] for w in others], dtype=np.float64) + 1)
+        code_of = np.r_[:n_head, n_head + tails, n_head + np.arange(TAILS)[::-1]].astype(np.int32)
+        base_of = np.r_[np.log10(vocab.head + 1), logs, np.zeros(TAILS)]
+        extra_of = np.r_[np.zeros(n_head), logs - vocab.tail_log[tails], -vocab.tail_log[::-1]]
         held: list[tuple] = []
         tokens = 0
 
@@ -488,26 +561,12 @@ def _score(sent, kind: pa.DataType):
             for row, key, out, text in zip(*[batch.column(c).to_pylist() for c in ("rid", "id", "held_out", "text")]):
                 words = tokens_of(text)
                 words.append(END)
-                codes = np.empty(len(words), dtype=np.int32)
-                unknown: Counter = Counter()
-                middle = 0.0
-                n_middle = 0
-                for i, w in enumerate(words):
-                    found = cache.get(w)
-                    if found is None:
-                        codes[i] = n_head + tail_class(w)
-                        unknown[w] += 1
-                    else:
-                        codes[i] = found[0]
-                        if found[1] is not None:
-                            middle += found[1]
-                            n_middle += 1
-                head = codes < n_head
-                n_unknown = len(words) - int(head.sum()) - n_middle
-                partial = middle + float(head_log[codes[head]].sum())
-                extra = middle - float(vocab.tail_log[codes[~head] - n_head].sum())
+                place = places.of(words)
+                away = np.flatnonzero(place < 0)
+                codes, unknown = code_of[place], Counter(map(words.__getitem__, away.tolist()))
+                partial, extra = float(base_of[place].sum()), float(extra_of[place].sum())
                 empty_end = int(vocab.counts.get(END, 0) == 0)  # without training documents the end is unknown
-                held.append((row, key, codes, out, len(words) - n_unknown - empty_end, partial, extra, unknown))
+                held.append((row, key, codes, out, len(words) - len(away) - empty_end, partial, extra, unknown))
                 tokens += len(words)
             if tokens >= HELD_TOKENS:
                 yield flush()

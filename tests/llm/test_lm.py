@@ -67,6 +67,48 @@ def test_scores_carry_the_state_and_sum_to_one(vocab):
         assert s == pytest.approx(total, abs=2e-3)
 
 
+def test_the_output_layer_works_on_few_rows_at_once(vocab, monkeypatch):
+    rng = np.random.default_rng(6)
+    docs, sizes, exp = codes(rng, 600, 20, 80), [], np.exp
+
+    def seen(x, *args, **named):
+        sizes.append(np.size(x))
+        return exp(x, *args, **named)
+
+    monkeypatch.setattr(np, "exp", seen)
+    net = lm.Network(vocab)
+    lm.train(net, docs)
+    lm.score_documents(net, docs)
+    assert max(sizes) <= 1024 * (net.n_classes + lm.TAILS)
+
+
+def test_gradient_and_scores_do_not_depend_on_blocks(vocab, monkeypatch):
+    rng = np.random.default_rng(7)
+    net, docs = lm.Network(vocab), codes(rng, 30, 1, 60)
+    net.theta += rng.normal(0, 0.2, len(net.theta)).astype(np.float32)
+    streams = lm.Streams(docs, 8, vocab.inputs - 1)
+    place, mask = next(iter(streams.windows(32)))
+    keep, h = (~streams.begins[place]).astype(np.float32), np.zeros((place.shape[1], net.h), np.float32)
+
+    def both():
+        return net.gradient(streams.given[place], streams.code[place], keep, mask, h)[0], lm.score_documents(net, docs)
+
+    g, s = both()
+    for rows, few in ((7, 1), (1, 1000)):
+        monkeypatch.setattr(lm, "ROWS", rows)
+        monkeypatch.setattr(lm, "FEW", few)
+        for got, want in zip(both(), (g, s)):
+            assert np.allclose(got, want, rtol=1e-4, atol=1e-6)
+
+
+def test_places_give_the_codes_of_words():
+    head = np.array([3.0, 2.0])
+    v = lm.Vocabulary({}, {b"a": 0, lm.END: 1}, head, np.array([0, 1, 2]), np.ones(lm.TAILS), np.zeros(lm.TAILS), 5, 2)
+    some = [b"a", lm.END, b"b", b"xy", b"\xc3\xa9", b"long-word"]
+    got = lm.Places(v.ids).of(some)
+    assert np.where(got < 0, len(head) - 1 - got, got).tolist() == [v.code(w) for w in some]
+
+
 def test_training_lowers_the_loss(vocab):
     rng = np.random.default_rng(3)
     docs = [np.tile([1, 5, 9, 12], rng.integers(3, 9)).astype(np.int32) for _ in range(3000)]
