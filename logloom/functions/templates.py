@@ -28,10 +28,13 @@ def message_tokens(message) -> Column:
     return F.filter(bare, lambda w: (F.length(w) > 2) & ~w.isin(S.STOPWORDS))
 
 
+# Fixed value: a term of one word.
+WORD = r"(?U)(\b\w\w+\b)"
+
+
 def ngram_terms(text) -> Column:
     """Lower-cased terms of two or more word characters, and their pairs."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(col(text), F.lit(""))),
-                                 F.lit(r"(?U)(\b\w\w+\b)"), F.lit(1))
+    found = F.regexp_extract_all(F.lower(F.coalesce(col(text), F.lit(""))), F.lit(WORD), F.lit(1))
 
     # neighbours are read from two shifted copies, so a pair costs constant time
     def with_pairs(ts):

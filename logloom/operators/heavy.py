@@ -130,10 +130,11 @@ def _sums(rows: DataFrame) -> DataFrame:
     return rows.groupBy("split", "term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
 
 
-def top_terms(rows: DataFrame, most: int, counters: int = COUNTERS) -> DataFrame:
+def top_terms(rows: DataFrame, most: int, counters: int = COUNTERS, summaries=_summaries, recount=_recount) -> DataFrame:
     """(split, term, total, df, rank): the ``most`` most frequent terms of each split, ties in alphabetical order.
 
-    ``rows`` holds (split string, terms array<string>). Every task keeps a
+    ``rows`` holds (split string, terms array<string>), or what ``summaries``
+    and ``recount`` find terms in. Every task keeps a
     bounded summary of each split, and the summaries are added. A split whose
     summaries lost nothing is settled. Elsewhere a term that could be among
     the first has, with the possible error added, at least the count that the
@@ -141,7 +142,7 @@ def top_terms(rows: DataFrame, most: int, counters: int = COUNTERS) -> DataFrame
     only these candidates are counted again. Splits where it does not, and
     candidates too many to send, are counted in full.
     """
-    seen = stage(_sums(rows.mapInArrow(_summaries(counters), SUMMARY)), "summaries")
+    seen = stage(_sums(rows.mapInArrow(summaries(counters), SUMMARY)), "summaries")
     kept = seen.where("term IS NOT NULL")
     sure = top_in_group(kept.select("split", "total"), ["split"], [F.desc("total")], most)
     last = sure.groupBy("split").agg(F.max(F.when(F.col("rank") == most, F.col("total"))).alias("last"))
@@ -162,10 +163,10 @@ def top_terms(rows: DataFrame, most: int, counters: int = COUNTERS) -> DataFrame
         for r in asked.toLocalIterator():
             listed.setdefault(r[0], []).append(r[1])
         sent = rows.sparkSession.sparkContext.broadcast(listed)
-        exact.append(_sums(rows.mapInArrow(_recount(sent), SUMMARY)))
+        exact.append(_sums(rows.mapInArrow(recount(sent), SUMMARY)))
     if _too_large(size) or unsure:
         wide = rows.join(broadcast_if_small(full), F.col("split").eqNullSafe(F.col("__split")), "left_semi")
-        exact.append(_sums(wide.mapInArrow(_summaries(None), SUMMARY)).where("term IS NOT NULL"))
+        exact.append(_sums(wide.mapInArrow(summaries(None), SUMMARY)).where("term IS NOT NULL"))
     out = exact[0]
     for more in exact[1:]:
         out = out.unionByName(more)

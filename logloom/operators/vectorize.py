@@ -16,19 +16,22 @@ from ..functions.records import embedding_input_text
 from ..functions.templates import ngram_terms
 from ..functions.vectors import hash_embedding, norm, run_lengths
 from ..session import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, stage
-from .heavy import in_steps, list_ends, top_terms
+from .heavy import COUNTERS, list_ends, top_terms
+from .ngrams import Listed, Step, cut_wide, plain, recount, runs, spelled, steps, summaries
 from .order import explode_once
 
 # A text is a unit vector before projection; what is left of it below this
 # length is rounding error and stays the zero vector.
 ZERO_LENGTH = 1e-10
 # Sparse rows that a task multiplies in one go, as a dense matrix of the features they use.
-ROWS_PER_STEP = 64
+ROWS_PER_STEP = 32
 # Features whose sums travel together.
 BLOCK_FEATURES = 512
 # Random vectors of a sketch beyond those asked for, and the residual it may leave.
-SPARE = 64
+SPARE = 32
 TOLERANCE = 0.008
+# Rows of a split, about, that its first basis is taken from.
+SEEDED = 2048
 # Numbers of all bases that one group of splits may have.
 BASIS_NUMBERS = 8_000_000
 
@@ -36,8 +39,8 @@ BASIS_NUMBERS = 8_000_000
 def vocabulary(rows: DataFrame, max_features: int) -> DataFrame:
     """The most frequent terms of each split with their inverse document
     frequency; ties at the cut in alphabetical order. ``slot`` numbers them.
-    ``rows`` holds (split, terms)."""
-    kept = top_terms(rows.select("split", "terms"), max_features)
+    ``rows`` holds (split, text, wide), see ``spelled``."""
+    kept = top_terms(rows.select("split", "text", "wide"), max_features, COUNTERS, summaries, recount)
     sizes = rows.groupBy(F.col("split").alias("__split")).agg(F.count("*").alias("n"))
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
     return kept.join(sizes, F.col("split").eqNullSafe(F.col("__split"))).select(
@@ -45,30 +48,27 @@ def vocabulary(rows: DataFrame, max_features: int) -> DataFrame:
 
 
 def tfidf(records: DataFrame, key: str = "seq", text: Column | None = None,
-          split: Column | None = None, max_features: int = S.TFIDF_FEATURES) -> DataFrame:
+          split: Column | None = None, max_features: int = S.TFIDF_FEATURES, names: bool = True) -> DataFrame:
     """Sparse unit TF-IDF vectors of one and two word terms.
 
     One row per text with at least one kept term: ``split``, ``key``,
-    ``terms``, ``slots`` and ``weights``, ordered by slot. The vocabulary is
+    ``terms`` (left out without ``names``), ``slots`` and ``weights``, ordered by slot. The vocabulary is
     small by its parameter and goes to the tasks, which weigh each text where
     it is: no term of a text is shuffled. Only if the vocabularies of all
     splits together are too large to send are the terms joined with them.
     """
-    rows = term_lists(records, key, text, split)
+    rows = texts(records, key, text, split)
     vocab = stage(vocabulary(rows, max_features), "vocabulary")
     known = _sendable(vocab)
     if known is None:
-        return _weighed_by_join(rows, vocab, key)
-    sent = records.sparkSession.sparkContext.broadcast(known)
-    kind = records.schema[key].dataType.simpleString()
-    return rows.mapInArrow(_weigher(sent, key), f"split string, {key} {kind}, terms array<string>, slots array<int>, weights array<double>")
+        joined = _weighed_by_join(rows, vocab, key)
+        return joined if names else joined.drop("terms")
+    return _weighed(rows, known, key, names)
 
 
-def term_lists(records: DataFrame, key: str, text: Column | None, split: Column | None) -> DataFrame:
-    """(split, doc, terms) of every record."""
-    text = embedding_input_text() if text is None else text
-    return records.select((F.lit("") if split is None else split).cast("string").alias("split"),
-                          F.col(key).alias("doc"), ngram_terms(text).alias("terms"))
+def texts(records: DataFrame, key: str, text: Column | None, split: Column | None) -> DataFrame:
+    """(split, doc, text, wide) of every record, see ``spelled``."""
+    return spelled(F.lit("") if split is None else split, F.col(key), embedding_input_text() if text is None else text, records)
 
 
 def _sendable(vocab: DataFrame) -> dict[str | None, list[tuple]] | None:
@@ -83,7 +83,7 @@ def _sendable(vocab: DataFrame) -> dict[str | None, list[tuple]] | None:
 
 
 def _weighed_by_join(rows: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    counted = explode_once(rows.select("split", "doc", run_lengths("terms").alias("t")), "t")
+    counted = explode_once(rows.select("split", "doc", run_lengths(ngram_terms("text")).alias("t")), "t")
     terms = counted.select("split", "doc", F.col("t.value").alias("term"), F.col("t.n").alias("tf"))
     words = vocab.select(F.col("split").alias("__split"), F.col("term").alias("__term"), "slot", "idf")
     weight = (1 + F.log("tf")) * F.col("idf")
@@ -98,47 +98,42 @@ class Weights:
     """Vocabularies of several splits, as lists of (term, idf) in the order of slots."""
 
     def __init__(self, known: dict[str | None, list[tuple]]):
-        self.place = {split: {term: i for i, (term, _) in enumerate(words)} for split, words in known.items()}
+        self.listed = {split: Listed([term for term, _ in words]) for split, words in known.items()}
         self.idf = {split: np.array([x for _, x in words]) for split, words in known.items()}
 
-    def of(self, split: pa.Array, terms: pa.ListArray) -> Iterator[tuple[str | None, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Per split of a batch: its rows with kept terms, where each one's
+    def of(self, split: pa.Array, step: Step) -> Iterator[tuple[str | None, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per split of some texts: its rows with kept terms, where each one's
         entries end, and slots and unit weights of all entries."""
-        sizes = np.diff(list_ends(terms))
-        coded = terms.flatten().dictionary_encode()
-        code, row = coded.indices.to_numpy(), np.repeat(np.arange(len(split)), sizes)
-        named = split.dictionary_encode("encode")
-        group = named.indices.to_numpy()
-        for g, own in enumerate(named.dictionary.to_pylist()):
-            if own not in self.place:
+        names = plain(step.names)
+        for own, row, code in step.groups(split):
+            if own not in self.listed:
                 continue
-            place, idf, mine = self.place[own], self.idf[own], group[row] == g
-            used, inside = np.unique(code[mine], return_inverse=True)
-            slot_of = np.fromiter((place.get(t, -1) for t in coded.dictionary.take(pa.array(used)).to_pylist()), np.int64, len(used))
-            slot, at = slot_of[inside], row[mine]
-            at, slot = at[slot >= 0], slot[slot >= 0]
-            pair, tf = np.unique(at * len(idf) + slot, return_counts=True)
-            at, slot = pair // len(idf), pair % len(idf)
-            weight = (1 + np.log(tf)) * idf[slot]
+            at, slot, tf = self.listed[own].find(row, code, names)
+            weight = (1 + np.log(tf)) * self.idf[own][slot]
             weight /= np.sqrt(np.bincount(at, weight * weight))[at]
-            rows, counts = np.unique(at, return_counts=True)
-            yield own, rows, np.r_[0, np.cumsum(counts)], slot, weight
+            first, counts = runs(at)
+            yield own, step.rows[at[first]], np.r_[0, np.cumsum(counts)], slot, weight
 
 
-def _weigher(sent, key: str):
+def _weighed(rows: DataFrame, known: dict[str | None, list[tuple]], key: str, names: bool) -> DataFrame:
     """Weights of the kept terms of every text, inside the task."""
+    sent = rows.sparkSession.sparkContext.broadcast(known)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(sent.value)
-        names = {split: pa.array([term for term, _ in words], pa.string()) for split, words in sent.value.items()}
-        for batch in in_steps(batches):
-            for own, rows, ends, slot, weight in weights.of(batch.column("split"), batch.column("terms")):
-                if len(rows):
-                    values = (names[own].take(pa.array(slot)), pa.array(slot.astype(np.int32)), pa.array(weight))
-                    lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), v) for v in values]
-                    yield pa.RecordBatch.from_arrays([pa.array([own] * len(rows), pa.string()), batch.column("doc").take(pa.array(rows)), *lists],
-                                                     names=["split", key, "terms", "slots", "weights"])
-    return weigh
+        spelt = {split: pa.array([term for term, _ in words], pa.string()) for split, words in sent.value.items()} if names else {}
+        for batch in batches:
+            for step in steps(batch.column("text"), batch.column("wide")):
+                for own, found, ends, slot, weight in weights.of(batch.column("split"), step):
+                    if len(found):
+                        values = {"terms": spelt[own].take(pa.array(slot))} if names else {}
+                        values |= {"slots": pa.array(slot.astype(np.int32)), "weights": pa.array(weight)}
+                        lists = {name: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), v) for name, v in values.items()}
+                        yield pa.RecordBatch.from_pydict({"split": pa.array([own] * len(found), pa.string()),
+                                                          key: batch.column("doc").take(pa.array(found)), **lists})
+
+    kind = rows.schema["doc"].dataType.simpleString()
+    return rows.mapInArrow(weigh, f"split string, {key} {kind}, {'terms array<string>, ' if names else ''}slots array<int>, weights array<double>")
 
 
 def _project(basis: np.ndarray, ends: np.ndarray, slots: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -149,23 +144,24 @@ def _project(basis: np.ndarray, ends: np.ndarray, slots: np.ndarray, weights: np
         yield part, np.where(size < ZERO_LENGTH, 0.0, scores / np.maximum(size, ZERO_LENGTH))
 
 
-def _embedder(spark: SparkSession, known: dict, bases: dict, split: Column, terms: Column) -> Column:
+def _embedder(spark: SparkSession, known: dict, bases: dict, split: str, text: str, wide: str) -> Column:
     """Vectors of texts under fitted vocabularies and bases; zeros without a kept term."""
     sent = spark.sparkContext.broadcast((known, bases))
 
     @F.arrow_udf("array<double>")
-    def embed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def embed(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         weights, bases = Weights(sent.value[0]), sent.value[1]
-        for splits, texts in batches:
+        for splits, *spelt in batches:
             named = splits.dictionary_encode("encode")
             width = np.array([bases[g].shape[1] for g in named.dictionary.to_pylist()], np.int64)[named.indices.to_numpy()]
             ends = np.r_[0, np.cumsum(width)]
             flat = np.zeros(ends[-1])
-            for own, rows, entries, slot, weight in weights.of(splits, texts):
-                for part, vectors in _project(bases[own], entries, slot, weight, np.arange(len(rows))):
-                    flat[(ends[rows[part]][:, None] + np.arange(vectors.shape[1])).ravel()] = vectors.ravel()
+            for step in steps(*spelt):
+                for own, rows, entries, slot, weight in weights.of(splits, step):
+                    for part, vectors in _project(bases[own], entries, slot, weight, np.arange(len(rows))):
+                        flat[(ends[rows[part]][:, None] + np.arange(vectors.shape[1])).ravel()] = vectors.ravel()
             yield pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
-    return embed(split, terms)
+    return embed(split, text, wide)
 
 
 def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,9 +213,7 @@ def gram_times(rows: DataFrame, bases: dict[str | None, np.ndarray]) -> dict[str
             for split, own in _groups(batch.column("split")):
                 q = shared.value[split]
                 total = totals.setdefault(split, np.zeros_like(q))
-                own = own[ends[own + 1] > ends[own]]
-                for _, used, dense in _steps(own, ends, slots, weights):
-                    total[used] += dense.T @ (dense @ q[used])
+                _xtx(q, total, own, ends, slots, weights)
         yield from blocks({(split, k): t[k * BLOCK_FEATURES:(k + 1) * BLOCK_FEATURES] for split, t in totals.items()
                            for k in range(-(-len(t) // BLOCK_FEATURES))})
 
@@ -241,24 +235,67 @@ def gram_times(rows: DataFrame, bases: dict[str | None, np.ndarray]) -> dict[str
     return out
 
 
+def _xtx(q: np.ndarray, total: np.ndarray, own: np.ndarray, ends: np.ndarray, slots: np.ndarray, weights: np.ndarray) -> None:
+    """Add X'X times ``q`` over some rows of a batch to ``total``."""
+    for _, used, dense in _steps(own[ends[own + 1] > ends[own]], ends, slots, weights):
+        total[used] += dense.T @ (dense @ q[used])
+
+
+def first_bases(rows: DataFrame, shapes: dict[str | None, tuple[int, int]], seed: int) -> dict[str | None, np.ndarray]:
+    """Orthonormal bases to begin with, SPARE wider than asked for: random ones,
+    turned towards the leading vectors of about SEEDED rows of their split.
+
+    A better beginning saves a pass over all rows. It settles nothing: the
+    residual is measured on all rows.
+    """
+    bases = {}
+    for split, (features, dims) in shapes.items():
+        start = np.random.default_rng(seed).standard_normal((features, min(dims + SPARE, features)))
+        bases[split] = np.linalg.qr(start)[0]
+    narrow = {split: q for split, q in bases.items() if q.shape[1] < len(q)}
+    if not narrow:
+        return bases
+    sizes = _of_splits(rows, narrow).groupBy("split").count().collect()  # one row per split
+    rates = [F.col("split").eqNullSafe(F.lit(r["split"])) & (F.rand(seed) < SEEDED / r["count"]) for r in sizes]
+    if not rates:
+        return bases
+    shared = rows.sparkSession.sparkContext.broadcast(narrow)
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            for split, own in _groups(batch.column("split")):
+                held.setdefault(split, []).append((own, *_entries(batch)))
+        for split, parts in held.items():
+            q = shared.value[split]
+            for _ in range(3):
+                total = np.zeros_like(q)
+                for part in parts:
+                    _xtx(q, total, *part)
+                q = np.linalg.qr(total)[0]
+            yield pa.RecordBatch.from_arrays([pa.array([split], pa.string()), pa.array([q.tobytes()], pa.binary())], names=["split", "basis"])
+
+    some = rows.select("split", "slots", "weights").where(reduce(or_, rates)).repartition(len(sizes), "split")
+    for r in some.mapInArrow(turn, "split string, basis binary").collect():  # bounded by BASIS_NUMBERS
+        bases[r["split"]] = np.frombuffer(r["basis"]).reshape(bases[r["split"]].shape)
+    shared.unpersist()
+    return bases
+
+
 def svd_bases(rows: DataFrame, shapes: dict[str | None, tuple[int, int]], seed: int = 42,
               tolerance: float = TOLERANCE, most_passes: int = 12) -> dict[str | None, np.ndarray]:
     """Leading right singular vectors of each split, by a range finder.
 
     ``shapes`` gives (features, dims) per split. The first pass multiplies
-    SPARE more random vectors than are asked for by X'X; each further pass
-    takes what the last product adds to the space met so far. The best vectors
+    the first basis by X'X; each further pass takes what the last product adds to the space met so far. The best vectors
     v inside that space come with what they miss, the length of X'Xv - lv, at
     no further pass. A split is done when no such residual exceeds
     ``tolerance`` of the largest eigenvalue, or its space is whole. All splits
     share the passes; each ends in features x width matrices, which the
     vocabulary bounds.
     """
-    bases, met, out = {}, {}, {}
-    for split, (features, dims) in shapes.items():
-        start = np.random.default_rng(seed).standard_normal((features, min(dims + SPARE, features)))
-        bases[split] = np.linalg.qr(start)[0]
-        met[split] = [np.empty((features, 0)), np.empty((features, 0))]
+    bases, out = first_bases(rows, shapes, seed), {}
+    met = {split: [np.empty((features, 0)), np.empty((features, 0))] for split, (features, _) in shapes.items()}
     for number in range(most_passes):
         for split, image in gram_times(_of_splits(rows, bases) if out else rows, bases).items():
             features, dims = shapes[split]
@@ -312,7 +349,7 @@ def svd_embedding(records: DataFrame, key: str = "seq", text: Column | None = No
     Vocabularies and vectors of all splits come from the same passes over the
     data. Texts without a kept term have no row.
     """
-    rows = stage(tfidf(records, key, text, split, max_features), "tfidf")
+    rows = stage(tfidf(records, key, text, split, max_features, names=False), "tfidf")
     sizes = records.groupBy((F.lit("") if split is None else split).cast("string").alias("split")).agg(
         F.count("*").alias("n"))
     return svd_of_rows(rows, sizes, key, dims, seed)[0]
@@ -387,14 +424,12 @@ def fit_tfidf(records: DataFrame, key: str = "seq", dims: int = S.SVD_DIMS, spli
     """TF-IDF vocabularies and SVD bases of the records' texts, per value of
     ``split`` if one is given; None if the vocabularies are too large to send."""
     fit = Fit({}, [], split)
-    lists = term_lists(records, key, None, fit.place())
-    known = _sendable(stage(vocabulary(lists, S.TFIDF_FEATURES), "vocabulary"))
+    spelt = texts(records, key, None, fit.place())
+    known = _sendable(stage(vocabulary(spelt, S.TFIDF_FEATURES), "vocabulary"))
     if known is None:
         return None
-    sent = records.sparkSession.sparkContext.broadcast(known)
-    kind = records.schema[key].dataType.simpleString()
-    rows = stage(lists.mapInArrow(_weigher(sent, key), f"split string, {key} {kind}, terms array<string>, slots array<int>, weights array<double>"), "tfidf")
-    sizes = lists.groupBy("split").agg(F.count("*").alias("n"))
+    rows = stage(_weighed(spelt, known, key, names=False), "tfidf")
+    sizes = spelt.groupBy("split").agg(F.count("*").alias("n"))
     fit.known = known
     fit.groups = [svd_bases(_of_splits(rows, shapes), shapes) for shapes in svd_parts(rows, sizes, dims) if shapes]
     return fit
@@ -403,11 +438,14 @@ def fit_tfidf(records: DataFrame, key: str = "seq", dims: int = S.SVD_DIMS, spli
 def with_vectors(records: DataFrame, fit: Fit) -> DataFrame:
     """Records with the ``embedding`` of their own text, made in their own row:
     no record is joined or shuffled. Without a kept term it is zero."""
-    spark, place, terms = records.sparkSession, fit.place(), ngram_terms(embedding_input_text())
+    spark, place, columns = records.sparkSession, fit.place(), [c for c in records.columns if c != "embedding"]
+    low = records.withColumn("__split", place).withColumn("__text", F.lower(embedding_input_text()))
+    low = cut_wide(low, "__text", "__wide")
     out = None
     for bases in fit.groups:
-        own = records if fit.split is None else records.where(place.isin(*bases))
-        part = own.withColumn("embedding", _embedder(spark, {s: fit.known[s] for s in bases}, bases, place, terms))
+        own = low if fit.split is None else low.where(F.col("__split").isin(*bases))
+        vector = _embedder(spark, {s: fit.known[s] for s in bases}, bases, "__split", "__text", "__wide")
+        part = own.withColumn("embedding", vector).select(*columns, "embedding")
         out = part if out is None else out.unionByName(part)
     # without any kept term there is nothing to fit: vectors of no numbers
     empty = F.array().cast("array<double>")
@@ -415,7 +453,7 @@ def with_vectors(records: DataFrame, fit: Fit) -> DataFrame:
         out = records.withColumn("embedding", empty)
     elif fit.split is not None:
         out = out.unionByName(records.where(~place.isin(*fit.bases())).withColumn("embedding", empty))
-    return out.select(*records.columns, "embedding")
+    return out.select(*columns, "embedding")
 
 
 def _fitted(plain: DataFrame, key: str, dims: int, split: str | None) -> DataFrame:
