@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, hash_embedding, norm
+from ..functions.vectors import hash_embedding
 from ..operators import vectorize as VZ
 from ..operators.heavy import list_ends
 from ..operators.order import explode_once
@@ -65,6 +65,36 @@ def _(spark, sf):
     return long_form(VZ.tfidf(I.t_msg(spark, sf), text=F.col("message"), split=F.col("level")))
 
 
+def products(probes):
+    """A vector's length ``n`` and its products with three probes, ``e0`` to
+    ``e2``. A narrower vector meets the first numbers of each probe."""
+    wide = len(probes)
+
+    @F.arrow_udf("struct<n: double, e0: double, e1: double, e2: double>")
+    def of(vectors: pa.Array) -> pa.Array:
+        sizes, x = np.diff(list_ends(vectors)), vectors.flatten().to_numpy(zero_copy_only=False)
+        if len(sizes) and wide >= sizes[0] == sizes.min() == sizes.max():
+            x = x.reshape(len(sizes), sizes[0])
+            sums = [np.sqrt(np.einsum("ij,ij->i", x, x)), *(x @ probes[:sizes[0]]).T]
+        else:
+            row = np.repeat(np.arange(len(vectors)), sizes)
+            place = np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            met = np.where((place < wide)[:, None], probes[np.minimum(place, wide - 1)], np.nan)
+            sums = [np.sqrt(np.bincount(row, x * x, len(vectors))), *(np.bincount(row, x * m, len(vectors)) for m in met.T)]
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(v)) for v in sums], names=["n", "e0", "e1", "e2"], mask=vectors.is_null())
+    return of
+
+
+def lengths(vectors):
+    """Lengths of a column of vectors."""
+    @F.arrow_udf("double")
+    def of(vectors: pa.Array) -> pa.Array:
+        x = vectors.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(vectors)), np.diff(list_ends(vectors)))
+        return pa.array(np.sqrt(np.bincount(row, x * x, len(vectors))), mask=vectors.is_null().to_numpy(zero_copy_only=False))
+    return of(vectors)
+
+
 def probed(spark, rows, bases, vectors):
     """(seq, holds): whether a text's vector, but for its length, is its TF-IDF
     row times the basis of its split, and has unit length or is zero. A vector
@@ -91,9 +121,8 @@ def probed(spark, rows, bases, vectors):
 
     met = (rows.select("seq", scores("split", "slots", "weights").alias("s"))
            .groupBy("seq").agg(*[F.sum(f"s.s{k}").alias(f"s{k}") for k in range(3)]))
-    # a narrower basis meets the first numbers of each probe; four numbers of a vector go on
-    said = vectors.select("seq", norm("embedding").alias("n"), *[
-        dot("embedding", F.slice(F.lit([float(x) for x in probes[:, k]]), F.lit(1), F.size("embedding"))).alias(f"e{k}") for k in range(3)])
+    # four numbers of a vector go on
+    said = vectors.select("seq", products(probes)("embedding").alias("v")).select("seq", "v.*")
     e, s = [F.col(f"e{k}") for k in range(3)], [F.coalesce(f"s{k}", F.lit(0.0)) for k in range(3)]
     along = (F.abs(s[0] * e[1] - s[1] * e[0]) < 1e-6) & (F.abs(s[0] * e[2] - s[2] * e[0]) < 1e-6) & (s[0] * e[0] > -1e-6)
     length = F.abs(s[0]) + F.abs(s[1]) + F.abs(s[2])
@@ -112,11 +141,11 @@ def _(spark, sf):
     hashes = sparse(VZ.vectorize_per_split(records, "level"))
     fit = VZ.fit_tfidf(records, split="level")
     fitted = stage(VZ.with_vectors(records, fit).select("seq", "embedding"), "fitted")
-    rows = VZ.tfidf(records, split=F.col("level"))
+    rows = VZ.tfidf(records, split=F.col("level"), names=False)
     along = probed(spark, rows, fit.bases(), fitted)
     return hashes.select(F.lit("hash").alias("part"), "seq", F.col("dim").cast("long").alias("dim"), "x").unionByName(
         fitted.select(F.lit("tfidf").alias("part"), "seq", F.size("embedding").cast("long").alias("dim"),
-                      F.round(norm("embedding"), 6).alias("x"))).unionByName(
+                      F.round(lengths("embedding"), 6).alias("x"))).unionByName(
         along.select(F.lit("along").alias("part"), "seq", F.col("holds").cast("long").alias("dim"), F.lit(1.0).alias("x")))
 
 
@@ -131,7 +160,7 @@ def _(spark, sf):
     hundredth of the largest eigenvalue.
     """
     records = I.t_msg(spark, sf)
-    rows = stage(VZ.tfidf(records, text=F.col("message")), "tfidf")
+    rows = stage(VZ.tfidf(records, text=F.col("message"), names=False), "tfidf")
     sizes = records.groupBy(F.lit("").alias("split")).agg(F.count("*").alias("n"))
     vectors, basis = VZ.svd_of_rows(rows, sizes, "seq", 64)
     image = VZ.gram_times(rows, basis)[""]
@@ -151,6 +180,6 @@ def _(spark, sf):
     records = I.t_log_wide(spark, sf)
     fit = VZ.fit_tfidf(records)
     fitted = stage(VZ.with_vectors(records, fit).select("seq", "id", "level", "message", "embedding"), "fitted")
-    along = probed(spark, VZ.tfidf(records), fit.bases(), fitted.select("seq", "embedding"))
-    said = fitted.select("seq", "id", "level", "message", F.size("embedding").alias("dims"), F.round(norm("embedding"), 6).alias("length"))
+    along = probed(spark, VZ.tfidf(records, names=False), fit.bases(), fitted.select("seq", "embedding"))
+    said = fitted.select("seq", "id", "level", "message", F.size("embedding").alias("dims"), F.round(lengths("embedding"), 6).alias("length"))
     return said.join(along, "seq").select("seq", "id", "level", "message", "dims", "length", "holds")
