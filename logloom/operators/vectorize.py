@@ -31,7 +31,7 @@ BLOCK_FEATURES = 512
 SPARE = 32
 TOLERANCE = 0.008
 # Rows of a split, about, that its first basis is taken from.
-SEEDED = 2048
+SEEDED = 8192
 # Numbers of all bases that one group of splits may have.
 BASIS_NUMBERS = 8_000_000
 
